@@ -137,9 +137,8 @@ def lookup_join(
 
 
 # ---- one total order -----------------------------------------------------------------------
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a local session may use its own."""
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """Folder all executors share, as the cluster names it; a local session gets its own."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -148,6 +147,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             named = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
         sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder the cluster names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
