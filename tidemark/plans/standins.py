@@ -181,10 +181,12 @@ STAND_INS = {
     )),
     # orders as playoff games with round codes inside the id for even years, unreadable ids for odd
     "playoffs": StandIn("orders", (
-        "CASE WHEN year(o_orderdate) % 2 = 0 THEN '004' || lpad(CAST(year(o_orderdate) % 100 AS "
-        "STRING), 2, '0') || lpad(CAST(1 + o_orderkey % 4 AS STRING), 3, '0') || "
-        "lpad(CAST(o_orderkey % 100 AS STRING), 2, '0') ELSE 'G' || CAST(o_orderkey AS STRING) END "
-        "AS game_id",
+        "CASE WHEN year(o_orderdate) % 2 = 0 AND row_number() OVER (PARTITION BY "
+        "year(o_orderdate), o_orderkey % 4 ORDER BY o_orderkey) <= 99 THEN '004' || "
+        "lpad(CAST(year(o_orderdate) % 100 AS STRING), 2, '0') || "
+        "lpad(CAST(1 + o_orderkey % 4 AS STRING), 3, '0') || lpad(CAST(row_number() OVER ("
+        "PARTITION BY year(o_orderdate), o_orderkey % 4 ORDER BY o_orderkey) AS STRING), 2, '0') "
+        "ELSE 'G' || CAST(o_orderkey AS STRING) END AS game_id",
         *_IDENTITY[1:],
         "'playoffs' AS game_type",
         "o_orderkey AS _seq",
