@@ -95,6 +95,13 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of all tables a plan reads; cheap, as nothing is optimised for it."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = (leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size()))
+    return sum(int(str(s)) for s in sizes)
+
+
 def broadcast_limit(df: DataFrame) -> int:
     conf = df.sparkSession._jsparkSession.sessionState().conf()
     return int(str(conf.autoBroadcastJoinThreshold()))
@@ -112,16 +119,16 @@ def lookup_join(
 ) -> DataFrame:
     """Join many ``facts`` rows to at most one ``dim`` row per key.
 
-    A dim below the broadcast limit is broadcast. Facts too small to hold a hot key are joined
-    as they are. Beyond both, keys with ``hot_rows`` rows or more are found by a count (there
-    can be no more than rows / hot_rows of them, which bounds that broadcast), their facts are
-    spread over ``salts`` by the ``spread`` columns, and their single dim row is repeated.
+    Facts read from inputs too small to hold a hot key are joined as they are. A dim below the
+    broadcast limit is broadcast. Beyond both, keys with ``hot_rows`` rows or more are found by a
+    count (there can be no more than rows / hot_rows of them, which bounds that broadcast), their
+    facts are spread over ``salts`` by the ``spread`` columns, and their single dim row is repeated.
     """
     keys = list(keys)
+    if input_bytes(facts) < small_bytes:
+        return facts.join(dim, keys, how)
     if plan_bytes(dim) <= broadcast_limit(dim):
         return facts.join(F.broadcast(dim), keys, how)
-    if plan_bytes(facts) < small_bytes:
-        return facts.join(dim, keys, how)
     hot = (
         facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") >= hot_rows)

@@ -449,10 +449,10 @@ BY_VERSION = f"""{cte('judged')}, {_auc('judged', 'model_version')},
 quality AS (SELECT model_version, {QUALITY} FROM judged GROUP BY model_version),
 reports AS (SELECT * FROM quality JOIN auc USING (model_version))"""
 ORACLES["classifier_metrics"] = f"""WITH {BY_VERSION}
-SELECT * REPLACE (round(accuracy, 6) AS accuracy, round(log_loss, 6) AS log_loss,
-  round(brier_score, 6) AS brier_score, round(roc_auc, 6) AS roc_auc) FROM reports"""
+SELECT * REPLACE (round(accuracy, 9) AS accuracy, round(log_loss, 9) AS log_loss,
+  round(brier_score, 9) AS brier_score, round(roc_auc, 9) AS roc_auc) FROM reports"""
 ORACLES["roc_auc_rank"] = f"""WITH {cte('fine_judged')}, {_auc('fine_judged', 'model_version')}
-SELECT model_version, round(roc_auc, 6) AS roc_auc FROM auc"""
+SELECT model_version, round(roc_auc, 9) AS roc_auc FROM auc"""
 LINSPACE = [i * 0.1 for i in range(10)] + [1.0]
 RIGHT = "CASE " + " ".join(
     f"WHEN p <= {hi!r} AND p >= 0 THEN '{lo:.1f}-{hi:.1f}'" for lo, hi in zip(LINSPACE, LINSPACE[1:])
@@ -466,14 +466,14 @@ CALIBRATION = f"""bins AS (
          avg(CAST(y AS DOUBLE)) AS observed FROM judged GROUP BY model_version, bin)"""
 ORACLES["calibration_right_closed"] = f"""WITH {cte('judged')}, {CALIBRATION}
 SELECT model_version, bin AS probability_bucket, n AS row_count,
-       round(predicted, 6) AS avg_predicted_probability, round(observed, 6) AS actual_home_win_rate
+       round(predicted, 9) AS avg_predicted_probability, round(observed, 9) AS actual_home_win_rate
 FROM bins"""
 ORACLES["probability_buckets_left_closed"] = f"""WITH {cte('picks')}, labelled AS (
   SELECT home_win_probability AS p, actual_home_team_won AS y FROM picks
   WHERE actual_home_team_won IS NOT NULL)
 SELECT {LEFT} AS probability_bucket, count(*) AS row_count,
-       round(avg(p), 6) AS avg_predicted_home_probability,
-       round(avg(CAST(y AS DOUBLE)), 6) AS actual_home_win_rate
+       round(avg(p), 9) AS avg_predicted_home_probability,
+       round(avg(CAST(y AS DOUBLE)), 9) AS actual_home_win_rate
 FROM labelled GROUP BY probability_bucket"""
 PHASES = """SELECT {group}phase, count(*) AS row_count,
   avg(CASE WHEN y = yhat THEN 1.0 ELSE 0.0 END) AS accuracy,
@@ -484,8 +484,8 @@ ALL_PHASES = PHASES.format(group="", loss=LOSS, phase=_phase("seconds_remaining_
 VERSION_PHASES = PHASES.format(
     group="model_version, ", loss=LOSS, phase=_phase("seconds_remaining_game"))
 ORACLES["phase_metrics"] = f"""WITH {cte('judged')}, phases AS ({ALL_PHASES})
-SELECT * REPLACE (round(accuracy, 6) AS accuracy, round(log_loss, 6) AS log_loss,
-  round(brier_score, 6) AS brier_score) FROM phases"""
+SELECT * REPLACE (round(accuracy, 9) AS accuracy, round(log_loss, 9) AS log_loss,
+  round(brier_score, 9) AS brier_score) FROM phases"""
 
 
 def _long(section: str, source: str, numbers: dict[str, str], words: dict[str, str] | None = None,
@@ -549,7 +549,7 @@ FINAL_LONG = _long("final_event", "last_events", {
 
 
 def _rounded_long(ctes: str, body: str) -> str:
-    return (f"WITH {ctes} SELECT section, metric, round(value, 6) AS value, text FROM ({body}) "
+    return (f"WITH {ctes} SELECT section, metric, round(value, 9) AS value, text FROM ({body}) "
             "WHERE value IS NOT NULL OR text IS NOT NULL")
 
 
@@ -563,9 +563,9 @@ sides AS (SELECT game_id, home_team AS team, 1 AS h, 0 AS a, prediction_correct
   UNION ALL SELECT game_id, away_team, 0, 1, prediction_correct FROM labelled)
 SELECT team, CAST(sum(h) AS BIGINT) AS games_as_home, CAST(sum(a) AS BIGINT) AS games_as_away,
        count(DISTINCT game_id) AS total_games,
-       round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM sides GROUP BY team"""
+       round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM sides GROUP BY team"""
 ORACLES["labelled_accuracy"] = f"""WITH {cte('picks')}
-SELECT round(avg({CORRECT}), 6) AS accuracy FROM picks"""
+SELECT round(avg({CORRECT}), 9) AS accuracy FROM picks"""
 METRIC_NAMES = ["accuracy", "roc_auc", "log_loss", "brier_score"]
 CONFUSION = ["true_positive", "true_negative", "false_positive", "false_negative"]
 PHASE_LONG = " UNION ALL ".join(
@@ -592,7 +592,7 @@ phases AS ({ALL_PHASES}), {BOTH_RESULTS}, everything AS (
     {text(metrics.REFERENCE_NOTE)} FROM ({FINAL_LONG})
   UNION ALL SELECT 'data_coverage', 'pregame_predictions_count', count(*), NULL, '' FROM picks
   UNION ALL SELECT 'manual_overrides', metric, value, NULL, '' FROM ({MANUAL_SUMMARY}))
-SELECT section, metric, round(value, 6) AS value, text, notes FROM everything
+SELECT section, metric, round(value, 9) AS value, text, notes FROM everything
 WHERE value IS NOT NULL OR text IS NOT NULL"""
 MEANING = f"""trim(CASE WHEN difference IS NULL THEN ''
   WHEN metric IN ('accuracy', 'roc_auc', 'log_loss', 'brier_score') AND difference = 0
@@ -611,10 +611,10 @@ COMPARE = """pairs AS (
   SELECT {keys}metric, max(value) FILTER (WHERE model_version = 'F') AS old,
          max(value) FILTER (WHERE model_version = 'O') AS new FROM long GROUP BY {keys}metric),
 gaps AS (SELECT *, new - old AS difference FROM pairs)
-SELECT {keys}metric, round(old, 6) AS single_season_value, round(new, 6) AS multiseason_value,
-       round(difference, 6) AS difference, {meaning} FROM gaps"""
+SELECT {keys}metric, round(old, 9) AS single_season_value, round(new, 9) AS multiseason_value,
+       round(difference, 9) AS difference, {meaning} FROM gaps"""
 ORACLES["metric_report_long"] = f"""WITH {BY_VERSION}
-SELECT model_version, metric, round(value, 6) AS value FROM ({REPORT_LONG})"""
+SELECT model_version, metric, round(value, 9) AS value FROM ({REPORT_LONG})"""
 ORACLES["version_metric_compare"] = (
     f"WITH {BY_VERSION}, long AS ({REPORT_LONG}), " + COMPARE.format(keys="", meaning=MEANING))
 VERSION_LONG = " UNION ALL ".join(
@@ -625,9 +625,9 @@ ORACLES["version_phase_compare"] = (
     f"WITH {cte('judged')}, phases AS ({VERSION_PHASES}), long AS ({VERSION_LONG}), "
     + COMPARE.format(keys="phase, ", meaning=MEANING))
 ORACLES["version_calibration_compare"] = f"""WITH {cte('judged')}, {CALIBRATION}
-SELECT model_version, bin, round(predicted, 6) AS mean_predicted_probability,
-       round(observed, 6) AS observed_rate, n AS count,
-       round(abs(predicted - observed), 6) AS calibration_error FROM bins"""
+SELECT model_version, bin, round(predicted, 9) AS mean_predicted_probability,
+       round(observed, 9) AS observed_rate, n AS count,
+       round(abs(predicted - observed), 9) AS calibration_error FROM bins"""
 
 # ---- replay --------------------------------------------------------------------------------------------
 CHANGES = f"""changes AS (
@@ -635,17 +635,17 @@ CHANGES = f"""changes AS (
          max(seconds_remaining_game) OVER (PARTITION BY game_id) AS start_seconds FROM live_picks)"""
 ORACLES["momentum_swings_top50"] = f"""WITH {cte('live_picks')}, {CHANGES}
 SELECT game_id, event_num, period, event_type_label, {P}, prev AS previous_home_win_probability,
-       round({P} - prev, 6) AS probability_change,
-       round(abs({P} - prev), 6) AS absolute_probability_change
+       round({P} - prev, 9) AS probability_change,
+       round(abs({P} - prev), 9) AS absolute_probability_change
 FROM changes WHERE prev IS NOT NULL ORDER BY abs({P} - prev) DESC, game_id, event_num LIMIT 50"""
 ORACLES["momentum_top_n_per_game"] = f"""WITH {cte('live_picks')}, {CHANGES}
-SELECT game_id, event_num, round(abs(COALESCE({P} - prev, 0)), 6) AS absolute_probability_change
+SELECT game_id, event_num, round(abs(COALESCE({P} - prev, 0)), 9) AS absolute_probability_change
 FROM changes QUALIFY row_number() OVER (
   PARTITION BY game_id ORDER BY abs(COALESCE({P} - prev, 0)) DESC, event_num) <= 3"""
 ORACLES["replay_columns"] = f"""WITH {cte('live_picks')}, {CHANGES}
 SELECT game_id, event_num, start_seconds - seconds_remaining_game AS game_elapsed_seconds,
-       round(COALESCE({P} - prev, 0), 6) AS probability_change,
-       round(abs(COALESCE({P} - prev, 0)), 6) AS absolute_probability_change FROM changes"""
+       round(COALESCE({P} - prev, 0), 9) AS probability_change,
+       round(abs(COALESCE({P} - prev, 0)), 9) AS absolute_probability_change FROM changes"""
 ORACLES["final_and_first_event"] = """SELECT conv_id, arg_min(role, turn) AS role_start,
 min(turn) AS turn_start, arg_max(role, turn) AS role_final, max(turn) AS turn_final
 FROM conversations GROUP BY conv_id"""
@@ -890,7 +890,7 @@ coming AS (
   SELECT r.season, r.game_id, r.finals_game_number, r.game_date, r.home_team, r.away_team,
     r.game_status, pre.game_id IS NOT NULL AS pregame_prediction_available,
     CAST(p AS DOUBLE) AS home_win_probability_pregame,
-    round(CAST(q AS DOUBLE), 6) AS away_win_probability_pregame, pick AS predicted_winner_pregame,
+    round(CAST(q AS DOUBLE), 9) AS away_win_probability_pregame, pick AS predicted_winner_pregame,
     round(CAST(greatest(p, 1 - p) AS DOUBLE), 4) AS prediction_confidence,
     r.final_result_available, r.final_winner,
     CASE WHEN r.final_result_available THEN ok END AS pregame_prediction_correct_if_final,

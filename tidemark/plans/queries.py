@@ -27,7 +27,7 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
@@ -708,7 +708,7 @@ def series_game_report(spark, sf):
     return _series_report(spark, sf)
 
 
-def _upcoming_report(spark, sf) -> DataFrame:
+def _upcoming_report(spark, sf, report: DataFrame | None = None) -> DataFrame:
     games = load(spark, sf, "playoffs")
     pre = games.select(
         "game_id", (F.pmod("_seq", F.lit(100)) / 100).alias("home_win_probability"),
@@ -716,7 +716,7 @@ def _upcoming_report(spark, sf) -> DataFrame:
         F.col("away_team").alias("predicted_winner"),
         (F.col("_seq") % 2 == 0).alias("prediction_correct"), "_seq",
     ).filter("_seq % 7 <> 0")
-    return series.upcoming_report(_series_report(spark, sf), pre)
+    return series.upcoming_report(_series_report(spark, sf) if report is None else report, pre)
 
 
 @query
@@ -726,7 +726,8 @@ def series_upcoming_report(spark, sf):
 
 @query
 def series_overview(spark, sf):
-    return series.overview(_series_report(spark, sf), _upcoming_report(spark, sf))
+    report = scale.cut_lineage(_series_report(spark, sf))
+    return series.overview(report, _upcoming_report(spark, sf, report))
 
 
 @query
