@@ -40,11 +40,15 @@ def probability_violations(df: DataFrame, columns: Sequence[str], shown: int = 5
 
     ``offending_rows`` counts all of them; ``shown`` lists the smallest few.
     """
-    typed = [X.as_col(c).cast("string").alias(c) for c in columns]
-    long = df.select(*typed).unpivot([], list(columns), "column_name", "value")
-    p = F.col("value").try_cast("double")
-    bad = long.filter(p.isNull() | F.isnan(p) | (p < 0) | (p > 1))
-    bad = bad.withColumn("value", F.coalesce("value", F.lit("null")))
+    p = {c: F.col(c).try_cast("double") for c in columns}
+    broken = {c: v.isNull() | F.isnan(v) | (v < 0) | (v > 1) for c, v in p.items()}
+    some = df.filter(reduce(lambda a, b: a | b, broken.values()))
+    shown_as = {
+        c: F.when(bad, F.coalesce(F.col(c).cast("string"), F.lit("null"))).alias(c)
+        for c, bad in broken.items()
+    }
+    long = some.select(*shown_as.values()).unpivot([], list(columns), "column_name", "value")
+    bad = long.filter("value IS NOT NULL")
     counts = bad.groupBy("column_name").agg(F.count(F.lit(1)).alias("offending_rows"))
     few = scale.top_per_key(bad, ["column_name"], [F.col("value").asc()], shown)
     few = few.groupBy("column_name").agg(

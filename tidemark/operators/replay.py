@@ -152,11 +152,15 @@ def team_names(predictions: DataFrame) -> DataFrame:
     return predictions.select(team).dropna().distinct()
 
 
-def in_catalog(predictions: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Predictions of the games in a filtered catalog."""
+def in_catalog(
+    predictions: DataFrame, catalog: DataFrame, games: int | None = None
+) -> DataFrame:
+    """Predictions of the games in a filtered catalog (``games``: its size, when counted)."""
     ids = catalog.select("game_id").distinct()
     spread = [c for c in ("event_num",) if c in predictions.columns] or ["game_id"]
-    return scale.lookup_join(predictions, ids, ["game_id"], spread=spread, how="inner")
+    return scale.lookup_join(
+        predictions, ids, ["game_id"], spread=spread, how="inner", dim_rows=games
+    )
 
 
 # ---- wide to long -------------------------------------------------------------------------

@@ -21,6 +21,7 @@ DEFAULT_BLOCK_ROWS = 1 << 18
 NO_ORDER_BLOCK = (1 << 63) - 1
 SMALL_SIDE_BYTES = 256 << 20
 HOT_KEY_ROWS = 2_000_000
+COUNTED_BROADCAST_ROWS = 200_000
 
 
 # ---- rank filters -------------------------------------------------------------------
@@ -116,15 +117,18 @@ def lookup_join(
     hot_rows: int = HOT_KEY_ROWS,
     salts: int = 64,
     small_bytes: int = SMALL_SIDE_BYTES,
+    dim_rows: int | None = None,
 ) -> DataFrame:
     """Join many ``facts`` rows to at most one ``dim`` row per key.
 
-    Facts read from inputs too small to hold a hot key are joined as they are. A dim below the
+    A dim the caller has counted (``dim_rows``) and found small is broadcast. Facts read from inputs too small to hold a hot key are joined as they are. A dim below the
     broadcast limit is broadcast. Beyond both, keys with ``hot_rows`` rows or more are found by a
     count (there can be no more than rows / hot_rows of them, which bounds that broadcast), their
     facts are spread over ``salts`` by the ``spread`` columns, and their single dim row is repeated.
     """
     keys = list(keys)
+    if dim_rows is not None and dim_rows <= COUNTED_BROADCAST_ROWS:
+        return facts.join(F.broadcast(dim), keys, how)
     if input_bytes(facts) < small_bytes:
         return facts.join(dim, keys, how)
     if plan_bytes(dim) <= broadcast_limit(dim):
@@ -163,6 +167,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """A small table stored once, with its row count."""
+    stored = cut_lineage(df)
+    return stored, stored.count()
+
+
 def ordered_layout(df: DataFrame, *order: str) -> DataFrame:
     """Range-partitioned, sorted and stored once, with ``_part`` and ``_slot`` in that order.
 

@@ -184,18 +184,9 @@ PLAYED = f"{cte('plays', 'schedule')}, {KNOWN}, {TOTALS}"
 ORACLES["running_score_state"] = f"""WITH {cte('plays')}, {STATE}
 SELECT game_id, event_num, hs AS home_score, vs AS away_score, hs - vs AS score_margin_home,
        abs(hs - vs) AS abs_score_margin, scoring AS is_scoring_event FROM state"""
-ORACLES["stream_equals_batch"] = f"""WITH {cte('plays')}, every AS (
-  SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN
-    floor(CAST(event_id AS DOUBLE) / 100 + value / 12) END AS away FROM events),
-running AS (
-  SELECT game_id, event_num, COALESCE(max(scoreHome) OVER w, 0) AS hs,
-         COALESCE(max(away) OVER w, 0) AS vs
-  FROM plays JOIN every ON event_num = event_id
-  WINDOW w AS (PARTITION BY game_id ORDER BY event_num
-               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT game_id, event_num, hs AS home_score, vs AS away_score,
-       COALESCE(hs + vs > lag(hs + vs) OVER (PARTITION BY game_id ORDER BY event_num), FALSE)
-         AS is_scoring_event FROM running"""
+ORACLES["stream_equals_batch"] = f"""WITH {cte('plays')}, {STATE}
+SELECT game_id, event_num, hs AS home_score, vs AS away_score, scoring AS is_scoring_event
+FROM state"""
 ORACLES["live_features_full"] = f"""WITH {PLAYED}, {STATE}, labelled AS (
   SELECT *, {SECONDS} AS secs, {LABEL} AS label FROM state)
 SELECT l.game_id, event_num, g.season, g.game_date, g.home_team, g.away_team, g.home_team_id,
@@ -205,6 +196,15 @@ SELECT l.game_id, event_num, g.season, g.game_date, g.home_team, g.away_team, g.
        event_msg_action_type, label AS event_type_label, scoring AS is_scoring_event, {FLAGS},
        g.home_team_won
 FROM labelled l JOIN per_game g USING (game_id)"""
+ORACLES["stream_live_state"] = ORACLES["live_features_full"]
+ORACLES["stream_first_arrivals"] = """SELECT DISTINCT user_id AS game_id,
+event_id % 300 AS event_num FROM events"""
+ORACLES["stream_coverage"] = f"""WITH {cte('plays', 'schedule')}, {KNOWN}, n AS (
+  SELECT game_id, count(*) AS c FROM plays GROUP BY game_id)
+SELECT season, count(*) AS eligible_games, count(c) AS collected_games,
+       round(100.0 * count(c) / count(*), 2) AS coverage_pct,
+       CAST(COALESCE(sum(c), 0) AS BIGINT) AS total_event_rows
+FROM known LEFT JOIN n USING (game_id) GROUP BY season"""
 ORACLES["game_result_from_events"] = f"""WITH {PLAYED}
 SELECT game_id, season, game_date, home_team, away_team, home_team_id, away_team_id, home_score,
        away_score, CASE WHEN home_team_won = 1 THEN home_team ELSE away_team END AS winner,
@@ -929,6 +929,17 @@ ORACLES["series_export_gaps"] = f"""WITH {cte('series_slots')}, {UPCOMING}
 SELECT DISTINCT game_id FROM upcoming WHERE final_result_available
 AND CAST(game_id AS BIGINT) NOT IN (SELECT l_orderkey FROM lineitem)"""
 
+ORACLES["series_live_export"] = f"""WITH {FINALS}
+SELECT f.season, f.game_id, f.finals_game_number, _seq AS event_num, home_team
+FROM finals f JOIN playoffs p USING (game_id)"""
+ORACLES["series_replayable"] = f"""WITH {cte('series_slots')}, {UPCOMING}
+SELECT season, finals_game_number FROM upcoming
+WHERE final_result_available AND pregame_prediction_available"""
+ORACLES["labelled_version_metrics"] = f"""WITH {cte('judged')}
+SELECT model_version, 'live' AS model, 'setup ' || model_version AS setup, count(*) AS row_count,
+       count(*) FILTER (WHERE y = 1 AND yhat = 1) AS true_positive
+FROM judged GROUP BY model_version"""
+
 # ---- coverage ---------------------------------------------------------------------------------------------
 SEASON_PLAYS = """season_plays AS (SELECT g.game_id, g.season FROM feed f JOIN games g USING (game_id))"""
 COVERED = f"""wanted(season) AS (VALUES {values(SEASONS)}),

@@ -14,7 +14,7 @@ from tidemark.operators import (
     coverage, ingest, live, metrics, model, pregame, quality, reconcile, replay, scale, series,
     split,
 )
-from tidemark.plans.standins import load, table
+from tidemark.plans.standins import STAND_INS, load, table
 from tidemark.sources import tables
 from tidemark.streaming import ingest as stream_ingest
 
@@ -737,6 +737,27 @@ def series_export_gaps(spark, sf):
     return coverage.export_gaps(export, report)
 
 
+@query
+def series_live_export(spark, sf):
+    games = load(spark, sf, "playoffs")
+    scored = games.select("*", F.col("_seq").alias("event_num"), *[
+        F.lit(None).cast("string").alias(c) for c in schemas.SERIES_EXPORT_COLUMNS
+        if c not in (*games.columns, "event_num", "finals_game_number")
+    ])
+    return series.series_live_export(scored, games).select(
+        "season", "game_id", "finals_game_number", "event_num", "home_team"
+    )
+
+
+@query
+def series_replayable(spark, sf):
+    report = _upcoming(spark, sf).withColumns({
+        "replay_available": F.col("final_result_available"),
+        "prediction_available": F.col("pregame_prediction_available"),
+    })
+    return report.filter(series.can_replay()).select("season", "finals_game_number")
+
+
 # ---- coverage ------------------------------------------------------------------------------------
 SEASONS = ["1995-96", "1996-97", "1997-98", "1998-99", "1999-00", "2000-01", "2001-02", "2030-31"]
 
@@ -874,24 +895,101 @@ def prediction_columns(spark, sf):
     return model.prediction_columns(scored).drop("home_team_won")
 
 
+@query
+def live_predictions_scored(spark, sf):
+    events = deduped_plays(spark, sf)
+    features = live.live_features(events, live.game_table(events, schedule(spark, sf)))
+    return model.predict_live(features, model.fit(features, model.live_manifest(features)))
+
+
+@query
+def labelled_version_metrics(spark, sf):
+    labels = table(spark, sf, "lineitem").select(
+        F.col("l_linestatus").alias("model_version"), F.lit("live").alias("model"),
+        F.concat(F.lit("setup "), "l_linestatus").alias("setup"),
+    ).distinct()
+    out = tables.labelled_metrics(_version_reports(spark, sf), labels)
+    return out.select("model_version", "model", "setup", "row_count", "true_positive")
+
+
+def _stream(spark, sf, columns: Sequence[str]) -> DataFrame:
+    schema = table(spark, sf, "events").schema
+    return stream_ingest.read_stream(spark, f"{sf}/event[s].parquet", schema).selectExpr(*columns)
+
+
+def _run_folder(spark) -> str:
+    return f"{scale.shared_folder(spark)}/run-{uuid.uuid4().hex}"
+
+
 @query
 def stream_equals_batch(spark, sf):
-    """Events ingested as a stream of files, then scored state from the merged table."""
-    root = f"{scale.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    source = table(spark, sf, "events")
-    raw = stream_ingest.read_stream(spark, f"{sf}/event[s].parquet", source.schema)
-    plays = raw.selectExpr(
-        "lpad(CAST(user_id AS STRING), 10, '0') AS game_id", "event_id AS event_num", "1 AS period",
-        "CASE WHEN event_id % 3 <> 0 THEN floor(CAST(event_id AS DOUBLE) / 100 + value / 10) END "
-        "AS scoreHome",
-        "CASE WHEN event_id % 4 <> 0 THEN floor(CAST(event_id AS DOUBLE) / 100 + value / 12) END "
-        "AS scoreAway",
-        "event_id AS _seq",
-    )
+    """Events ingested as a stream of files; running state from the merged table."""
+    root = _run_folder(spark)
     stream_ingest.start_ingest(
-        plays, f"{root}/table", f"{root}/quarantine", f"{root}/checkpoint", buckets=8
+        _stream(spark, sf, STAND_INS["plays"].columns), f"{root}/table", f"{root}/quarantine",
+        f"{root}/checkpoint", buckets=8,
     ).awaitTermination()
-    stored = tables.read_if_there(spark, f"{root}/table")
-    return live.running_scores(stored).select(
+    return live.running_scores(tables.read_table(spark, f"{root}/table")).select(
         "game_id", "event_num", "home_score", "away_score", "is_scoring_event"
     )
+
+
+@query
+def stream_live_state(spark, sf):
+    """Live features kept current by the stream itself."""
+    root = _run_folder(spark)
+    refresh = stream_ingest.refresh_live_state(
+        f"{root}/table", schedule(spark, sf), f"{root}/features"
+    )
+    stream_ingest.start_ingest(
+        _stream(spark, sf, STAND_INS["plays"].columns), f"{root}/table", f"{root}/quarantine",
+        f"{root}/checkpoint", buckets=8, then=refresh,
+    ).awaitTermination()
+    return tables.read_table(spark, f"{root}/features").select(*schemas.LIVE_COLUMNS)
+
+
+@query
+def stream_coverage(spark, sf):
+    """Collection coverage kept current by the stream."""
+    root = _run_folder(spark)
+    refresh = stream_ingest.refresh_coverage(
+        f"{root}/table", schedule(spark, sf), f"{root}/counts", f"{root}/report", "2026-01-01"
+    )
+    stream_ingest.start_ingest(
+        _stream(spark, sf, STAND_INS["plays"].columns), f"{root}/table", f"{root}/quarantine",
+        f"{root}/checkpoint", buckets=8, then=refresh,
+    ).awaitTermination()
+    return tables.read_table(spark, f"{root}/report").select(
+        F.col("season").cast("string"), "eligible_games", "collected_games", "coverage_pct",
+        "total_event_rows",
+    )
+
+
+@query
+def stream_first_arrivals(spark, sf):
+    """Repeated events suppressed while they stream."""
+    root = _run_folder(spark)
+    stream = _stream(spark, sf, ["user_id AS game_id", "event_id % 300 AS event_num",
+                                "CAST(ts AS TIMESTAMP) AS ts"])
+    unique = stream_ingest.drop_late_duplicates(stream, "ts", "90 days")
+    unique.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(
+        availableNow=True
+    ).start(f"{root}/out").awaitTermination()
+    return tables.read_table(spark, f"{root}/out").select("game_id", "event_num")
+
+
+@query
+def stream_scores(spark, sf):
+    """A saved model applied to feature rows as they arrive."""
+    root = _run_folder(spark)
+    events = deduped_plays(spark, sf)
+    features = live.live_features(events, live.game_table(events, schedule(spark, sf)))
+    tables.overwrite(features, f"{root}/features")
+    stored = tables.read_table(spark, f"{root}/features")
+    model.fit(stored, model.live_manifest(stored)).save(f"{root}/model")
+    scorer = model.Scorer.load(spark, f"{root}/model")
+    stream = stream_ingest.read_stream(spark, f"{root}/features", stored.schema)
+    stream_ingest.score_stream(stream, scorer).writeStream.format("parquet").option(
+        "checkpointLocation", f"{root}/checkpoint"
+    ).trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return tables.read_table(spark, f"{root}/out")

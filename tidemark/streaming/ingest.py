@@ -58,7 +58,9 @@ def touched_events(rows: DataFrame, table: str) -> DataFrame:
     games = rows.select("game_id").distinct()
     stored = tables.read_table(rows.sparkSession, table, rows.schema)
     stored = stored.filter(tables.partitions_of(rows, ["bucket"]))
-    return scale.lookup_join(stored, games, ["game_id"], spread=["event_num"], how="inner")
+    return scale.lookup_join(
+        stored, games, ["game_id"], spread=["event_num"], how="inner", dim_rows=games.count()
+    )
 
 
 def refresh_live_state(
