@@ -26,8 +26,8 @@ AWAY = ("1", 1610612748, "Miami Heat", "MIA @ BOS")
 
 
 def test_complete_game(spark):
-    _, groups = pair(spark, HOME, AWAY)
-    (g,) = ingest.pair_games(groups).collect()
+    clean, groups = pair(spark, HOME, AWAY)
+    (g,) = ingest.pair_games(clean, groups).collect()
     assert (g.home_team, g.away_team, g.home_team_id, g.status, g.game_type) == (
         "Boston Celtics", "Miami Heat", "1610612738", "final", "regular_season")
 
@@ -41,7 +41,7 @@ def test_complete_game(spark):
 ])
 def test_skip_reasons(spark, rows, reason):
     clean, groups = pair(spark, *rows)
-    assert ingest.pair_games(groups).isEmpty()
+    assert ingest.pair_games(clean, groups).isEmpty()
     (s,) = ingest.skipped_games(clean, groups).collect()
     assert s.reason_skipped == reason and s.raw_row_count == len(rows)
     assert len(s.matchup_values.split(" | ")) == len(rows)

@@ -380,8 +380,9 @@ def dataset_profile(
 
 
 def _priority(column: str, table: Mapping[str, int]) -> Column:
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(column)), F.lit(99))
+    rank = reduce(lambda w, kv: w.when(F.col(column) == kv[0], kv[1]), table.items(),
+                  F.when(F.col(column).isNull(), 99))
+    return rank.otherwise(99)
 
 
 def status_counts(df: DataFrame, table: Mapping[str, int] = STATUS_PRIORITY) -> DataFrame:

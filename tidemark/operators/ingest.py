@@ -29,39 +29,41 @@ def clean_team_rows(rows: DataFrame) -> DataFrame:
 
 
 def game_groups(rows: DataFrame) -> DataFrame:
-    """One row per feed game: side counts, the candidate game and every reason to skip it.
+    """One row per feed game: side counts and every reason to skip it.
 
-    Only counts and one row per side are kept, so a game with a huge number of copies is
-    combined before the shuffle.
+    Only counts are kept, so a game with a huge number of copies is combined before the shuffle.
     """
-    entry = F.struct("game_date", "team_name", "team_id")
-    side = lambda s: F.max(F.when(F.col("side") == s, entry))
+    home_row, away_row = F.col("side") == "home", F.col("side") == "away"
+    unnamed = X.any_null("team_name", "team_id")
     groups = rows.groupBy(*FEED_KEY).agg(
         F.count(F.lit(1)).alias("raw_row_count"),
-        F.count_if(F.col("side") == "home").alias("home_row_count"),
-        F.count_if(F.col("side") == "away").alias("away_row_count"),
+        F.count_if(home_row).alias("home_row_count"),
+        F.count_if(away_row).alias("away_row_count"),
         F.count_if(F.col("side").isNull()).alias("_unread"),
-        side("home").alias("_home"), side("away").alias("_away"),
+        F.count_if((home_row & (unnamed | F.col("game_date").isNull())) | (away_row & unnamed))
+        .alias("_incomplete"),
     )
     home, away = F.col("home_row_count"), F.col("away_row_count")
-    unpaired = (F.col("_unread") > 0) | (home != 1) | (away != 1)
-    incomplete = X.any_null(
-        "_home.game_date", "_home.team_name", "_away.team_name", "_home.team_id", "_away.team_id"
-    )
+    paired = (F.col("_unread") == 0) & (home == 1) & (away == 1)
     reasons = F.array_compact(F.array(
         F.when(F.col("_unread") > 0, "invalid_matchup_format"),
         F.when(home == 0, "missing_home_row"),
         F.when(away == 0, "missing_away_row"),
         F.when(home > 1, "multiple_home_rows"),
         F.when(away > 1, "multiple_away_rows"),
-        F.when(~unpaired & incomplete, "missing_required_fields"),
+        F.when(paired & (F.col("_incomplete") > 0), "missing_required_fields"),
     ))
     return groups.withColumn("reason_skipped", F.array_join(reasons, ";"))
 
 
-def pair_games(groups: DataFrame) -> DataFrame:
+def pair_games(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """The games with exactly one home and one away row and all required fields."""
-    return groups.filter("reason_skipped = ''").select(
+    good = groups.filter("reason_skipped = ''").select(*FEED_KEY)
+    both = scale.lookup_join(rows, good, FEED_KEY, spread=["_seq"], how="inner")
+    entry = F.struct("game_date", "team_name", "team_id")
+    side = lambda s: F.max(F.when(F.col("side") == s, entry))
+    games = both.groupBy(*FEED_KEY).agg(side("home").alias("_home"), side("away").alias("_away"))
+    return games.select(
         "game_id", "season", F.col("_home.game_date").alias("game_date"),
         F.col("_home.team_name").alias("home_team"), F.col("_away.team_name").alias("away_team"),
         F.col("_home.team_id").alias("home_team_id"), F.col("_away.team_id").alias("away_team_id"),

@@ -150,14 +150,16 @@ def build_issues(plays: DataFrame, events: DataFrame, table: DataFrame) -> DataF
 
 
 def add_time_and_labels(rows: DataFrame) -> DataFrame:
+    """Clock, label and flag columns; shared text work is done once, in a column of its own."""
     rows = rows.withColumns({
         "seconds_remaining_period": X.clock_seconds("pctimestring"),
-        "event_type_label": X.event_label("event_msg_type", "event_msg_action_type"),
+        "_key": X.event_key("event_msg_type"),
     })
-    return rows.withColumns({
+    rows = rows.withColumns({
         "seconds_remaining_game": X.game_seconds_left("period", "seconds_remaining_period"),
-        **X.event_flags("event_type_label"),
+        "event_type_label": X.label_of_key("_key", "event_msg_action_type"),
     })
+    return rows.withColumns(X.event_flags("event_type_label")).drop("_key")
 
 
 def live_features(

@@ -156,10 +156,9 @@ def clock_parse(spark, sf):
 
 @query
 def event_label_map(spark, sf):
-    label = X.event_label("event_msg_type", "event_msg_action_type")
-    rows = load(spark, sf, "plays").withColumn("label", label)
-    flags = {n: c for n, c in X.event_flags("label").items()}
-    return rows.select("event_num", "label", *[c.alias(n) for n, c in flags.items()])
+    rows = load(spark, sf, "plays").withColumn("_key", X.event_key("event_msg_type"))
+    rows = rows.withColumn("label", X.label_of_key("_key", "event_msg_action_type"))
+    return rows.withColumns(X.event_flags("label")).select("event_num", "label", *X.event_flags("label"))
 
 
 # ---- ingest ------------------------------------------------------------------------------------
@@ -196,7 +195,7 @@ def upsert_stored_table(spark, sf):
 @query
 def pair_home_away_rows(spark, sf):
     rows = ingest.clean_team_rows(load(spark, sf, "team_rows"))
-    return ingest.pair_games(ingest.game_groups(rows))
+    return ingest.pair_games(rows, ingest.game_groups(rows))
 
 
 @query

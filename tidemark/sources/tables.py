@@ -182,7 +182,7 @@ def land_schedule(team_rows: DataFrame, table: str, skipped: str, invalid: str)
     """Team rows of any number of seasons -> games table, skip report and quarantine."""
     rows = ingest.clean_team_rows(team_rows)
     groups = ingest.game_groups(rows)
-    games = ingest.pair_games(groups).withColumn("_seq", F.lit(0).cast("long"))
+    games = ingest.pair_games(rows, groups).withColumn("_seq", F.lit(0).cast("long"))
     good, bad = quality.split_valid(games, schemas.GAME_NON_NULL, schemas.GAME_COLUMNS, "games")
     quarantine(bad, invalid)
     quarantine(ingest.skipped_games(rows, groups), skipped)
