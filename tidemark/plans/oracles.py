@@ -348,6 +348,22 @@ ORACLES["normalized_overrides"] = f"""WITH {cte('overrides')}, {CLEAN}
 SELECT season, finals_game_number, game_id, trim(home_team_id) AS home_team_id, s AS status, source,
        season_type, {COMPLETE} AS complete, {RESOLVED} AS resolved_id FROM clean"""
 
+ORACLES["dataset_contracts"] = """SELECT * FROM (VALUES
+  ('orders', 'exists', 'pass', ''), ('orders', 'columns', 'fail', 'o_winner'),
+  ('events', 'exists', 'pass', ''), ('events', 'columns', 'pass', ''),
+  ('lineitem', 'exists', 'pass', ''), ('lineitem', 'columns', 'pass', ''),
+  ('region', 'exists', 'pass', ''), ('region', 'columns', 'pass', ''),
+  ('ratings', 'exists', 'fail', 'table missing'),
+  ('notes', 'exists', 'not_applicable', 'table missing')) t(dataset, check, status, details)
+UNION ALL SELECT 'orders', 'has_rows', CASE WHEN count(*) > 0 THEN 'pass' ELSE 'warning' END, ''
+FROM orders
+UNION ALL SELECT 'events', 'has_rows', CASE WHEN count(*) > 0 THEN 'pass' ELSE 'warning' END, ''
+FROM events
+UNION ALL SELECT 'lineitem', 'has_rows', CASE WHEN count(*) > 0 THEN 'pass' ELSE 'warning' END, ''
+FROM lineitem
+UNION ALL SELECT 'region', 'has_rows', CASE WHEN count(*) > 0 THEN 'pass' ELSE 'warning' END, ''
+FROM region"""
+
 # ---- reconciliation ----------------------------------------------------------------------------------
 CORRECTIONS = """fixes AS (
   SELECT game_id, CAST(quantity AS INT) AS home_score,
