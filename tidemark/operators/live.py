@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import schemas
@@ -42,28 +42,25 @@ def with_raw_scores(events: DataFrame) -> DataFrame:
     })
 
 
-def running_scores(
-    events: DataFrame, carried: DataFrame | None = None,
-    block_rows: int = scale.DEFAULT_BLOCK_ROWS,
-) -> DataFrame:
-    """Running score per game that never goes back, margins and the scoring flag.
-
-    Expects one row per event. Scores missing before the first one count as 0. Game totals
-    walk over block summaries; rows only look inside their own block.
-    """
+def _blocks(events: DataFrame, block_rows: int, extra=None) -> tuple[DataFrame, DataFrame]:
+    """(rows with their block, one summary row per game and block)."""
     blocked = scale.with_block(with_raw_scores(events), "event_num", block_rows)
-    blocks = scale.block_summary(
-        blocked, GAME, {"_h": F.max("_home_raw"), "_a": F.max("_away_raw")}
-    )
+    aggs = {"_h": F.max("_home_raw"), "_a": F.max("_away_raw"), **(extra or {})}
+    return blocked, scale.block_summary(blocked, GAME, aggs)
+
+
+def _carried() -> list[Column]:
+    """State of a game before each of its blocks."""
     before = scale.blocks_before(GAME)
-    blocks = blocks.select(
-        *GAME, scale.BLOCK,
+    return [
         F.coalesce(F.max("_h").over(before), F.lit(0.0)).alias("_h0"),
         F.coalesce(F.max("_a").over(before), F.lit(0.0)).alias("_a0"),
         F.count(F.lit(1)).over(before).alias("_blocks_before"),
-    )
-    if carried is not None:
-        blocks = blocks.join(carried, GAME)
+    ]
+
+
+def _run(blocked: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Join the carried state onto the rows and finish the running score inside each block."""
     rows = blocked.join(blocks, [*GAME, scale.BLOCK])
     inside = scale.inside_block(GAME, F.col("event_num").asc_nulls_last())
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -82,21 +79,27 @@ def running_scores(
     }).drop("_home_raw", "_away_raw", "_h0", "_a0", "_blocks_before", "_last_total", scale.BLOCK)
 
 
-def game_table(events: DataFrame, games: DataFrame, sequence: str = "_seq") -> DataFrame:
-    """One row per played game: metadata, final scores and label.
+def running_scores(events: DataFrame, block_rows: int = scale.DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Running score per game that never goes back, margins and the scoring flag.
+
+    Expects one row per event. Scores missing before the first one count as 0. Game totals
+    walk over block summaries; rows only look inside their own block.
+    """
+    blocked, blocks = _blocks(events, block_rows)
+    return _run(blocked, blocks.select(*GAME, scale.BLOCK, *_carried()))
+
+
+def _first_meta() -> Column:
+    return F.min_by(F.struct(*META), F.coalesce(F.col("event_num"), F.lit(float("inf"))))
+
 
-    The final score is the highest score seen, so a stale trailing row cannot rewind it. The
-    schedule supplies metadata; a game it does not know keeps that of its first event.
+def _stamp(played: DataFrame, games: DataFrame, sequence: str) -> DataFrame:
+    """Game metadata, final score and label for rows with game totals ``_h``, ``_a``, ``_first``.
+
+    The schedule supplies metadata; a game it does not know keeps that of its first event.
     """
-    first = F.struct(*META)
-    played = with_raw_scores(events).groupBy(*GAME).agg(
-        F.max("_home_raw").alias("_h"),
-        F.max("_away_raw").alias("_a"),
-        F.count(F.lit(1)).alias("event_rows"),
-        F.min_by(first, F.coalesce(F.col("event_num"), F.lit(float("inf")))).alias("_first"),
-    )
-    wanted = [*META, "home_team_id", "away_team_id"]
     order = [sequence] if sequence in games.columns else ["game_date"]
+    wanted = [*META, "home_team_id", "away_team_id"]
     schedule = scale.keep_last(games, GAME, *order).select(
         *GAME, F.struct(*wanted).alias("_schedule")
     )
@@ -104,16 +107,24 @@ def game_table(events: DataFrame, games: DataFrame, sequence: str = "_seq") -> D
     known = F.col("_schedule").isNotNull()
     scored = F.col("_h").isNotNull() & F.col("_a").isNotNull()
     home, away = (F.when(scored, F.greatest(F.col(c), F.lit(0.0))) for c in ("_h", "_a"))
-    meta = {
-        c: F.when(known, F.col(f"_schedule.{c}")).otherwise(F.col(f"_first.{c}")) for c in META
-    }
-    ids = {c: F.col(f"_schedule.{c}") for c in ("home_team_id", "away_team_id")}
-    won = X.home_won_tie_is_away(home, away)
-    return both.select(
-        *GAME, *[c.alias(n) for n, c in {**meta, **ids}.items()],
-        home.alias("final_home"), away.alias("final_away"),
-        won.alias("home_team_won"), known.alias("in_schedule"), "event_rows",
+    return both.withColumns({
+        **{c: F.when(known, F.col(f"_schedule.{c}")).otherwise(F.col(f"_first.{c}")) for c in META},
+        **{c: F.col(f"_schedule.{c}") for c in ("home_team_id", "away_team_id")},
+        "final_home": home, "final_away": away, "in_schedule": known,
+        "home_team_won": X.home_won_tie_is_away(home, away),
+    }).drop("_schedule", "_first", "_h", "_a")
+
+
+def game_table(events: DataFrame, games: DataFrame, sequence: str = "_seq") -> DataFrame:
+    """One row per played game: metadata, final scores and label.
+
+    The final score is the highest score seen, so a stale trailing row cannot rewind it.
+    """
+    played = with_raw_scores(events).groupBy(*GAME).agg(
+        F.max("_home_raw").alias("_h"), F.max("_away_raw").alias("_a"),
+        F.count(F.lit(1)).alias("event_rows"), _first_meta().alias("_first"),
     )
+    return _stamp(played, games, sequence)
 
 
 def game_results(table: DataFrame) -> DataFrame:
@@ -163,15 +174,20 @@ def add_time_and_labels(rows: DataFrame) -> DataFrame:
 
 
 def live_features(
-    events: DataFrame, table: DataFrame, block_rows: int = scale.DEFAULT_BLOCK_ROWS
+    events: DataFrame, games: DataFrame, sequence: str = "_seq",
+    block_rows: int = scale.DEFAULT_BLOCK_ROWS,
 ) -> DataFrame:
     """The event-level feature table; metadata and label ride along with the block summaries."""
-    stamped = table.select(
-        *GAME, *META, "home_team_id", "away_team_id", "home_team_won"
+    blocked, blocks = _blocks(events, block_rows, {"_first": _first_meta()})
+    game = scale.all_blocks(GAME)
+    blocks = blocks.select(
+        *GAME, scale.BLOCK, *_carried(),
+        *[F.max(c).over(game).alias(c) for c in ("_h", "_a")],
+        F.min_by("_first", scale.BLOCK).over(game).alias("_first"),
     )
-    plain = events.drop(*META, "home_team_id", "away_team_id", "home_team_won")
-    rows = running_scores(plain, carried=stamped, block_rows=block_rows)
-    return add_time_and_labels(rows).select(*schemas.LIVE_COLUMNS)
+    stamped = _stamp(blocks, games, sequence).drop("final_home", "final_away", "in_schedule")
+    plain = blocked.drop(*META, "home_team_id", "away_team_id", "home_team_won")
+    return add_time_and_labels(_run(plain, stamped)).select(*schemas.LIVE_COLUMNS)
 
 
 def build_live(
@@ -182,7 +198,7 @@ def build_live(
     events = dedupe_events(plays, sequence)
     table = game_table(events, games, sequence)
     return (
-        live_features(events, table, block_rows),
+        live_features(events, games, sequence, block_rows),
         game_results(table),
         build_issues(plays, events, table),
     )

@@ -354,7 +354,7 @@ ORACLES["dataset_contracts"] = """SELECT * FROM (VALUES
   ('lineitem', 'exists', 'pass', ''), ('lineitem', 'columns', 'pass', ''),
   ('region', 'exists', 'pass', ''), ('region', 'columns', 'pass', ''),
   ('ratings', 'exists', 'fail', 'table missing'),
-  ('notes', 'exists', 'not_applicable', 'table missing')) t(dataset, check, status, details)
+  ('notes', 'exists', 'not_applicable', 'table missing')) t(dataset, "check", status, details)
 UNION ALL SELECT 'orders', 'has_rows', CASE WHEN count(*) > 0 THEN 'pass' ELSE 'warning' END, ''
 FROM orders
 UNION ALL SELECT 'events', 'has_rows', CASE WHEN count(*) > 0 THEN 'pass' ELSE 'warning' END, ''

@@ -128,7 +128,7 @@ def running_score_state(spark, sf):
 @query
 def live_features_full(spark, sf):
     events = deduped_plays(spark, sf)
-    return live.live_features(events, live.game_table(events, schedule(spark, sf)))
+    return live.live_features(events, schedule(spark, sf))
 
 
 @query
@@ -880,7 +880,7 @@ def train_and_score(spark, sf):
 @query
 def live_model_report(spark, sf):
     events = deduped_plays(spark, sf)
-    features = live.live_features(events, live.game_table(events, schedule(spark, sf)))
+    features = live.live_features(events, schedule(spark, sf))
     train, test = split.game_split(features)
     return model.train_and_report(train, test, model.live_manifest(features), live=True).metrics
 
@@ -897,7 +897,7 @@ def prediction_columns(spark, sf):
 @query
 def live_predictions_scored(spark, sf):
     events = deduped_plays(spark, sf)
-    features = live.live_features(events, live.game_table(events, schedule(spark, sf)))
+    features = live.live_features(events, schedule(spark, sf))
     return model.predict_live(features, model.fit(features, model.live_manifest(features)))
 
 
@@ -982,7 +982,7 @@ def stream_scores(spark, sf):
     """A saved model applied to feature rows as they arrive."""
     root = _run_folder(spark)
     events = deduped_plays(spark, sf)
-    features = live.live_features(events, live.game_table(events, schedule(spark, sf)))
+    features = live.live_features(events, schedule(spark, sf))
     tables.overwrite(features, f"{root}/features")
     stored = tables.read_table(spark, f"{root}/features")
     model.fit(stored, model.live_manifest(stored)).save(f"{root}/model")

@@ -73,7 +73,7 @@ def refresh_live_state(
 
     def run(rows: DataFrame, batch_id: int) -> None:
         events = touched_events(rows, table).drop("bucket")
-        state = live.live_features(events, live.game_table(events, games), block_rows)
+        state = live.live_features(events, games, block_rows=block_rows)
         state = with_bucket(state.withColumn("_seq", F.lit(batch_id).cast("long")))
         tables.upsert(features, state, live.EVENT_KEY, ["bucket"])
 
