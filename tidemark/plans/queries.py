@@ -261,7 +261,7 @@ def team_stats_normalized(spark, sf):
 def season_type_rules(spark, sf):
     values = table(spark, sf, "part").selectExpr(
         "p_partkey AS id", "CASE p_size % 5 WHEN 0 THEN 'Regular Season' WHEN 1 THEN ' playoff' "
-        "WHEN 2 THEN 'NBA Playoffs 2024' WHEN 3 THEN 'postseason' END AS label",
+        "WHEN 2 THEN 'The Playoffs 2024' WHEN 3 THEN 'postseason' END AS label",
     )
     return values.select(
         "id", X.season_type_strict("label").alias("strict"),
