@@ -147,3 +147,13 @@ def test_previous_row_crosses_blocks(spark):
     df = spark.range(400).selectExpr("id % 3 AS k", "id AS n", "id * 2 AS v")
     got = scale.add_previous(df, ["k"], "n", {"p": "v"}, block_rows=5).collect()
     assert all(r.p == (None if r.n < 3 else (r.n - 3) * 2) for r in got) and len(got) == 400
+
+
+def test_a_hot_game_is_cut_into_bounded_blocks(spark):
+    df = spark.range(10_000).selectExpr("'hot' AS game_id", "id AS event_num")
+    sizes = scale.with_block(df, "event_num", 256).groupBy("game_id", scale.BLOCK).count()
+    assert sizes.agg(F.max("count")).first()[0] == 256
+    plan = live.running_scores(spark.createDataFrame(ROWS, PLAYS))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    rows = [line for line in text.splitlines() if "Window" in line and "event_num" in line]
+    assert rows and all(scale.BLOCK in line for line in rows)
