@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, pii
-from tidemark.llm.common import table
+from tidemark.llm import decontaminate, mixing, near_text, pii, toxicity
+from tidemark.llm.common import fold_of, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -35,3 +35,25 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"),
+                         toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op3_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_text.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixed(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "source", "lang", "topic", "tokens",
+                      F.round("cell_weight", 6).alias("cell_weight"),
+                      F.round("prob", 6).alias("prob"), "sampled")
