@@ -72,8 +72,9 @@ def document_hits(docs: DataFrame, shingles: DataFrame, sizes: list[int], reach:
         # texts with fewer words give a null key, which joins nothing.
         at = F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last)))
         part = split.select("doc_id", "w", at.alias("at"))
-        words = [F.element_at("w", F.col("at") + i) for i in range(1, size + 1)]
-        part = part.withColumn("key", F.xxhash64(F.concat_ws(" ", *words)))
+        words = [F.get("w", F.col("at") + i) for i in range(size)]
+        key = F.when(F.col("at").isNotNull(), F.xxhash64(F.concat_ws(" ", *words)))
+        part = part.withColumn("key", key)
         part = part.join(keys, "key")
         found = part if found is None else found.unionByName(part)
     before = F.least(F.col("at"), F.lit(reach))

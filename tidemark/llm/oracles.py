@@ -1,3 +1,163 @@
 """SQL counterparts (DuckDB) of the corpus queries that SQL can express."""
 
+from __future__ import annotations
+
+from tidemark.llm import mixing
+
 ORACLES: dict[str, str] = {}
+
+ORACLES["op3_near_text"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s
+  FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 75 * (x.n + y.n - shared.n)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents
+  UNION
+  SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON reach.seen = both_ways.a
+), found AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN found ON node = doc_id LEFT JOIN sizes USING (doc_id)
+"""
+
+ORACLES["op4_near_vectors"] = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  SELECT vec_id AS node, vec_id AS seen FROM embeddings
+  UNION
+  SELECT reach.node, links.b FROM reach JOIN links ON reach.seen = links.a
+), found AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN found ON node = vec_id LEFT JOIN counts ON a = vec_id
+"""
+
+ORACLES["op8_decontaminate"] = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(2, len(w) - 8)), lambda i: w[i:i + 9])) AS win
+  FROM items WHERE len(w) > 0
+), lengths AS (SELECT DISTINCT len(win) AS n FROM windows),
+places AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM docs, lengths WHERE len(w) >= n
+), hits AS (
+  SELECT doc_id, i, n, item_id FROM places JOIN windows ON places.w[i:i + n - 1] = win
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hits GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLES["op10_warc"] = """
+WITH rows AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS code FROM pages
+), tops AS (SELECT code, max(page_id) AS top FROM rows GROUP BY code),
+digits AS (
+  SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, top,
+         list_transform(range(0, 8), lambda k: ('0x' || substr(code, 5 * k + 1, 5))::INTEGER) AS five
+  FROM rows JOIN tops USING (code)
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(five, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+         lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id < top THEN top END AS refers_to, true AS intact
+FROM digits
+"""
+
+ORACLES["op7_url_filter"] = r"""
+WITH caps AS (
+  SELECT page_id, url, DATE '2024-01-01' + ((page_id * 37) % 366)::INTEGER AS fetched,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path
+  FROM pages
+), hosts AS (
+  SELECT host, ('0x' || substr(md5(host), 1, 6))::INTEGER AS code FROM (SELECT DISTINCT host FROM caps WHERE host <> '')
+), entries AS (
+  SELECT 'd:' || host AS pattern, 'block' AS verdict, d AS day, added FROM hosts,
+    (VALUES (0, true), (60, false), (120, true)) e(after, added), LATERAL (SELECT DATE '2024-01-01' + (code % 180 + after)::INTEGER AS d)
+  WHERE code % 3 = 0
+  UNION ALL
+  SELECT 'd:' || array_to_string(string_split(host, '.')[-3:], '.'), 'block', DATE '2024-01-01' + (code % 180 + 30)::INTEGER, true
+  FROM hosts WHERE code % 5 = 0
+  UNION ALL
+  SELECT 'p:' || host || '/en/', 'allow', DATE '2024-01-01' + (code % 180 + after)::INTEGER, added FROM hosts,
+    (VALUES (10, true), (200, false)) e(after, added) WHERE code % 4 = 1
+), daily AS (SELECT pattern, verdict, day, bool_and(added) AS added FROM entries GROUP BY pattern, verdict, day),
+spans AS (
+  SELECT *, coalesce(lead(day) OVER (PARTITION BY pattern, verdict ORDER BY day), DATE '9999-12-31') AS until FROM daily
+), met AS (
+  SELECT page_id, s.*, starts_with(pattern, 'p:') AS folder, length(pattern) AS size FROM caps JOIN spans s
+  ON s.added AND fetched >= s.day AND fetched < s.until AND (
+    (starts_with(pattern, 'd:') AND (host = substr(pattern, 3) OR ends_with(host, '.' || substr(pattern, 3))))
+    OR (starts_with(pattern, 'p:') AND starts_with(host || path, substr(pattern, 3))))
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY folder DESC, size DESC, verdict = 'allow' DESC) AS r FROM met
+)
+SELECT caps.page_id, url, fetched::VARCHAR AS fetched, coalesce(verdict, 'none') AS verdict, pattern, day::VARCHAR AS valid_from
+FROM caps LEFT JOIN best ON caps.page_id = best.page_id AND r = 1
+"""
+
+
+def _mixing() -> str:
+    """Raking unrolled: every step divides by a window sum over one dimension."""
+    def named(d: str) -> str:
+        return ", ".join(f"'{v}'" for v in mixing.TARGETS[d] if v != mixing.OTHER)
+
+    def wanted(d: str) -> str:
+        return "CASE " + d + " " + " ".join(f"WHEN '{v}' THEN {t!r}::DOUBLE" for v, t in mixing.TARGETS[d].items()) + " END"
+
+    steps, last = [], "start"
+    for k in range(mixing.ROUNDS):
+        for d in mixing.DIMENSIONS:
+            steps.append(
+                f"r{k}_{d} AS MATERIALIZED (SELECT source, lang, topic, tokens, w * ({wanted(d)}) / (SELECT sum({wanted(d)}) FROM "
+                f"(SELECT DISTINCT {d} FROM start)) / sum(w) OVER (PARTITION BY {d}) AS w FROM {last})")
+            last = f"r{k}_{d}"
+    return rf"""
+WITH cells AS (
+  SELECT doc_id, CASE WHEN source IN ({named("source")}) THEN source ELSE 'other' END AS source,
+    CASE WHEN lang IN ({named("lang")}) THEN lang ELSE 'other' END AS lang,
+    CASE WHEN coalesce(text, '') = '' THEN 'other' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!! ') THEN 'shout'
+         WHEN contains(text, 'Licensed under') THEN 'licence' ELSE 'prose' END AS topic,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens
+  FROM documents
+), counted AS (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM cells GROUP BY ALL HAVING sum(tokens) > 0),
+start AS (SELECT *, tokens / sum(tokens) OVER () AS w FROM counted),
+{", ".join(steps)},
+plan AS (SELECT source, lang, topic, w, least(1.0, w * (sum(tokens) OVER ()) * {mixing.SHARE} / tokens) AS p FROM {last})
+SELECT doc_id, source, lang, topic, tokens, round(coalesce(w, 0), 6) AS cell_weight, round(coalesce(p, 0), 6) AS prob,
+       ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < coalesce(p, 0) AS sampled
+FROM cells LEFT JOIN plan USING (source, lang, topic)
+"""
+
+
+ORACLES["op5_mixing"] = _mixing()

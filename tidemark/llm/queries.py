@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, near_text, pii, toxicity
+from tidemark.llm import (
+    decontaminate, html_text, mixing, near_text, near_vectors, ngram, pii, toxicity, url_filter, warc,
+)
 from tidemark.llm.common import fold_of, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +59,35 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "source", "lang", "topic", "tokens",
                       F.round("cell_weight", 6).alias("cell_weight"),
                       F.round("prob", 6).alias("prob"), "sampled")
+
+
+@query
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_groups(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+@query
+def op6_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are fetched on a day of 2024 that follows from the page_id."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.date_add(F.to_date(F.lit("2024-01-01")), F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int"))
+    judged = url_filter.judge(pages.withColumn("fetched", fetched), url_filter.entries_of_hosts(pages))
+    return judged.select("page_id", "url", F.col("fetched").cast("string").alias("fetched"), "verdict",
+                         "pattern", F.col("valid_from").cast("string").alias("valid_from"))
