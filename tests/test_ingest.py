@@ -27,7 +27,7 @@ AWAY = ("1", 1610612748, "Miami Heat", "MIA @ BOS")
 
 def test_complete_game(spark):
     clean, groups = pair(spark, HOME, AWAY)
-    (g,) = ingest.pair_games(clean, groups).collect()
+    (g,) = ingest.pair_games(groups).collect()
     assert (g.home_team, g.away_team, g.home_team_id, g.status, g.game_type) == (
         "Boston Celtics", "Miami Heat", "1610612738", "final", "regular_season")
 
@@ -41,17 +41,19 @@ def test_complete_game(spark):
 ])
 def test_skip_reasons(spark, rows, reason):
     clean, groups = pair(spark, *rows)
-    assert ingest.pair_games(clean, groups).isEmpty()
+    assert ingest.pair_games(groups).isEmpty()
     (s,) = ingest.skipped_games(clean, groups).collect()
     assert s.reason_skipped == reason and s.raw_row_count == len(rows)
     assert len(s.matchup_values.split(" | ")) == len(rows)
 
 
-def test_big_skipped_game_keeps_every_row_in_the_detail(spark):
-    clean, groups = pair(spark, *[HOME] * 30)
-    (s,) = ingest.skipped_games(clean, groups, listed_rows=10).collect()
-    assert s.home_row_count == 30 and s.team_names is None
-    assert ingest.skipped_rows(clean, groups).count() == 30
+def test_big_skipped_game_is_listed_in_parts(spark):
+    clean, groups = pair(spark, *[HOME] * 2500)
+    parts = ingest.skipped_games(clean, groups, part_rows=100).collect()
+    assert sorted(p.part for p in parts) == list(range(25))
+    assert all(p.home_row_count == 2500 and p.reason_skipped for p in parts)
+    assert sum(len(p.team_names.split(" | ")) for p in parts) == 2500
+    assert ingest.skipped_rows(clean, groups).count() == 2500
 
 
 def test_missing_feed_column_fails_early(spark):

@@ -115,20 +115,15 @@ def test_dedupe_is_cut_before_the_shuffle(spark):
     assert text.count("WindowGroupLimit") == 2
 
 
-def test_salted_lookup_equals_the_plain_join(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        facts = spark.range(5000).selectExpr("id % 7 AS k0", "id AS v").selectExpr(
-            "CASE WHEN v % 3 = 0 THEN 0 ELSE k0 END AS k", "v")
-        dim = spark.range(5).selectExpr("id AS k", "id * 10 AS d")
-        for how in ("left", "inner"):
-            got = scale.lookup_join(
-                facts, dim, ["k"], ["v"], how, hot_rows=1000, salts=8, small_bytes=0)
-            want = facts.join(dim, "k", how)
-            key = lambda r: (r.v, r.k, r.d)
-            assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+def test_lookup_has_one_plan_at_every_size(spark):
+    facts = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id % 7 END AS k", "id AS v")
+    dim = spark.range(5).selectExpr("id AS k", "id * 10 AS d")
+    for how in ("left", "inner"):
+        got = scale.lookup_join(facts, dim, ["k"], how)
+        want = facts.join(dim, "k", how)
+        key = lambda r: (r.v, r.k, r.d)
+        assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+        assert got._jdf.queryExecution().analyzed().toString().count("Join") == 1
 
 
 def test_positions_and_totals_in_one_order(spark):
@@ -149,11 +144,19 @@ def test_previous_row_crosses_blocks(spark):
     assert all(r.p == (None if r.n < 3 else (r.n - 3) * 2) for r in got) and len(got) == 400
 
 
-def test_a_hot_game_is_cut_into_bounded_blocks(spark):
-    df = spark.range(10_000).selectExpr("'hot' AS game_id", "id AS event_num")
-    sizes = scale.with_block(df, "event_num", 256).groupBy("game_id", scale.BLOCK).count()
-    assert sizes.agg(F.max("count")).first()[0] == 256
+def test_a_hot_game_of_sparse_numbers_is_cut_into_bounded_blocks(spark):
+    df = spark.range(10_000).selectExpr(
+        "'hot' AS game_id", "CASE WHEN id % 4 > 0 THEN CAST(id * 1000003 AS double) END AS event_num")
+    sizes = scale.with_block(df, ["game_id"], "event_num", (), 256).groupBy("game_id", scale.BLOCK).count()
+    assert sizes.agg(F.max("count")).first()[0] == 256 and sizes.count() <= 10_000 / 256 + 9
     plan = live.running_scores(spark.createDataFrame(ROWS, PLAYS))
     text = plan._jdf.queryExecution().optimizedPlan().toString()
-    rows = [line for line in text.splitlines() if "Window" in line and "event_num" in line]
+    rows = [line for line in text.splitlines() if "Window" in line and scale.SLOT in line]
     assert rows and all(scale.BLOCK in line for line in rows)
+
+
+def test_rows_without_a_game_are_kept(spark):
+    df = spark.createDataFrame([(None, 1.0, 0.2), (None, 2.0, 0.3), ("g", 1.0, 0.5)],
+                               "game_id string, event_num double, v double")
+    got = {(r.game_id, r.event_num): r.p for r in scale.add_previous(df, ["game_id"], "event_num", {"p": "v"}).collect()}
+    assert got == {(None, 1.0): None, (None, 2.0): 0.2, ("g", 1.0): None}

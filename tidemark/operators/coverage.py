@@ -86,7 +86,8 @@ def coverage_report(
     """One row per section and requested season; ``games`` sets what is expected of the others."""
     wanted = _requested(spark, seasons)
     none = spark.createDataFrame([], "season string, row_count long, game_count long")
-    counts = {n: (none if df is None else season_counts(df)) for n, df in datasets.items()}
+    # One row per season each, stored: every table is scanned once.
+    counts = {n: (none if df is None else scale.stored(season_counts(df))) for n, df in datasets.items()}
     expected = counts["games"].select("season", F.col("game_count").alias("expected_games"))
     zero = {"row_count": 0, "game_count": 0, "expected_games": 0}
     parts = []
@@ -214,7 +215,7 @@ def _dataset_checks(
     sides = spark.createDataFrame(
         [(s, "train") for s in train] + [(test, "test")], "season string, side string"
     )
-    rows = sides.join(training_profile(df), "season", "left")
+    rows = sides.join(scale.stored(training_profile(df)), "season", "left")
     found = F.col("rows").isNotNull()
     season = F.col("season")
     n, games = F.coalesce("rows", F.lit(0)), F.coalesce("games", F.lit(0))

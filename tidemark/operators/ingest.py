@@ -11,7 +11,7 @@ from tidemark.operators import quality, scale
 
 LIST_SEPARATOR = " | "  # fixed value
 FEED_KEY = ["season", "game_type", "game_id"]
-LISTED_ROWS = 1000
+PART_ROWS = 1000
 
 
 # ---- schedule: two team rows -> one game ----------------------------------------------------
@@ -29,10 +29,12 @@ def clean_team_rows(rows: DataFrame) -> DataFrame:
 
 
 def game_groups(rows: DataFrame) -> DataFrame:
-    """One row per feed game: side counts and every reason to skip it.
+    """One row per feed game: side counts, every reason to skip it, and its home and away entry.
 
-    Only counts are kept, so a game with a huge number of copies is combined before the shuffle.
+    Counts and one entry per side are kept, so a game with a huge number of copies is combined
+    before the shuffle.
     """
+    entry = F.struct("game_date", "team_name", "team_id")
     home_row, away_row = F.col("side") == "home", F.col("side") == "away"
     unnamed = X.any_null("team_name", "team_id")
     groups = rows.groupBy(*FEED_KEY).agg(
@@ -42,6 +44,7 @@ def game_groups(rows: DataFrame) -> DataFrame:
         F.count_if(F.col("side").isNull()).alias("_unread"),
         F.count_if((home_row & (unnamed | F.col("game_date").isNull())) | (away_row & unnamed))
         .alias("_incomplete"),
+        F.max(F.when(home_row, entry)).alias("_home"), F.max(F.when(away_row, entry)).alias("_away"),
     )
     home, away = F.col("home_row_count"), F.col("away_row_count")
     paired = (F.col("_unread") == 0) & (home == 1) & (away == 1)
@@ -56,14 +59,9 @@ def game_groups(rows: DataFrame) -> DataFrame:
     return groups.withColumn("reason_skipped", F.array_join(reasons, ";"))
 
 
-def pair_games(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def pair_games(groups: DataFrame) -> DataFrame:
     """The games with exactly one home and one away row and all required fields."""
-    good = groups.filter("reason_skipped = ''").select(*FEED_KEY)
-    both = scale.lookup_join(rows, good, FEED_KEY, spread=["_seq"], how="inner")
-    entry = F.struct("game_date", "team_name", "team_id")
-    side = lambda s: F.max(F.when(F.col("side") == s, entry))
-    games = both.groupBy(*FEED_KEY).agg(side("home").alias("_home"), side("away").alias("_away"))
-    return games.select(
+    return groups.filter("reason_skipped = ''").select(
         "game_id", "season", F.col("_home.game_date").alias("game_date"),
         F.col("_home.team_name").alias("home_team"), F.col("_away.team_name").alias("away_team"),
         F.col("_home.team_id").alias("home_team_id"), F.col("_away.team_id").alias("away_team_id"),
@@ -76,33 +74,32 @@ def skipped_rows(rows: DataFrame, groups: DataFrame) -> DataFrame:
     skipped = groups.filter("reason_skipped != ''").select(
         *FEED_KEY, "raw_row_count", "reason_skipped"
     )
-    return scale.lookup_join(rows, skipped, FEED_KEY, spread=["_seq"], how="inner")
+    return scale.lookup_join(rows, skipped, FEED_KEY, how="inner")
 
 
-def skipped_games(rows: DataFrame, groups: DataFrame, listed_rows: int = LISTED_ROWS) -> DataFrame:
-    """Skip report with the values of each game listed in one cell.
+def skipped_games(rows: DataFrame, groups: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Skip report with the values of each game listed in a cell.
 
-    A cell is one value in one task, so games beyond ``listed_rows`` keep their counts and
-    reasons here and have their values in ``skipped_rows``, which is complete for all games.
+    A game with more than ``part_rows`` rows is reported in as many parts as that takes, dealt by a
+    hash of ``_seq``, so cells stay small and every value is in one of them.
     """
     columns = {
         "team_names": "team_name", "team_ids": "team_id",
         "matchup_values": "matchup", "game_dates": "game_date",
     }
-    small = groups.filter(F.col("raw_row_count") <= listed_rows)
-    detail = skipped_rows(rows, small)
+    counts = ["raw_row_count", "home_row_count", "away_row_count", "reason_skipped"]
+    skipped = groups.filter("reason_skipped != ''").select(*FEED_KEY, *counts)
+    detail = scale.lookup_join(rows, skipped, FEED_KEY, how="inner")
+    parts = F.ceil(F.col("raw_row_count") / part_rows)
+    detail = detail.withColumn("part", F.pmod(F.xxhash64("_seq"), parts).cast("int"))
     entry = F.struct("_seq", *[
         F.coalesce(F.col(c), F.lit("nan")).alias(c) for c in columns.values()
     ])
-    lists = detail.groupBy(*FEED_KEY).agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
-    lists = lists.select(*FEED_KEY, *[
-        F.array_join(F.col(f"_rows.{c}"), LIST_SEPARATOR).alias(n) for n, c in columns.items()
-    ])
-    return (
-        groups.filter("reason_skipped != ''")
-        .join(lists, FEED_KEY, "left")
-        .select(*schemas.SKIPPED_COLUMNS)
-    )
+    lists = detail.groupBy(*FEED_KEY, *counts, "part").agg(
+        F.array_sort(F.collect_list(entry)).alias("_rows"))
+    return lists.withColumns({
+        n: F.array_join(F.col(f"_rows.{c}"), LIST_SEPARATOR) for n, c in columns.items()
+    }).select(*schemas.SKIPPED_COLUMNS, "part")
 
 
 def raw_counts(rows: DataFrame) -> DataFrame:
@@ -135,7 +132,7 @@ def normalize_plays(raw: DataFrame, games: DataFrame) -> DataFrame:
     )
     meta = games.select("game_id", "home_team", "away_team", "season", "game_date")
     meta = scale.keep_last(meta, ["game_id"], "game_date")
-    stamped = scale.lookup_join(events, meta, ["game_id"], spread=["event_num", *keep])
+    stamped = scale.lookup_join(events, meta, ["game_id"])
     return stamped.select(*schemas.PLAY_COLUMNS, *extras, *keep)
 
 

@@ -44,7 +44,8 @@ def with_raw_scores(events: DataFrame) -> DataFrame:
 
 def _blocks(events: DataFrame, block_rows: int, extra=None) -> tuple[DataFrame, DataFrame]:
     """(rows with their block, one summary row per game and block)."""
-    blocked = scale.with_block(with_raw_scores(events), "event_num", block_rows)
+    tie = [c for c in ("_seq",) if c in events.columns]
+    blocked = scale.with_block(with_raw_scores(events), GAME, "event_num", tie, block_rows)
     aggs = {"_h": F.max("_home_raw"), "_a": F.max("_away_raw"), **(extra or {})}
     return blocked, scale.block_summary(blocked, GAME, aggs)
 
@@ -61,8 +62,8 @@ def _carried() -> list[Column]:
 
 def _run(blocked: DataFrame, blocks: DataFrame) -> DataFrame:
     """Join the carried state onto the rows and finish the running score inside each block."""
-    rows = blocked.join(blocks, [*GAME, scale.BLOCK])
-    inside = scale.inside_block(GAME, F.col("event_num").asc_nulls_last())
+    rows = scale.join_blocks(blocked, blocks, GAME)
+    inside = scale.inside_block(GAME)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns({
         "home_score": F.greatest(F.max("_home_raw").over(so_far), F.col("_h0")),
@@ -76,7 +77,7 @@ def _run(blocked: DataFrame, blocks: DataFrame) -> DataFrame:
         "score_margin_home": margin,
         "abs_score_margin": F.abs(margin),
         "is_scoring_event": F.coalesce(total > F.col("_last_total"), F.lit(False)),
-    }).drop("_home_raw", "_away_raw", "_h0", "_a0", "_blocks_before", "_last_total", scale.BLOCK)
+    }).drop("_home_raw", "_away_raw", "_h0", "_a0", "_blocks_before", "_last_total", scale.BLOCK, scale.SLOT)
 
 
 def running_scores(events: DataFrame, block_rows: int = scale.DEFAULT_BLOCK_ROWS) -> DataFrame:
@@ -123,6 +124,7 @@ def game_table(events: DataFrame, games: DataFrame, sequence: str = "_seq") -> D
     played = with_raw_scores(events).groupBy(*GAME).agg(
         F.max("_home_raw").alias("_h"), F.max("_away_raw").alias("_a"),
         F.count(F.lit(1)).alias("event_rows"), _first_meta().alias("_first"),
+        F.count_if(X.clock_unparsed("pctimestring")).alias("bad_clocks"),
     )
     return _stamp(played, games, sequence)
 
@@ -146,17 +148,20 @@ def _issue(df: DataFrame, kind: str, count: str, game_id="game_id") -> DataFrame
     )
 
 
-def build_issues(plays: DataFrame, events: DataFrame, table: DataFrame) -> DataFrame:
-    """Everything the feature build had to work around, counted per game."""
-    removed = duplicate_count(plays).filter("removed > 0")
-    clocks = events.filter(X.clock_unparsed("pctimestring")).groupBy(*GAME).agg(
-        F.count(F.lit(1)).alias("event_rows")
-    )
+def build_issues(plays: DataFrame, table: DataFrame) -> DataFrame:
+    """Everything the feature build had to work around, counted per game.
+
+    ``table`` has one row per game and is stored; what the dedupe removed is the rows of ``plays``
+    that the games do not count.
+    """
+    table = scale.stored(table)
+    kept = table.agg(F.coalesce(F.sum("event_rows"), F.lit(0)).alias("kept")).head().kept
+    removed = plays.agg((F.count(F.lit(1)) - F.lit(kept)).alias("removed")).filter("removed > 0")
     return (
         _issue(removed, "duplicate_events", "removed", F.lit(""))
         .unionByName(_issue(table.filter(~F.col("in_schedule")), "missing_from_games", "event_rows"))
         .unionByName(_issue(table.filter("home_team_won IS NULL"), "missing_scores", "event_rows"))
-        .unionByName(_issue(clocks, "invalid_pctimestring", "event_rows"))
+        .unionByName(_issue(table.filter("bad_clocks > 0"), "invalid_pctimestring", "bad_clocks"))
     )
 
 
@@ -194,11 +199,12 @@ def build_live(
     plays: DataFrame, games: DataFrame, sequence: str = "_seq",
     block_rows: int = scale.DEFAULT_BLOCK_ROWS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(features, results, issues) from raw plays and the schedule."""
-    events = dedupe_events(plays, sequence)
-    table = game_table(events, games, sequence)
+    """(features, results, issues) from raw plays and the schedule; events and games are stored
+    once and read by all three."""
+    events = scale.stored(dedupe_events(plays, sequence))
+    table = scale.stored(game_table(events, games, sequence))
     return (
         live_features(events, games, sequence, block_rows),
         game_results(table),
-        build_issues(plays, events, table),
+        build_issues(plays, table),
     )

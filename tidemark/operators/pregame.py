@@ -142,7 +142,7 @@ def attach_form(games: DataFrame, form: DataFrame) -> DataFrame:
             *[F.col(c).alias(f"{side}_{c}") for c in STATS],
         )
         return scale.lookup_join(
-            df, side_form, [f"{side}_team_id", "season", "day"], spread=["game_id"]
+            df, side_form, [f"{side}_team_id", "season", "day"]
         )
 
     out = reduce(add, ("home", "away"), with_day(games))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import schemas
@@ -34,15 +35,43 @@ def with_notes(results: DataFrame) -> DataFrame:
     return results.withColumn("notes", F.lit(""))
 
 
+def first_usable(rows: DataFrame, sequence: str, last: bool) -> DataFrame:
+    """Adds ``_chosen``: true for the one usable row of each game that counts.
+
+    Usable rows (without a reject reason) are ranked by sequence, then by all their values, so
+    equal or missing sequence numbers still give one choice. The rank is taken within 64 hash parts
+    of a game first and the parts' best are compared after, so no game has to fit into one task.
+    """
+    values = [c for c in rows.columns if c != "reject_reason"]
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in values]
+    rows = rows.withColumns({
+        "_usable": F.col("reject_reason").isNull(), "_mark": F.sha2(F.concat_ws("\x1f", *shown), 256),
+    })
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("_mark"), F.lit(64)))
+    order = F.desc_nulls_last(sequence) if last else F.asc_nulls_last(sequence)
+    w = Window.partitionBy("game_id", "_usable", "_part").orderBy(order, "_mark")
+    rows = rows.withColumn("_rank", F.row_number().over(w))
+    best = scale.top_per_key(
+        rows.filter("_usable AND _rank = 1").select("game_id", sequence, "_mark", "_part"),
+        ["game_id"], [order, F.col("_mark")], 1,
+    ).select(F.col("game_id").alias("_game"), F.col("_part").alias("_best"))
+    rows = rows.join(best, F.col("game_id").eqNullSafe(F.col("_game")), "left")
+    chosen = F.col("_usable") & (F.col("_rank") == 1) & (F.col("_part") == F.col("_best"))
+    return rows.withColumn("_chosen", F.coalesce(chosen, F.lit(False))).drop(
+        "_usable", "_mark", "_part", "_rank", "_game", "_best"
+    )
+
+
 def check_corrections(
     corrections: DataFrame, games: DataFrame, existing: DataFrame,
     allow_overwrite: bool = False, sequence: str = "_seq",
 ) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) rows of a correction batch.
+    """(accepted, rejected) rows of a correction batch; every row is in one of the two.
 
     Accepted rows have the result columns with the winner worked out from the scores; rejected
     rows carry a reason. A game already corrected is refused unless overwriting is allowed, and
-    so is a second row for the same game inside the batch (the first one counts).
+    so is a second row for the same game inside the batch (the first one counts, or the last
+    one if overwriting is allowed).
     """
     teams = games.select("game_id", "home_team", "away_team")
     known = existing.select("game_id").distinct().withColumn("_known", F.lit(True))
@@ -59,16 +88,11 @@ def check_corrections(
     )
     if not allow_overwrite:
         reason = F.coalesce(reason, F.when(F.col("_known"), "already_exists"))
-    rows = rows.withColumn("reject_reason", reason)
-    usable = rows.filter("reject_reason IS NULL")
-    pick = scale.keep_last if allow_overwrite else scale.keep_first
-    accepted = pick(usable, ["game_id"], sequence)
-    late = usable.join(
-        accepted.select("game_id", sequence), ["game_id", sequence], "left_anti"
-    ).withColumn("reject_reason", F.lit("duplicate_in_batch"))
-    rejected = rows.filter("reject_reason IS NOT NULL").unionByName(late)
+    rows = first_usable(rows.withColumn("reject_reason", reason), sequence, allow_overwrite)
+    reason = F.coalesce("reject_reason", F.lit("duplicate_in_batch"))
+    rejected = rows.filter("NOT _chosen").withColumn("reject_reason", reason)
     winner = F.when(home > away, F.col("home_team")).otherwise(F.col("away_team"))
-    accepted = accepted.select(
+    accepted = rows.filter("_chosen").select(
         "game_id", home.cast("int").alias("home_score"), away.cast("int").alias("away_score"),
         winner.alias("winner"), F.lower(X.strip("source")).alias("source"), "confirmed_at",
         F.coalesce(X.strip("notes"), F.lit("")).alias("notes"),
@@ -142,31 +166,29 @@ def overlay(layers: Sequence[tuple[str, DataFrame]], keys: Sequence[str], value:
 
 
 def lock_columns(columns: Sequence[str], snapshot_columns: Sequence[str]) -> list[str]:
-    """Prediction columns by name: says prediction, does not say result."""
-    def locked(name: str) -> bool:
-        low = name.lower()
-        return (
-            low not in ("game_id", "gameid")
-            and any(t in low for t in schemas.LOCK_TOKENS)
-            and not any(t in low for t in schemas.RESULT_TOKENS)
-        )
+    """Columns of both tables that are named after predictions and not after results."""
+    about = {
+        name: tuple(set(re.findall("|".join(tokens), name.lower())) for tokens in
+                    (schemas.LOCK_TOKENS, schemas.RESULT_TOKENS))
+        for name in set(columns).intersection(snapshot_columns)
+        if name.lower().replace("_", "") != "gameid"
+    }
+    return [name for name in columns if name in about and about[name][0] and not about[name][1]]
+
 
-    return [c for c in columns if locked(c) and c in set(snapshot_columns)]
+#: What a filled-in column of each role says about a game being over.
+_OVER = {
+    "winner": lambda c: ~X.is_blank(c),
+    "score": lambda c: F.col(c).isNotNull(),
+    "status": lambda c: F.coalesce(F.lower(F.col(c)).rlike("|".join(schemas.OVER_STATUS)), F.lit(False)),
+}
 
 
 def completed(df: DataFrame) -> Column:
-    """Rows whose game is over, judged by whichever result or status columns exist."""
-    done = F.lit(False)
-    for c in df.columns:
-        low = c.lower()
-        if low in ("actual_winner", "winner_actual", "actual_result"):
-            done = done | (F.coalesce(X.strip(c), F.lit("")) != "")
-        if low in ("game_status", "status"):
-            done = done | F.coalesce(F.lower(F.col(c)).rlike("final|completed"), F.lit(False))
-        if low in ("actual_home_score", "actual_away_score",
-                   "home_score_actual", "away_score_actual"):
-            done = done | F.col(c).isNotNull()
-    return done
+    """Rows whose game is over, judged by the result and status columns the table has."""
+    role_of = {name: role for role, names in schemas.OVER_COLUMNS.items() for name in names}
+    signs = [_OVER[role_of[c.lower()]](c) for c in df.columns if c.lower() in role_of]
+    return F.array_contains(F.array(*signs), True) if signs else F.lit(False)
 
 
 def lock_predictions(current: DataFrame, snapshot: DataFrame, sequence: str = "_seq") -> DataFrame:
@@ -174,9 +196,11 @@ def lock_predictions(current: DataFrame, snapshot: DataFrame, sequence: str = "_
     locked = lock_columns(current.columns, snapshot.columns)
     if not locked:
         return current
-    order = sequence if sequence in snapshot.columns else "game_id"
-    old = scale.keep_last(snapshot, ["game_id"], order).select(
-        X.pad_id("game_id").alias("_id"), *[F.col(c).alias(f"_old_{c}") for c in locked]
+    # Ids are padded first: two spellings of an id are one game.
+    order = [sequence] if sequence in snapshot.columns else []
+    padded = snapshot.withColumn("_id", X.pad_id("game_id"))
+    old = scale.keep_last(padded, ["_id"], *order, "game_id", *locked).select(
+        "_id", *[F.col(c).alias(f"_old_{c}") for c in locked]
     )
     done = completed(current)
     types = dict(current.dtypes)
@@ -195,5 +219,4 @@ def enrich_first(df: DataFrame, lookup: DataFrame, columns: Sequence[str],
     """Attach the first matching lookup row per game."""
     order = sequence if sequence in lookup.columns else "game_id"
     one = scale.keep_first(lookup, ["game_id"], order).select("game_id", *columns)
-    spread = [c for c in ("event_num", "_seq") if c in df.columns] or df.columns
-    return scale.lookup_join(df, one, ["game_id"], spread=spread)
+    return scale.lookup_join(df, one, ["game_id"])

@@ -52,10 +52,12 @@ COMPARED = {
 def with_previous_probability(
     live: DataFrame, block_rows: int = scale.DEFAULT_BLOCK_ROWS
 ) -> DataFrame:
-    """Home win probability of the event before, per game."""
+    """Home win probability of the event before, per game; events of equal number in ingest order
+    where the rows have one, else by their probability."""
+    tie = [c for c in ("_seq", "home_win_probability") if c in live.columns][:1]
     return scale.add_previous(
         live, ["game_id"], "event_num",
-        {"previous_home_win_probability": "home_win_probability"}, block_rows=block_rows,
+        {"previous_home_win_probability": "home_win_probability"}, tie=tie, block_rows=block_rows,
     )
 
 
@@ -78,7 +80,8 @@ def add_replay_columns(
 ) -> DataFrame:
     """Elapsed seconds since the start of each game and the change at every event (first: 0)."""
     start = live.groupBy("game_id").agg(F.max("seconds_remaining_game").alias("_start"))
-    rows = scale.lookup_join(live, start, ["game_id"], spread=["event_num"], how="inner")
+    start = start.withColumnRenamed("game_id", "_id")
+    rows = live.join(start, F.col("game_id").eqNullSafe(F.col("_id"))).drop("_id")
     rows = with_previous_probability(rows, block_rows)
     change = F.coalesce(
         F.col("home_win_probability") - F.col("previous_home_win_probability"), F.lit(0.0)
@@ -105,8 +108,10 @@ def _edge_event(df: DataFrame, columns: Sequence[str], last: bool, order: Sequen
 
 
 def final_events(live: DataFrame, sequence: str | None = None) -> DataFrame:
-    """Row with the highest event number per game; the first one on ties."""
+    """Row with the highest event number per game; the first one on ties, in ingest order where
+    the rows have it, else the one whose values sort first."""
     rows = live.filter(X.number("event_num").isNotNull())
+    sequence = sequence or ("_seq" if "_seq" in live.columns else None)
     order = [F.col("event_num")] + ([-F.col(sequence)] if sequence else [])
     columns = [c for c in live.columns if c != "game_id"]
     return _edge_event(rows, columns, True, order, ["game_id"])
@@ -153,13 +158,12 @@ def team_names(predictions: DataFrame) -> DataFrame:
 
 
 def in_catalog(
-    predictions: DataFrame, catalog: DataFrame, games: int | None = None
+    predictions: DataFrame, catalog: DataFrame
 ) -> DataFrame:
-    """Predictions of the games in a filtered catalog (``games``: its size, when counted)."""
+    """Predictions of the games in a filtered catalog."""
     ids = catalog.select("game_id").distinct()
-    spread = [c for c in ("event_num",) if c in predictions.columns] or ["game_id"]
     return scale.lookup_join(
-        predictions, ids, ["game_id"], spread=spread, how="inner", dim_rows=games
+        predictions, ids, ["game_id"], how="inner"
     )
 
 

@@ -1,9 +1,9 @@
 """Building blocks that keep ordered and keyed work spread out when one key is huge.
 
 * ``keep_last`` / ``top_per_key``: rank filters Spark can cut before the shuffle.
-* ``block_*``: ordered per-key work done in blocks of the order column; only one summary row
-  per block is walked per key, so a key with a third of all rows still uses many tasks.
-* ``lookup_join``: many rows against one row per key; checked broadcast, else salted hot keys.
+* ``block_*``: ordered per-key work done in blocks of rows; only one summary row per block is
+  walked per key, so a key with a third of all rows still uses many tasks.
+* ``lookup_join``: many rows against one row per key.
 * ``ordered_layout`` and friends: positions and running totals in one total order without a
   window over the whole table in a single task.
 """
@@ -11,17 +11,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = "_block"
+BLOCK, SLOT = "_block", "_slot"
 DEFAULT_BLOCK_ROWS = 1 << 18
-NO_ORDER_BLOCK = (1 << 63) - 1
-SMALL_SIDE_BYTES = 256 << 20
-HOT_KEY_ROWS = 2_000_000
-COUNTED_BROADCAST_ROWS = 200_000
 
 
 # ---- rank filters -------------------------------------------------------------------
@@ -41,10 +38,25 @@ def keep_first(df: DataFrame, keys: Sequence[str], *sequence: str) -> DataFrame:
 
 
 # ---- block-wise ordered work -----------------------------------------------------------
-def with_block(df: DataFrame, order: str, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Add the block number of the order column; rows without an order value come last."""
-    block = F.floor(F.col(order) / F.lit(block_rows)).cast("long")
-    return df.withColumn(BLOCK, F.coalesce(block, F.lit(NO_ORDER_BLOCK)))
+def with_block(
+    df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str] = (),
+    block_rows: int = DEFAULT_BLOCK_ROWS,
+) -> DataFrame:
+    """Rows stored once in the order of keys, ``order`` and ``tie``, cut into blocks by row count.
+
+    ``SLOT`` is the place in that order; a block has at most ``block_rows`` rows whatever the
+    numbers in ``order`` are, and blocks of a key are numbered in order. Rows without a key come
+    first, rows without an order value last within their key. Storing fixes which row sits where.
+    """
+    sort = [
+        *[F.col(k).asc_nulls_first() for k in keys],
+        *[F.col(c).asc_nulls_last() for c in (order, *tie)],
+    ]
+    laid = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    laid = stored(laid.withColumn(SLOT, F.monotonically_increasing_id()))
+    part = F.shiftright(SLOT, 33)
+    local = F.floor(F.col(SLOT).bitwiseAND(F.lit((1 << 33) - 1)) / block_rows)
+    return laid.withColumn(BLOCK, F.shiftleft(part, 33) + local)
 
 
 def block_summary(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
@@ -52,6 +64,14 @@ def block_summary(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column]
     return df.groupBy(*keys, BLOCK).agg(*[c.alias(n) for n, c in aggs.items()])
 
 
+def join_blocks(rows: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Put the columns of a block table onto the rows; rows without a key find theirs too."""
+    by = [*keys, BLOCK]
+    named = blocks.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return rows.join(named, same).drop(*[f"_by_{c}" for c in by])
+
+
 def blocks_before(keys: Sequence[str]):
     """All earlier blocks of the same key."""
     w = Window.partitionBy(*keys).orderBy(BLOCK)
@@ -62,8 +82,8 @@ def all_blocks(keys: Sequence[str]):
     return Window.partitionBy(*keys)
 
 
-def inside_block(keys: Sequence[str], *order: Column):
-    return Window.partitionBy(*keys, BLOCK).orderBy(*order)
+def inside_block(keys: Sequence[str]):
+    return Window.partitionBy(*keys, BLOCK).orderBy(SLOT)
 
 
 def add_previous(
@@ -74,77 +94,31 @@ def add_previous(
     tie: Sequence[str] = (),
     block_rows: int = DEFAULT_BLOCK_ROWS,
 ) -> DataFrame:
-    """Previous row's values per key (lag), ``columns`` maps new name -> source column."""
-    sort = [F.col(order).asc_nulls_last(), *[F.col(c) for c in tie]]
-    blocked = with_block(df, order, block_rows)
+    """Previous row's values per key (lag), ``columns`` maps new name -> source column.
+
+    Rows without a key are one group of their own. ``tie`` orders rows of equal ``order``.
+    """
+    blocked = with_block(df, keys, order, tie, block_rows)
     packed = F.struct(*[F.col(src).alias(new) for new, src in columns.items()])
-    position = F.struct(F.col(order), *[F.col(c) for c in tie])
-    tails = block_summary(blocked, keys, {"_tail": F.max_by(packed, position)})
+    tails = block_summary(blocked, keys, {"_tail": F.max_by(packed, SLOT)})
     by_block = Window.partitionBy(*keys).orderBy(BLOCK)
     tails = tails.select(*keys, BLOCK, F.lag("_tail").over(by_block).alias("_carried"))
-    out = blocked.join(tails, [*keys, BLOCK])
-    w = inside_block(keys, *sort)
-    out = out.withColumn("_prev", F.coalesce(F.lag(packed).over(w), F.col("_carried")))
+    out = join_blocks(blocked, tails, keys)
+    out = out.withColumn("_prev", F.coalesce(F.lag(packed).over(inside_block(keys)), F.col("_carried")))
     for new in columns:
         out = out.withColumn(new, F.col("_prev").getField(new))
-    return out.drop("_prev", "_carried", BLOCK)
+    return out.drop("_prev", "_carried", BLOCK, SLOT)
 
 
 # ---- joins against one row per key ---------------------------------------------------------
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
+def lookup_join(facts: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join many ``facts`` rows to at most one ``dim`` row per key, the same way at every size.
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of all tables a plan reads; cheap, as nothing is optimised for it."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    sizes = (leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size()))
-    return sum(int(str(s)) for s in sizes)
-
-
-def broadcast_limit(df: DataFrame) -> int:
-    conf = df.sparkSession._jsparkSession.sessionState().conf()
-    return int(str(conf.autoBroadcastJoinThreshold()))
-
-
-def lookup_join(
-    facts: DataFrame,
-    dim: DataFrame,
-    keys: Sequence[str],
-    spread: Sequence[str],
-    how: str = "left",
-    hot_rows: int = HOT_KEY_ROWS,
-    salts: int = 64,
-    small_bytes: int = SMALL_SIDE_BYTES,
-    dim_rows: int | None = None,
-) -> DataFrame:
-    """Join many ``facts`` rows to at most one ``dim`` row per key.
-
-    A dim the caller has counted (``dim_rows``) and found small is broadcast. Facts read from inputs too small to hold a hot key are joined as they are. A dim below the
-    broadcast limit is broadcast. Beyond both, keys with ``hot_rows`` rows or more are found by a
-    count (there can be no more than rows / hot_rows of them, which bounds that broadcast), their
-    facts are spread over ``salts`` by the ``spread`` columns, and their single dim row is repeated.
+    Spark sends ``dim`` to every task when it measures it below its own limit, and otherwise
+    shuffles both sides by key; partitions that a frequent key makes large are then split at run
+    time, and only the one ``dim`` row of that key is repeated.
     """
-    keys = list(keys)
-    if dim_rows is not None and dim_rows <= COUNTED_BROADCAST_ROWS:
-        return facts.join(F.broadcast(dim), keys, how)
-    if input_bytes(facts) < small_bytes:
-        return facts.join(dim, keys, how)
-    if plan_bytes(dim) <= broadcast_limit(dim):
-        return facts.join(F.broadcast(dim), keys, how)
-    hot = (
-        facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= hot_rows)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(0).cast("int")
-    copies = F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0))
-    salted_facts = facts.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
-    salted_dim = (
-        dim.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    )
-    return salted_facts.join(salted_dim, [*keys, "_salt"], how).drop("_salt")
+    return facts.join(dim, list(keys), how)
 
 
 # ---- one total order -----------------------------------------------------------------------
@@ -167,10 +141,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """A small table stored once, with its row count."""
-    stored = cut_lineage(df)
-    return stored, stored.count()
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it again."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ordered_layout(df: DataFrame, *order: str) -> DataFrame:

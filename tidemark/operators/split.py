@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import scale
@@ -22,14 +22,42 @@ def _check(test_size: float) -> None:
         raise ValueError(f"test_size must be between 0 and 1, got {test_size}")
 
 
+def _boundary(keys: DataFrame, date_col: str, test_size: float):
+    """(date, training rows of that date) where the test side begins; None if nothing is held out.
+
+    Only one row per date is ordered.
+    """
+    dates = keys.groupBy(date_col).agg(F.count(F.lit(1)).alias("_n"))
+    through = F.sum("_n").over(Window.orderBy(F.col(date_col).asc_nulls_last()))
+    placed = dates.withColumns({
+        "_before": through - F.col("_n"), "_total": F.sum("_n").over(Window.partitionBy(F.lit(1))),
+    })
+    cut = F.col("_total") - held_out("_total", test_size)
+    row = placed.filter((F.col("_before") <= cut) & (cut < F.col("_before") + F.col("_n"))).select(
+        F.col(date_col).alias("date"), (cut - F.col("_before")).alias("kept")).head()
+    return None if row is None else (row.date, row.kept)
+
+
 def mark_sides(keys: DataFrame, date_col: str, id_col: str, test_size: float) -> DataFrame:
-    """Add ``is_test`` to a table of distinct keys: the latest share is the test side."""
+    """Add ``is_test`` to a table of distinct keys: the latest share is the test side.
+
+    Rows are counted per date; ids are ranked on the one date the cut falls into, and the side is a
+    comparison of date and id. Undated rows come last, ids decide on equal dates.
+    """
     _check(test_size)
-    dated_first = keys.withColumn("_undated", F.col(date_col).isNull())
-    placed = scale.with_position(dated_first, "_undated", date_col, id_col, name="_position")
-    cut = F.col("total") - held_out("total", test_size)
-    placed = placed.withColumn("is_test", F.col("_position") >= cut)
-    return placed.drop("_position", "total", "_undated")
+    found = _boundary(keys, date_col, test_size)
+    if found is None:
+        return keys.withColumn("is_test", F.lit(False))
+    day, kept = found
+    same = F.col(date_col).eqNullSafe(F.lit(day))
+    later = F.lit(False) if day is None else F.col(date_col).isNull() | (F.col(date_col) > F.lit(day))
+    if not kept:
+        return keys.withColumn("is_test", F.coalesce(same | later, F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy(date_col).orderBy(F.col(id_col).asc_nulls_first()))
+    last = keys.filter(same).select(date_col, id_col).withColumn("_rank", rank)
+    last = last.filter(F.col("_rank") == kept).head()[id_col]
+    beyond = F.col(id_col).isNotNull() if last is None else F.col(id_col) > F.lit(last)
+    return keys.withColumn("is_test", F.coalesce(later | (same & beyond), F.lit(False)))
 
 
 def chronological_split(
@@ -45,13 +73,12 @@ def chronological_split(
 
 def mark_games(
     df: DataFrame, test_size: float = 0.2, date_col: str = "game_date",
-    spread: Sequence[str] = ("event_num",),
 ) -> DataFrame:
     """Event rows with the side of their game; only the distinct games are ordered."""
     order = "event_num" if "event_num" in df.columns else date_col
     games = df.groupBy("game_id").agg(F.min_by(date_col, order).alias(date_col))
     sides = mark_sides(games, date_col, "game_id", test_size).select("game_id", "is_test")
-    return scale.lookup_join(df, sides, ["game_id"], spread=spread, how="inner")
+    return scale.lookup_join(df, sides, ["game_id"], how="inner")
 
 
 def game_split(

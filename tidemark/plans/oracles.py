@@ -273,7 +273,8 @@ SELECT g.game_id, g.season, 'regular_season' AS game_type, g.n AS raw_row_count,
        string_agg(COALESCE(team_name, 'nan'), ' | ' ORDER BY _seq) AS team_names,
        string_agg(team_id, ' | ' ORDER BY _seq) AS team_ids,
        string_agg(matchup, ' | ' ORDER BY _seq) AS matchup_values,
-       string_agg(game_date, ' | ' ORDER BY _seq) AS game_dates, g.reasons AS reason_skipped
+       string_agg(game_date, ' | ' ORDER BY _seq) AS game_dates, g.reasons AS reason_skipped,
+       CAST(0 AS INT) AS part
 FROM judged_groups g JOIN rows r USING (season, game_id) WHERE g.reasons <> ''
 GROUP BY g.game_id, g.season, g.n, g.h, g.a, g.reasons"""
 ORACLES["skipped_feed_rows"] = f"""WITH {cte('team_rows')}, {GROUPS}
@@ -298,6 +299,13 @@ ORACLES["anti_join_uncollected"] = f"""WITH {cte('games')}
 SELECT game_id, season, game_date FROM games g
 WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE lpad(CAST(l_orderkey AS VARCHAR), 10, '0') = g.game_id)
 ORDER BY season, game_date NULLS FIRST, game_id LIMIT 100"""
+ORACLES["uncollected_games"] = f"""WITH {cte('games')}
+SELECT game_id, season, game_date FROM games
+WHERE game_id NOT IN (SELECT lpad(CAST(l_orderkey AS VARCHAR), 10, '0') FROM lineitem)"""
+ORACLES["eligible_games"] = f"""WITH {cte('games')} SELECT game_id, season FROM games
+WHERE status = 'final' AND game_id IS NOT NULL AND _seq % 9 <> 0 AND away_team IS NOT NULL"""
+ORACLES["completed_playoffs"] = f"""WITH {cte('games')} SELECT game_id, game_type FROM games
+WHERE status = 'final' AND game_date IS NOT NULL AND _seq % 9 <> 0"""
 ORACLES["failure_merge"] = f"""WITH {cte('feed')},
 latest AS (SELECT game_id, _seq, flag FROM feed WHERE flag = 'R'
   QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY _seq DESC) = 1),
@@ -386,6 +394,18 @@ SELECT game_id, home_score, away_score,
 ORACLES["corrections_rejected"] = f"""WITH {cte('feed', 'games')}, {CORRECTIONS}
 SELECT game_id, _seq, COALESCE(reason, 'duplicate_in_batch') AS reject_reason FROM ordered
 WHERE reason IS NOT NULL OR rn > 1"""
+ORACLES["corrections_applied"] = f"""WITH {cte('feed', 'games')}, {CORRECTIONS}, usable AS (
+  SELECT * FROM checked WHERE COALESCE(reason, 'already_exists') = 'already_exists'
+), last AS (
+  SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY _seq DESC) AS rn FROM usable
+), stored AS (SELECT game_id, home_team FROM games WHERE home_score IS NULL AND _seq % 2 = 0)
+SELECT COALESCE(l.game_id, s.game_id) AS game_id, COALESCE(l.home_score, 1) AS home_score,
+       CASE WHEN l.game_id IS NULL THEN 0 ELSE l.away_score END AS away_score,
+       CASE WHEN l.game_id IS NULL THEN s.home_team WHEN l.home_score > l.away_score THEN l.home_team ELSE l.away_team END AS winner,
+       CASE WHEN l.flag = 'A' THEN 'api' ELSE 'manual' END AS source
+FROM (SELECT * FROM last WHERE rn = 1) l FULL JOIN stored s ON l.game_id = s.game_id"""
+ORACLES["corrections_accounted"] = f"""WITH {cte('feed', 'games')}, {CORRECTIONS}
+SELECT game_id, count(*) AS row_count, CAST(bool_or(reason IS NULL) AS BIGINT) AS accepted FROM checked GROUP BY game_id"""
 BOTH_RESULTS = """scored AS (
   SELECT *, CASE WHEN home_score > away_score THEN home_team ELSE away_team END AS w
   FROM games WHERE home_score IS NOT NULL),
@@ -724,7 +744,7 @@ SELECT l.game_id, CASE WHEN f.game_id IS NULL THEN '' ELSE {text(series.FINAL_RO
   AS playoff_round, f.finals_game_number, count(*) AS event_rows
 FROM live_picks l LEFT JOIN finals f USING (game_id)
 GROUP BY l.game_id, f.game_id, f.finals_game_number"""
-UPCOMING = "upcoming AS (SELECT * FROM series_slots WHERE finals_game_number <= 7)"
+UPCOMING = "upcoming AS (SELECT * FROM series_slots)"
 OPEN = "game_status IN ('scheduled', 'if_necessary', 'if_necessary_scheduled', 'not_available_yet')"
 PATH = f"""teams AS (
   SELECT season, CASE WHEN min(t) <> max(t) THEN min(t) ELSE 'Team A' END AS team_a,
@@ -1085,3 +1105,53 @@ FROM events GROUP BY event_type"""
 ORACLES["prediction_columns"] = f"""WITH {cte('picks')}
 SELECT game_id, home_team, away_team, {P}, 1.0 - {P} AS away_win_probability, predicted_label,
        predicted_winner, actual_home_team_won, prediction_correct FROM picks"""
+
+
+# ---- what must hold of models ----------------------------------------------------------------------
+PREGAME_SIDES = f"""{FULL}, placed_rows AS (
+  SELECT f.*, count(*) OVER () AS n, row_number() OVER (ORDER BY game_date NULLS LAST, game_id) AS rn
+  FROM full_rows f),
+parted AS (SELECT *, rn > {CUT} AS is_test FROM placed_rows)"""
+ORACLES["pregame_scores_checked"] = f"""WITH {PREGAME_SIDES}
+SELECT game_id, true AS probability_ok, true AS label_ok, true AS winner_ok, true AS correct_ok,
+       CAST(home_team_won AS INT) AS actual_home_team_won FROM parted WHERE is_test"""
+ORACLES["pregame_fit_balanced"] = f"""WITH {PREGAME_SIDES}
+SELECT count(*) AS training_rows, CAST(sum(home_team_won) AS BIGINT) AS home_wins, true AS balanced
+FROM parted WHERE NOT is_test AND home_team_won IS NOT NULL"""
+LIVE_SIDES = f"""rows AS ({ORACLES["live_features_full"]}), per_game AS (
+  SELECT game_id, arg_min(game_date, event_num) AS game_date FROM rows GROUP BY game_id),
+placed AS (SELECT game_id, count(*) OVER () AS n,
+  row_number() OVER (ORDER BY game_date NULLS LAST, game_id) AS rn FROM per_game),
+sided AS (SELECT r.*, rn > {CUT} AS is_test FROM rows r JOIN placed USING (game_id))"""
+ORACLES["live_scores_checked"] = f"""WITH {LIVE_SIDES}
+SELECT game_id, count(*) AS row_count, true AS probability_ok, true AS label_ok, true AS winner_ok,
+       true AS correct_ok FROM sided WHERE is_test GROUP BY game_id"""
+ORACLES["live_report_counts"] = f"""WITH {LIVE_SIDES}
+SELECT count(*) AS n_total_rows, count(home_team_won) AS n_used_rows,
+       count(*) - count(home_team_won) AS n_dropped_missing_target,
+       count(DISTINCT game_id) FILTER (WHERE home_team_won IS NOT NULL) AS n_unique_games,
+       count(*) FILTER (WHERE home_team_won IS NOT NULL AND NOT is_test) AS n_train,
+       count(*) FILTER (WHERE home_team_won IS NOT NULL AND is_test) AS n_test,
+       count(DISTINCT game_id) FILTER (WHERE home_team_won IS NOT NULL AND NOT is_test) AS train_games,
+       count(DISTINCT game_id) FILTER (WHERE home_team_won IS NOT NULL AND is_test) AS test_games
+FROM sided"""
+ORACLES["running_score_small_blocks"] = f"""SELECT game_id, event_num, home_score, away_score, is_scoring_event
+FROM ({ORACLES["running_score_state"]})"""
+ORACLES["replay_small_blocks"] = f"""SELECT game_id, event_num, probability_change FROM ({ORACLES["replay_columns"]})"""
+
+
+# ---- storage -------------------------------------------------------------------------------------------
+READABLE = "team_rows AS (SELECT * FROM every_row WHERE _seq % 10 <> 7)"
+ORACLES["landed_csv_schedule"] = f"""WITH {cte('team_rows').replace('team_rows AS', 'every_row AS', 1)}, {READABLE}, {GROUPS}
+SELECT g.game_id, h.team_name AS home_team, a.team_name AS away_team, 'final' AS status
+FROM judged_groups g
+JOIN rows h ON h.game_id = g.game_id AND h.season = g.season AND h.side = 'home'
+JOIN rows a ON a.game_id = g.game_id AND a.season = g.season AND a.side = 'away'
+WHERE g.reasons = '' QUALIFY row_number() OVER (PARTITION BY g.game_id ORDER BY g.season) = 1"""
+ORACLES["landed_csv_unreadable"] = f"""WITH {cte('team_rows')}
+SELECT season || ',' || GAME_ID || ',bad' || CAST(_seq AS VARCHAR) AS line FROM team_rows WHERE _seq % 10 = 7"""
+ORACLES["storage_steps"] = f"""WITH {cte('plays')}, n AS (
+  SELECT count(*) AS n, count(*) FILTER (WHERE event_num % 2 = 0) AS a,
+         count(scoreHome) AS s FROM plays)
+SELECT unnest(['overwritten', 'season_scan', 'log', 'valid', 'quarantine', 'fallback', 'empty']) AS step,
+       unnest([n, a, n + a, s, n - s, n - a, 0]) AS row_count FROM n"""

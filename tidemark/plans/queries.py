@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,6 +126,14 @@ def running_score_state(spark, sf):
     )
 
 
+@query
+def running_score_small_blocks(spark, sf):
+    """The same state with many blocks per game."""
+    return live.running_scores(deduped_plays(spark, sf), block_rows=5).select(
+        "game_id", "event_num", "home_score", "away_score", "is_scoring_event",
+    )
+
+
 @query
 def live_features_full(spark, sf):
     events = deduped_plays(spark, sf)
@@ -141,7 +150,7 @@ def event_issues(spark, sf):
     plays = load(spark, sf, "plays")
     repeated = plays.unionByName(plays.withColumn("_seq", -F.col("_seq") - 1))
     events = live.dedupe_events(repeated)
-    return live.build_issues(repeated, events, live.game_table(events, schedule(spark, sf)))
+    return live.build_issues(repeated, live.game_table(events, schedule(spark, sf)))
 
 
 @query
@@ -195,7 +204,7 @@ def upsert_stored_table(spark, sf):
 @query
 def pair_home_away_rows(spark, sf):
     rows = ingest.clean_team_rows(load(spark, sf, "team_rows"))
-    return ingest.pair_games(rows, ingest.game_groups(rows))
+    return ingest.pair_games(ingest.game_groups(rows))
 
 
 @query
@@ -230,8 +239,36 @@ def normalized_plays(spark, sf):
     return out.select(*[c for c in schemas.PLAY_COLUMNS], "location")
 
 
+@query
+def eligible_games(spark, sf):
+    return tables.eligible_games(_nameless(load(spark, sf, "games"))).select("game_id", "season")
+
+
+@query
+def completed_playoffs(spark, sf):
+    games = _nameless(load(spark, sf, "games"))
+    return tables.completed_playoffs(games).select("game_id", "game_type")
+
+
+def _nameless(games: DataFrame) -> DataFrame:
+    """Games of which some lack a team name, some a team id."""
+    return games.withColumns({
+        "home_team": F.when(F.col("_seq") % 9 != 0, F.col("home_team")),
+        "home_team_id": F.when(F.col("_seq") % 4 != 0, F.col("home_team_id")),
+    })
+
+
+@query
+def uncollected_games(spark, sf):
+    """All games still to fetch."""
+    return ingest.games_to_collect(load(spark, sf, "games"), load(spark, sf, "feed")).select(
+        "game_id", "season", "game_date"
+    )
+
+
 @query
 def anti_join_uncollected(spark, sf):
+    """The cap per run: the first hundred games still to fetch."""
     return ingest.games_to_collect(
         load(spark, sf, "games"), load(spark, sf, "feed"), limit=100
     ).select("game_id", "season", "game_date")
@@ -330,6 +367,33 @@ def _corrections(spark, sf) -> DataFrame:
     )
 
 
+@query
+def corrections_applied(spark, sf):
+    """Accepted corrections merged over the ones already stored."""
+    games = load(spark, sf, "games")
+    scored = games.filter("home_score IS NULL AND _seq % 2 = 0")
+    stored = scored.select(
+        "game_id", F.lit(1).alias("home_score"), F.lit(0).alias("away_score"),
+        F.col("home_team").alias("winner"), F.lit("manual").alias("source"),
+        F.lit("1990-01-01").alias("confirmed_at"),
+    )
+    batch = _corrections(spark, sf).unionByName(_corrections(spark, sf).withColumn(
+        "_seq", F.when(F.col("_seq") % 2 == 0, F.col("_seq"))))
+    accepted, _ = reconcile.check_corrections(batch, games, stored, allow_overwrite=True)
+    return reconcile.apply_corrections(stored, accepted).select("game_id", "home_score", "away_score", "winner", "source")
+
+
+@query
+def corrections_accounted(spark, sf):
+    """Accepted and rejected rows per game add up to the batch, equal and missing sequences included."""
+    games = load(spark, sf, "games")
+    batch = _corrections(spark, sf).withColumn("_seq", F.when(F.col("_seq") % 3 != 0, F.col("_seq") % 5))
+    sides = reconcile.check_corrections(batch, games, games.filter("home_score IS NULL"))
+    rows = [s.select("game_id", F.lit(n).alias("accepted")) for s, n in zip(sides, (1, 0), strict=True)]
+    return rows[0].unionByName(rows[1]).groupBy("game_id").agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum("accepted").alias("accepted"))
+
+
 @query
 def corrections_accepted(spark, sf):
     games = load(spark, sf, "games")
@@ -388,8 +452,8 @@ def prediction_lock(spark, sf):
         .alias("game_status"),
     )
     unpadded = F.regexp_replace("game_id", "^0+(?=.)", "")
-    snapshot = picks.select(
-        unpadded.alias("game_id"),
+    snapshot = picks.withColumn("_id", F.explode(F.array(unpadded, "game_id"))).select(
+        F.col("_id").alias("game_id"),
         F.when(F.col("home_win_probability") > 0.2, F.col("home_win_probability") / 2)
         .alias("home_win_probability"),
         F.when(F.col("home_win_probability") > 0.5, F.concat(F.lit("old "), "predicted_winner"))
@@ -550,6 +614,13 @@ def momentum_top_n_per_game(spark, sf):
                    "absolute_probability_change")
 
 
+@query
+def replay_small_blocks(spark, sf):
+    """The same columns with many blocks per game."""
+    out = replay.add_replay_columns(load(spark, sf, "live_picks"), block_rows=4)
+    return rounded(out.select("game_id", "event_num", "probability_change"), "probability_change")
+
+
 @query
 def replay_columns(spark, sf):
     out = replay.add_replay_columns(load(spark, sf, "live_picks"))
@@ -624,7 +695,7 @@ def series_live_labels(spark, sf):
 
 
 def _upcoming(spark, sf) -> DataFrame:
-    return load(spark, sf, "series_slots").filter(F.col("finals_game_number") <= series.MAX_GAMES)
+    return load(spark, sf, "series_slots")
 
 
 def _path(spark, sf) -> DataFrame:
@@ -859,6 +930,59 @@ def profile_rollup(spark, sf):
     return issues.unionByName(overall).unionByName(folded)
 
 
+@query
+def landed_csv_schedule(spark, sf):
+    """Team rows landed as CSV -> typed rows -> games table, kept by key, then a guarded export."""
+    root = _run_folder(spark)
+    rows = load(spark, sf, "team_rows")
+    broken = F.when(F.col("_seq") % 10 == 7, F.concat(F.lit("bad"), F.col("_seq").cast("string"))).otherwise(
+        F.col("_seq").cast("string"))
+    schema = f"{schemas.TEAM_ROWS}, _seq long"
+    columns = [c.split()[0] for c in schema.split(", ")]
+    rows.withColumn("_seq", broken).select(*columns).write.option("header", True).csv(f"{root}/landed")
+    good = tables.read_landed(spark, f"{root}/landed", schema, f"{root}/unreadable")
+    for _ in range(2):  # landing a batch twice changes nothing
+        tables.land_schedule(good, f"{root}/games", f"{root}/skipped", f"{root}/invalid")
+    tables.guarded_overwrite(tables.read_table(spark, f"{root}/games"), f"{root}/export")
+    return tables.read_table(spark, f"{root}/export").select("game_id", "home_team", "away_team", "status")
+
+
+@query
+def landed_csv_unreadable(spark, sf):
+    """Lines of a landed CSV file that do not fit the declared schema go to quarantine, whole."""
+    root = _run_folder(spark)
+    rows = load(spark, sf, "team_rows").select("season", "GAME_ID", "_seq")
+    broken = F.when(F.col("_seq") % 10 == 7, F.concat(F.lit("bad"), F.col("_seq").cast("string"))).otherwise(
+        F.col("_seq").cast("string"))
+    rows.withColumn("_seq", broken).write.option("header", True).csv(f"{root}/landed")
+    tables.read_landed(spark, f"{root}/landed", "season string, GAME_ID string, _seq long", f"{root}/unreadable")
+    return tables.read_table(spark, f"{root}/unreadable").select(F.col(tables.CORRUPT).alias("line"))
+
+
+@query
+def storage_steps(spark, sf):
+    """Rows that each storage operator leaves, over the event table."""
+    root = _run_folder(spark)
+    plays = load(spark, sf, "plays").withColumn("season", F.when(F.col("event_num") % 2 == 0, "a").otherwise("b"))
+    count = lambda name, df: df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("step", F.lit(name))
+    tables.overwrite(plays, f"{root}/plays", ["season"])
+    stored = tables.read_table(spark, f"{root}/plays", required=["game_id"])
+    tables.append_log(stored, f"{root}/log")
+    tables.append_log(stored.filter("season = 'a'"), f"{root}/log")
+    good, bad = quality.split_valid(stored, ["scoreHome"])
+    tables.quarantine(bad, f"{root}/bad")
+    absent = tables.read_optional(spark, f"{root}/none")
+    used, is_sample = tables.primary_or_fallback(absent, stored.filter("season = 'b'"))
+    steps = [
+        count("overwritten", stored), count("season_scan", tables.load_plays(stored, season="a")),
+        count("log", tables.read_table(spark, f"{root}/log")), count("valid", good),
+        count("quarantine", tables.read_table(spark, f"{root}/bad")),
+        count("fallback", used.filter(F.lit(is_sample))),
+        count("empty", tables.read_or_empty(spark, f"{root}/none", "game_id string")),
+    ]
+    return reduce(DataFrame.unionByName, steps)
+
+
 @query
 def latest_attempts(spark, sf):
     log = table(spark, sf, "events").select(
@@ -871,17 +995,75 @@ def latest_attempts(spark, sf):
 # ---- models and streams ----------------------------------------------------------------------------
 @query
 def train_and_score(spark, sf):
-    features = pregame.pregame_features(final_games(spark, sf))
-    train, test = split.chronological_split(features)
-    scorer = model.fit(train, model.pregame_manifest(features))
+    train, test, scorer = _pregame_model(spark, sf)
     return model.predict_pregame(test, scorer)
 
 
+def _pregame_model(spark, sf):
+    features = scale.stored(pregame.pregame_features(final_games(spark, sf)))
+    train, test = split.chronological_split(features)
+    return train, test, model.fit(train, model.pregame_manifest(features))
+
+
+def _scores_hold(scored: DataFrame) -> list[Column]:
+    """Whether probability, complement, label, winner and correctness fit together."""
+    p, label = F.col("home_win_probability"), F.col("predicted_label")
+    winner = F.when(p >= 0.5, F.col("home_team")).otherwise(F.col("away_team"))
+    right = F.when(F.col("actual_home_team_won").isNotNull(), label == F.col("actual_home_team_won"))
+    return [
+        (p.between(0, 1) & (F.abs(p + F.col("away_win_probability") - 1) < 1e-9)).alias("probability_ok"),
+        (label == (p >= 0.5).cast("int")).alias("label_ok"),
+        F.col("predicted_winner").eqNullSafe(winner).alias("winner_ok"),
+        F.col("prediction_correct").cast("boolean").eqNullSafe(right).alias("correct_ok"),
+    ]
+
+
+@query
+def pregame_scores_checked(spark, sf):
+    """One row per held-out game: what must hold of its scores."""
+    _, test, scorer = _pregame_model(spark, sf)
+    scored = model.predict_pregame(test, scorer)
+    return scored.select("game_id", *_scores_hold(scored), "actual_home_team_won")
+
+
+@query
+def pregame_fit_balanced(spark, sf):
+    """A free intercept makes the mean probability of the training rows their mean label."""
+    train, _, scorer = _pregame_model(spark, sf)
+    scored = model.score(model.training_rows(train), scorer)
+    gap = F.abs(F.avg("home_win_probability") - F.avg("home_team_won")) < 1e-4
+    return scored.agg(F.count(F.lit(1)).alias("training_rows"),
+                      F.sum("home_team_won").cast("long").alias("home_wins"), gap.alias("balanced"))
+
+
+def _live_sides(spark, sf):
+    features = scale.stored(live.live_features(deduped_plays(spark, sf), schedule(spark, sf)))
+    return features, *split.game_split(features)
+
+
+@query
+def live_scores_checked(spark, sf):
+    """Event rows of held-out games per game: how many are scored, and all scores hold."""
+    features, train, test = _live_sides(spark, sf)
+    scored = model.predict_live(test, model.fit(train, model.live_manifest(features)))
+    return scored.select("game_id", *_scores_hold(scored)).groupBy("game_id").agg(
+        F.count(F.lit(1)).alias("row_count"), F.min("probability_ok").alias("probability_ok"),
+        F.min("label_ok").alias("label_ok"), F.min("winner_ok").alias("winner_ok"),
+        F.min("correct_ok").alias("correct_ok"))
+
+
+@query
+def live_report_counts(spark, sf):
+    """The counts of the training report."""
+    features, train, test = _live_sides(spark, sf)
+    report = model.train_and_report(train, test, model.live_manifest(features), live=True).metrics
+    return report.select("n_total_rows", "n_used_rows", "n_dropped_missing_target", "n_unique_games",
+                         "n_train", "n_test", "train_games", "test_games")
+
+
 @query
 def live_model_report(spark, sf):
-    events = deduped_plays(spark, sf)
-    features = live.live_features(events, schedule(spark, sf))
-    train, test = split.game_split(features)
+    features, train, test = _live_sides(spark, sf)
     return model.train_and_report(train, test, model.live_manifest(features), live=True).metrics
 
 
@@ -896,9 +1078,8 @@ def prediction_columns(spark, sf):
 
 @query
 def live_predictions_scored(spark, sf):
-    events = deduped_plays(spark, sf)
-    features = live.live_features(events, schedule(spark, sf))
-    return model.predict_live(features, model.fit(features, model.live_manifest(features)))
+    features, train, test = _live_sides(spark, sf)
+    return model.predict_live(test, model.fit(train, model.live_manifest(features)))
 
 
 @query

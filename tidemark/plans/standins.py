@@ -179,13 +179,10 @@ STAND_INS = {
         "ELSE CASE WHEN l_tax > 0.04 THEN 'BOS MIA' ELSE 'PHI vs. NYK' END END AS MATCHUP",
         "l_partkey * 1000000 + l_suppkey * 100 + l_linenumber AS _seq",
     )),
-    # orders as playoff games with round codes inside the id for even years, unreadable ids for odd
+    # orders as playoff games: ids of even years hold the order key and so a round, others are unreadable
     "playoffs": StandIn("orders", (
-        "CASE WHEN year(o_orderdate) % 2 = 0 AND row_number() OVER (PARTITION BY "
-        "year(o_orderdate), o_orderkey % 4 ORDER BY o_orderkey) <= 99 THEN '004' || "
-        "lpad(CAST(year(o_orderdate) % 100 AS STRING), 2, '0') || "
-        "lpad(CAST(1 + o_orderkey % 4 AS STRING), 3, '0') || lpad(CAST(row_number() OVER ("
-        "PARTITION BY year(o_orderdate), o_orderkey % 4 ORDER BY o_orderkey) AS STRING), 2, '0') "
+        "CASE WHEN year(o_orderdate) % 2 = 0 THEN '004' || "
+        "lpad(CAST(o_orderkey % 10000000 AS STRING), 7, '0') "
         "ELSE 'G' || CAST(o_orderkey AS STRING) END AS game_id",
         *_IDENTITY[1:],
         "'playoffs' AS game_type",
@@ -195,16 +192,14 @@ STAND_INS = {
     ), ("customer", "o_custkey", "c_custkey")),
 }
 
-_SERIES = "'S' || CAST(c_nationkey AS STRING) || '-' || CAST(year(o_orderdate) AS STRING)"
-_SLOT = (
-    "row_number() OVER (PARTITION BY c_nationkey, year(o_orderdate) "
-    "ORDER BY o_orderdate, o_orderkey)"
-)
-_TEAM_A = "'A' || CAST(c_nationkey AS STRING)"
-_TEAM_B = "'B' || CAST(c_nationkey AS STRING)"
+_NUMBER = "CAST(floor(o_orderkey / 7) AS BIGINT)"
+_SERIES = f"'S' || CAST({_NUMBER} AS STRING)"
+_SLOT = "o_orderkey % 7 + 1"
+_TEAM_A = f"'A' || CAST({_NUMBER} AS STRING)"
+_TEAM_B = f"'B' || CAST({_NUMBER} AS STRING)"
 _WON_BY_A = "CAST(floor(o_totalprice) AS BIGINT) % 2 = 0"
 
-# orders as the games of one series per nation and year, numbered by date
+# orders as the games of series of seven, by order key
 STAND_INS["series_slots"] = StandIn("orders", (
     f"{_SERIES} AS season",
     f"CAST({_SLOT} AS INT) AS finals_game_number",

@@ -160,6 +160,12 @@ LIVE_PREDICTION_COLUMNS = [
 ]
 LOCK_TOKENS = ["pred", "prob", "model", "confidence", "favorite", "pick"]
 RESULT_TOKENS = ["actual", "final", "score", "status", "result", "series"]
+OVER_COLUMNS = {
+    "winner": ["actual_winner", "winner_actual", "actual_result"],
+    "status": ["game_status", "status"],
+    "score": ["actual_home_score", "actual_away_score", "home_score_actual", "away_score_actual"],
+}
+OVER_STATUS = ["final", "completed"]
 # --------------------------------------------------------------------------------
 
 GAMES = (

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from tidemark import schemas
 from tidemark.functions import exprs as X
-from tidemark.operators import ingest, pregame, quality, reconcile, scale, series
+from tidemark.operators import ingest, quality, reconcile, scale, series
 
 CORRUPT = "_corrupt_record"
 
@@ -29,6 +29,17 @@ def read_csv(
     return quality.require_columns(df, required, name)
 
 
+def read_landed(
+    spark: SparkSession, path: str, schema: str, unreadable: str, required: Sequence[str] = (),
+    name: str = "table",
+) -> DataFrame:
+    """Typed rows of landed CSV files; lines that do not fit the schema are written, whole, to
+    ``unreadable``."""
+    rows = scale.stored(read_csv(spark, path, schema, required, name))
+    quarantine(rows.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT), unreadable)
+    return rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
 def read_table(
     spark: SparkSession, path: str, schema: str | StructType | None = None,
     required: Sequence[str] = (), name: str = "table",
@@ -92,8 +103,9 @@ def load_manual_results(df: DataFrame) -> DataFrame:
 
 
 def completed_playoffs(games: DataFrame) -> DataFrame:
-    core = ["game_id", "game_date", "home_team_id", "away_team_id"]
-    out = games.filter(F.lower("status") == "final").dropna(subset=core)
+    """Finished playoff games with an id, a date and both team names; the status is exact."""
+    core = ["game_id", "game_date", "home_team", "away_team"]
+    out = games.filter("status = 'final'").dropna(subset=core)
     if "game_type" not in out.columns:
         return out.withColumn("game_type", F.lit("playoffs"))
     return out.fillna({"game_type": "playoffs"})
@@ -128,8 +140,8 @@ def upsert(
 ) -> None:
     """Merge rows by key, reading and rewriting only the partitions the batch touches.
 
-    A key must belong to one partition. Dynamic overwrite replaces finished partitions only, so
-    a job lost half way leaves the table as it was, and running it again gives the same table.
+    A key must belong to one partition. A lost task is run again without trace; a job that ends
+    while it commits may leave a partition out, and running the batch again puts it right.
     """
     spark = incoming.sparkSession
     existing = read_if_there(spark, path, incoming.schema)
@@ -182,7 +194,7 @@ def land_schedule(team_rows: DataFrame, table: str, skipped: str, invalid: str)
     """Team rows of any number of seasons -> games table, skip report and quarantine."""
     rows = ingest.clean_team_rows(team_rows)
     groups = ingest.game_groups(rows)
-    games = ingest.pair_games(rows, groups).withColumn("_seq", F.lit(0).cast("long"))
+    games = ingest.pair_games(groups).withColumn("_seq", F.lit(0).cast("long"))
     good, bad = quality.split_valid(games, schemas.GAME_NON_NULL, schemas.GAME_COLUMNS, "games")
     quarantine(bad, invalid)
     quarantine(ingest.skipped_games(rows, groups), skipped)
@@ -206,5 +218,6 @@ def land_team_stats(raw: DataFrame, table: str, invalid: str) -> None:
 
 
 def eligible_games(games: DataFrame, season: str | None = None) -> DataFrame:
-    """Completed games that can have events."""
-    return pregame.final_games(games, season)
+    """Completed games that can have events: an id and both team names, dated or not."""
+    out = games.filter("status = 'final'").dropna(subset=["game_id", "home_team", "away_team"])
+    return out if season is None else out.filter(F.col("season") == season)

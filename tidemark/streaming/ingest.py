@@ -59,7 +59,7 @@ def touched_events(rows: DataFrame, table: str) -> DataFrame:
     stored = tables.read_table(rows.sparkSession, table, rows.schema)
     stored = stored.filter(tables.partitions_of(rows, ["bucket"]))
     return scale.lookup_join(
-        stored, games, ["game_id"], spread=["event_num"], how="inner", dim_rows=games.count()
+        stored, games, ["game_id"], how="inner"
     )
 
 
