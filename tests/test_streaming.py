@@ -1,3 +1,5 @@
+import pathlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ def landed(spark, tmp_path):
 
 def run(spark, root, then=None):
     stream = ingest.read_stream(spark, f"{root}/in", PLAYS, files_per_batch=1)
-    ingest.start_ingest(stream, f"{root}/table", f"{root}/bad", f"{root}/cp", buckets=4,
+    ingest.start_ingest(stream, f"{root}/table", f"{root}/bad", f"{root}/cp", bucket_games=1,
                         then=then).awaitTermination()
 
 
@@ -57,7 +59,7 @@ def test_late_scores_and_repeats_end_up_as_in_the_batch_job(spark, landed):
 
 def test_a_batch_that_runs_twice_changes_nothing(spark, landed):
     rows = spark.createDataFrame(FILES[0], PLAYS)
-    step = ingest.ingest_batch(f"{landed}/t", f"{landed}/q", buckets=4)
+    step = ingest.ingest_batch(f"{landed}/t", f"{landed}/q", bucket_games=1)
     step(rows, 0)
     step(rows, 0)
     assert spark.read.parquet(f"{landed}/t").count() == 3
@@ -89,3 +91,15 @@ def test_first_arrival_is_kept_inside_the_watermark(spark, landed):
     query.awaitTermination()
     rows = spark.table("first_arrivals").filter("game_id = '2'").collect()
     assert len(rows) == 1
+
+
+def test_a_batch_leaves_the_buckets_of_other_games_alone(spark, landed):
+    step = ingest.ingest_batch(f"{landed}/t", f"{landed}/q", bucket_games=1)
+    step(spark.createDataFrame(FILES[0], PLAYS), 0)
+
+    def files(game):
+        return sorted(p.name for p in pathlib.Path(f"{landed}/t/bucket={game}").glob("*.parquet"))
+
+    before = files(1), files(2)
+    step(spark.createDataFrame(FILES[2], PLAYS), 1)
+    assert files(1) == before[0] and files(2) != before[1]

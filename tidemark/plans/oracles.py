@@ -1155,3 +1155,5 @@ ORACLES["storage_steps"] = f"""WITH {cte('plays')}, n AS (
          count(scoreHome) AS s FROM plays)
 SELECT unnest(['overwritten', 'season_scan', 'log', 'valid', 'quarantine', 'fallback', 'empty']) AS step,
        unnest([n, a, n + a, s, n - s, n - a, 0]) AS row_count FROM n"""
+ORACLES["stream_raw_plays"] = f"""SELECT * FROM ({ORACLES["normalized_plays"]})
+WHERE game_id IS NOT NULL AND event_num IS NOT NULL AND period IS NOT NULL"""

@@ -226,19 +226,37 @@ def raw_feed_counts(spark, sf):
     return ingest.raw_counts(ingest.clean_team_rows(load(spark, sf, "team_rows")))
 
 
-@query
-def normalized_plays(spark, sf):
-    raw = load(spark, sf, "plays").select(
+def _feed_plays(plays: DataFrame) -> DataFrame:
+    """Event rows as the feed names them."""
+    return plays.select(
         F.col("game_id").alias("gameId"), F.col("event_num").alias("actionNumber"),
         F.col("event_msg_type").alias("actionType"), F.col("event_msg_action_type").alias("subType"),
         "period", F.col("pctimestring").alias("clock"), "location", "description",
         F.col("scoreHome").cast("long").cast("string").alias("scoreHome"),
-        F.col("scoreAway").cast("long").cast("string").alias("scoreAway"),
+        F.col("scoreAway").cast("long").cast("string").alias("scoreAway"), "_seq",
     )
+
+
+@query
+def normalized_plays(spark, sf):
+    raw = _feed_plays(load(spark, sf, "plays"))
     out = ingest.normalize_plays(raw, schedule(spark, sf))
     return out.select(*[c for c in schemas.PLAY_COLUMNS], "location")
 
 
+@query
+def stream_raw_plays(spark, sf):
+    """Feed rows normalised, checked and merged batch by batch as they stream."""
+    root = _run_folder(spark)
+    games = scale.stored(schedule(spark, sf))
+    stream_ingest.start_ingest(
+        _feed_plays(_stream(spark, sf, STAND_INS["plays"].columns)), f"{root}/table",
+        f"{root}/quarantine", f"{root}/checkpoint",
+        prepare=lambda batch: ingest.normalize_plays(batch, games),
+    ).awaitTermination()
+    return tables.read_table(spark, f"{root}/table").select(*schemas.PLAY_COLUMNS, "location")
+
+
 @query
 def eligible_games(spark, sf):
     return tables.eligible_games(_nameless(load(spark, sf, "games"))).select("game_id", "season")
@@ -1107,7 +1125,7 @@ def stream_equals_batch(spark, sf):
     root = _run_folder(spark)
     stream_ingest.start_ingest(
         _stream(spark, sf, STAND_INS["plays"].columns), f"{root}/table", f"{root}/quarantine",
-        f"{root}/checkpoint", buckets=8,
+        f"{root}/checkpoint",
     ).awaitTermination()
     return live.running_scores(tables.read_table(spark, f"{root}/table")).select(
         "game_id", "event_num", "home_score", "away_score", "is_scoring_event"
@@ -1123,7 +1141,7 @@ def stream_live_state(spark, sf):
     )
     stream_ingest.start_ingest(
         _stream(spark, sf, STAND_INS["plays"].columns), f"{root}/table", f"{root}/quarantine",
-        f"{root}/checkpoint", buckets=8, then=refresh,
+        f"{root}/checkpoint", then=refresh,
     ).awaitTermination()
     return tables.read_table(spark, f"{root}/features").select(*schemas.LIVE_COLUMNS)
 
@@ -1137,7 +1155,7 @@ def stream_coverage(spark, sf):
     )
     stream_ingest.start_ingest(
         _stream(spark, sf, STAND_INS["plays"].columns), f"{root}/table", f"{root}/quarantine",
-        f"{root}/checkpoint", buckets=8, then=refresh,
+        f"{root}/checkpoint", then=refresh,
     ).awaitTermination()
     return tables.read_table(spark, f"{root}/report").select(
         F.col("season").cast("string"), "eligible_games", "collected_games", "coverage_pct",

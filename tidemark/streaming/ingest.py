@@ -16,7 +16,8 @@ from tidemark import schemas
 from tidemark.operators import coverage, live, model, quality, scale
 from tidemark.sources import tables
 
-BUCKETS = 512
+BUCKET_GAMES = 100
+UNNUMBERED = 512
 
 
 def read_stream(
@@ -26,24 +27,34 @@ def read_stream(
     return reader.format(fmt).load(path)
 
 
-def with_bucket(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Storage bucket of a game: a batch rewrites the buckets of its own games only."""
-    return df.withColumn("bucket", F.pmod(F.hash("game_id"), F.lit(buckets)))
+def with_bucket(df: DataFrame, games: int = BUCKET_GAMES) -> DataFrame:
+    """Storage bucket of a game: ``games`` consecutive ids share one.
+
+    Ids follow the calendar, so a batch of new games touches the last buckets and leaves the others
+    alone. Ids that are no numbers are spread by hash over buckets below zero.
+    """
+    number = F.col("game_id").try_cast("long")
+    spread = -1 - F.pmod(F.hash("game_id"), F.lit(UNNUMBERED))
+    return df.withColumn("bucket", F.coalesce(F.floor(number / games), spread).cast("long"))
 
 
 def ingest_batch(
-    table: str, quarantine: str, buckets: int = BUCKETS, then: Callable | None = None,
+    table: str, quarantine: str, bucket_games: int = BUCKET_GAMES, then: Callable | None = None,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body: split invalid rows off, merge the rest by (game, event)."""
+    """foreachBatch body: split invalid rows off, merge the rest by (game, event).
+
+    ``prepare`` turns feed rows into event rows first (``operators.ingest.normalize_plays``).
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch = (batch if prepare is None else prepare(batch)).persist()
         try:
             good, bad = quality.split_valid(batch, schemas.PLAY_NON_NULL)
             if not bad.isEmpty():
                 tables.overwrite(bad, f"{quarantine}/batch={batch_id}")
             if not good.isEmpty():
-                rows = with_bucket(good, buckets)
+                rows = with_bucket(good, bucket_games)
                 tables.upsert(table, rows, live.EVENT_KEY, ["bucket"])
                 if then is not None:
                     then(rows, batch_id)
@@ -65,8 +76,10 @@ def touched_events(rows: DataFrame, table: str) -> DataFrame:
 
 def refresh_live_state(
     table: str, games: DataFrame, features: str, block_rows: int = scale.DEFAULT_BLOCK_ROWS,
+    bucket_games: int = BUCKET_GAMES,
 ) -> Callable[[DataFrame, int], None]:
-    """After a merge, rebuild the running state of the games the batch touched.
+    """After a merge, rebuild the running state of the games the batch touched; the state table is
+    bucketed like the events.
 
     Same code as the batch job, so a late, lower score cannot rewind the state.
     """
@@ -74,7 +87,7 @@ def refresh_live_state(
     def run(rows: DataFrame, batch_id: int) -> None:
         events = touched_events(rows, table).drop("bucket")
         state = live.live_features(events, games, block_rows=block_rows)
-        state = with_bucket(state.withColumn("_seq", F.lit(batch_id).cast("long")))
+        state = with_bucket(state.withColumn("_seq", F.lit(batch_id).cast("long")), bucket_games)
         tables.upsert(features, state, live.EVENT_KEY, ["bucket"])
 
     return run
@@ -105,12 +118,13 @@ def new_games_only(stream: DataFrame, collected: DataFrame) -> DataFrame:
 
 
 def start_ingest(
-    stream: DataFrame, table: str, quarantine: str, checkpoint: str, buckets: int = BUCKETS,
-    then: Callable | None = None,
+    stream: DataFrame, table: str, quarantine: str, checkpoint: str,
+    bucket_games: int = BUCKET_GAMES, then: Callable | None = None,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Run over everything that has arrived, then stop."""
     return (
-        stream.writeStream.foreachBatch(ingest_batch(table, quarantine, buckets, then))
+        stream.writeStream.foreachBatch(ingest_batch(table, quarantine, bucket_games, then, prepare))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
