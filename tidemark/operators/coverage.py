@@ -359,7 +359,7 @@ def dataset_profile(
             F.count(F.lit(1)).alias("row_count"), games.alias("unique_games"),
             latest.alias("last_changed"),
         ).select(F.lit(name).alias("asset"), "*", F.lit(True).alias("present")))
-    profile = reduce(DataFrame.unionByName, parts)
+    profile = scale.stored(reduce(DataFrame.unionByName, parts))  # a row per table
     must = F.col("asset").isin(*required) if required else F.lit(False)
     status = (
         F.when(~F.col("present"), F.when(must, "missing").otherwise("not_required"))

@@ -984,15 +984,19 @@ counts AS (
   GROUP BY season UNION ALL
   SELECT 'play_by_play', season, count(*), count(DISTINCT game_id) FROM season_plays GROUP BY season
   UNION ALL SELECT 'game_results', season, count(*), count(DISTINCT game_id) FROM games
-  WHERE home_score IS NOT NULL GROUP BY season),
-sections(section) AS (VALUES ('games'), ('play_by_play'), ('game_results')),
+  WHERE home_score IS NOT NULL GROUP BY season
+  UNION ALL SELECT 'pregame_features', season, count(*), count(DISTINCT game_id) FROM games
+  WHERE _seq % 7 <> 0 GROUP BY season
+  UNION ALL SELECT 'live_features', season, count(*), count(DISTINCT game_id) FROM season_plays
+  WHERE CAST(game_id AS BIGINT) % 5 <> 0 GROUP BY season),
+sections(section) AS (VALUES ('games'), ('play_by_play'), ('game_results'), ('pregame_features'), ('live_features')),
 filled AS (
   SELECT s.section, w.season, COALESCE(e.g, 0) AS expected, COALESCE(c.g, 0) AS have,
          COALESCE(c.n, 0) AS n
   FROM wanted w CROSS JOIN sections s
   LEFT JOIN counts c ON c.section = s.section AND c.season = w.season
   LEFT JOIN counts e ON e.section = 'games' AND e.season = w.season),
-coverage AS (
+judged_sections AS (
   SELECT section, season, expected AS expected_games, have AS available_games, n AS available_rows,
     CASE WHEN expected > 0 THEN round(100.0 * have / expected, 2) WHEN have > 0 THEN 100.0
          ELSE 0.0 END AS coverage_pct,
@@ -1004,12 +1008,18 @@ coverage AS (
          WHEN expected <= 0 THEN 'No expected games — games.csv lacks this season'
          ELSE have || '/' || expected || ' games (' || n ||
            CASE WHEN section = 'play_by_play' THEN ' event rows)' ELSE ' rows)' END END AS notes
-  FROM filled)"""
+  FROM filled),
+coverage AS (
+  SELECT *, CASE WHEN section = 'games' THEN CASE status WHEN 'fail' THEN 'Collect game schedule for this season'
+      WHEN 'warning' THEN 'Expected at least 1000 games; verify schedule collection' ELSE '' END
+    WHEN expected_games <= 0 THEN 'Collect game schedule before this dataset'
+    WHEN status <> 'pass' THEN 'Collect play-by-play for this season, then rebuild the feature tables'
+    ELSE '' END AS recommended_action FROM judged_sections)"""
 COVERAGE = f"{cte('games', 'feed')}, {SEASON_PLAYS}, {COVERED}"
 ORACLES["season_coverage_status"] = f"WITH {COVERAGE} SELECT * FROM coverage"
 ORACLES["coverage_readiness"] = f"""WITH {COVERAGE}
 SELECT count(*) = 0 AS allowed FROM coverage
-WHERE section = 'play_by_play' AND status = 'fail' AND season IN ({', '.join(map(text, SEASONS[:4]))})"""
+WHERE section IN ('play_by_play', 'live_features', 'pregame_features') AND status = 'fail' AND season IN ({', '.join(map(text, SEASONS[:4]))})"""
 ORACLES["coverage_missing_seasons"] = f"""WITH {COVERAGE}
 SELECT DISTINCT season FROM coverage WHERE status = 'fail'"""
 ORACLES["collection_coverage"] = f"""WITH {cte('games', 'feed')}, n AS (

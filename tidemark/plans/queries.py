@@ -860,12 +860,14 @@ def _coverage(spark, sf) -> DataFrame:
     return coverage.coverage_report(spark, SEASONS, {
         "games": games, "play_by_play": _season_plays(spark, sf),
         "game_results": games.filter("home_score IS NOT NULL"),
+        "pregame_features": games.filter("_seq % 7 <> 0"),
+        "live_features": _season_plays(spark, sf).filter("CAST(game_id AS BIGINT) % 5 <> 0"),
     })
 
 
 @query
 def season_coverage_status(spark, sf):
-    return _coverage(spark, sf).drop("recommended_action")
+    return _coverage(spark, sf)
 
 
 @query
