@@ -32,6 +32,7 @@ ship(__name__)
 SAMPLE = 20_000
 RIDGE, SWAP = 0.1, 10.0
 STEPS = 60
+BEGINNINGS = (3, 4, 5, 6)
 #: Smallest number of sample documents a feature word is in.
 LEAST_DOCS = 3
 #: Most words the model may use beside the identity terms; with ``SAMPLE`` it bounds what the
@@ -61,6 +62,13 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
+def features_of(words: set[str]) -> set[str]:
+    """The words, and their beginnings of three to six letters marked with an asterisk: languages
+    that build words from stems say the same in many forms. Identity terms count as whole words
+    only, so that a swap changes nothing but the terms."""
+    return words.union(w[:k] + "*" for w in words - SWAPS.keys() for k in BEGINNINGS if len(w) > k)
+
+
 def counterfactuals(text: str | None) -> set[tuple[str, str]]:
     """(term, other) of every swap that a sentence of the text allows."""
     out = set()
@@ -76,7 +84,8 @@ class Model:
     weights: dict[str, float]
 
     def score(self, words: set[str]) -> float:
-        z = self.bias + sum(self.weights[w] for w in sorted(words & self.weights.keys()))
+        known = features_of(words) & self.weights.keys()
+        z = self.bias + sum(self.weights[w] for w in sorted(known))
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))))
 
 
@@ -97,14 +106,15 @@ def sample(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, folds: in
 def _sample_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield pd.DataFrame({
-            "toxic": batch["toxic"], "words": [sorted(words_of(t)) for t in batch["text"]],
+            "toxic": batch["toxic"], "words": [sorted(features_of(words_of(t))) for t in batch["text"]],
             "swaps": [[f"{a} {b}" for a, b in sorted(counterfactuals(t))] for t in batch["text"]]})
 
 
 def feature_words(rows: DataFrame, n: tuple[int, int]) -> list[str]:
-    """Words whose share of toxic rows is beyond chance: likelihood ratio over 2 ln(words).
+    """Words and beginnings whose share of toxic rows is beyond chance: likelihood ratio over
+    2 ln(words). Of those that begin alike the strongest stays, of equally strong ones the longest.
 
-    ``n``: rows of class 0 and 1. At most ``FEATURES`` words, the strongest, are kept.
+    ``n``: rows of class 0 and 1. At most ``FEATURES``, the strongest, are kept.
     """
     toxic = F.col("toxic")
     counts = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
@@ -123,8 +133,19 @@ def feature_words(rows: DataFrame, n: tuple[int, int]) -> list[str]:
 
     ratio = 2 * (part("pos", pos_all) + part("neg", other))
     beyond = (F.col("pos") + F.col("neg") >= LEAST_DOCS) & (ratio > 2 * float(np.log(vocabulary)))
-    best = counts.where(beyond).orderBy(ratio.desc(), "word").limit(FEATURES)
-    return sorted(r[0] for r in best.select("word").collect())
+    best = counts.where(beyond).select("word", ratio.alias("g")).orderBy(F.desc("g"), "word").limit(16 * FEATURES)
+    found = sorted(((r["g"], len(r["word"]), r["word"]) for r in best.collect() if r["word"] not in SWAPS), reverse=True)
+    kept: list[str] = []
+    stems: set[str] = set()
+    within: set[str] = set()
+    for _, _, word in found:
+        stem = word.rstrip("*")
+        ahead = {stem[:k] for k in range(1, len(stem) + 1)}
+        if stem not in within and not ahead & stems:
+            kept.append(word)
+            stems.add(stem)
+            within |= ahead
+    return sorted(kept[:FEATURES])
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, folds: int = 5,
@@ -175,107 +196,6 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, folds: int =
     return Model(float(w[-1]), dict(zip(names, w[:-1].tolist(), strict=True)))
 
 
-def score(self, words: set[str]) -> float:
-        z = self.bias + sum(self.weights[w] for w in sorted(words & self.weights.keys()))
-        return float(1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))))
-
-
-def sample(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, folds: int = 5,
-           size: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, toxic) of at most ``size`` labelled documents outside the held-out fold.
-
-    The ids and labels are bounded by ``size``, 16 bytes each, and are sent to every task.
-    """
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.where(F.col("toxic").isin(0, 1) & (fold_of(F.col("doc_id"), folds) != held_out_fold))
-    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(chosen), "doc_id")
-
-
-def _sample_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({
-            "toxic": batch["toxic"], "words": [sorted(words_of(t)) for t in batch["text"]],
-            "swaps": [[f"{a} {b}" for a, b in sorted(counterfactuals(t))] for t in batch["text"]]})
-
-
-def feature_words(rows: DataFrame, n: tuple[int, int]) -> list[str]:
-    """Words whose share of toxic rows is beyond chance: likelihood ratio over 2 ln(words).
-
-    ``n``: rows of class 0 and 1. At most ``FEATURES`` words, the strongest, are kept.
-    """
-    toxic = F.col("toxic")
-    counts = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
-        F.sum(toxic).alias("pos"), F.sum(1 - toxic).alias("neg"))
-    counts = stored(counts, "word-counts")
-    vocabulary = max(counts.count(), 2)
-    other, pos_all = n
-    share = (F.col("pos") + F.col("neg")) / F.lit(float(other + pos_all))
-
-    def part(seen: str, total: int) -> Column:
-        mean = share * total
-        rest, rest_mean = F.lit(total) - F.col(seen), F.lit(total) - mean
-        one = F.when(F.col(seen) > 0, F.col(seen) * F.log(F.col(seen) / mean)).otherwise(0.0)
-        two = F.when((rest > 0) & (rest_mean > 0), rest * F.log(rest / rest_mean)).otherwise(0.0)
-        return one + two
-
-    ratio = 2 * (part("pos", pos_all) + part("neg", other))
-    beyond = (F.col("pos") + F.col("neg") >= LEAST_DOCS) & (ratio > 2 * float(np.log(vocabulary)))
-    best = counts.where(beyond).orderBy(ratio.desc(), "word").limit(FEATURES)
-    return sorted(r[0] for r in best.select("word").collect())
-
-
-def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, folds: int = 5,
-        size: int = SAMPLE, swap: float = SWAP, ridge: float = RIDGE) -> Model:
-    """Newton steps on the driver over the bounded sample's feature words."""
-    chosen = sample(docs, labels, held_out_fold, folds, size)
-    rows = stored(chosen.mapInPandas(
-        _sample_words, "toxic int, words array<string>, swaps array<string>"), "toxic-sample")
-    n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
-    other, pos = n.get(0, 0), n.get(1, 0)
-    if not other + pos:
-        return Model(-1e-6, {})
-    names = feature_words(rows, (other, pos))
-    names = sorted({*names, *SWAPS})
-    at = {w: i for i, w in enumerate(names)}
-    few = rows.select("toxic", "swaps", F.array_intersect(
-        "words", F.array(*[F.lit(w) for w in names])).alias("words")).collect()
-    y = np.array([r["toxic"] for r in few], float)
-    x = np.zeros((len(few), len(names) + 1), np.float32)
-    x[:, -1] = 1.0
-    change = np.zeros((len(names) + 1, len(names) + 1))
-    swaps = 0
-    for k, r in enumerate(few):
-        x[k, [at[w] for w in r["words"]]] = 1.0
-        for pair in r["swaps"]:
-            a, b = (at[w] for w in pair.split(" "))
-            change[a, a] += 1
-            change[b, b] += 1
-            change[a, b] -= 1
-            change[b, a] -= 1
-            swaps += 1
-    penalty = np.eye(len(names) + 1) * ridge
-    penalty[-1, -1] = 0.0
-    penalty += swap * len(few) * change / max(swaps, 1)
-    w = np.zeros(len(names) + 1)
-    w[-1] = np.log((pos + 0.5) / (other + 0.5))
-    for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        # Half a row of each class without words keeps the bias finite.
-        plain = 1 / (1 + np.exp(-w[-1]))
-        gradient = x.T @ (p - y) + penalty @ w
-        gradient[-1] += plain - 0.5
-        curve = (x * (p * (1 - p))[:, None]).T @ x + penalty
-        curve[-1, -1] += plain * (1 - plain) + 1e-6
-        step = np.linalg.solve(curve, gradient)
-        w -= step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-9:
-            break
-    return Model(float(w[-1]), dict(zip(names, w[:-1].tolist(), strict=True)))
-
-
 def score(text: Column, model: Model) -> Column:
     """Probability that the text is toxic, from its words alone."""
 
