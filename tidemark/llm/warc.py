@@ -33,6 +33,7 @@ ship(__name__)
 
 MIN_BYTES = 0
 GAP, RANGE = 64 << 10, 8 << 20
+TASK_BYTES = 16 << 20
 ARCHIVE_BYTES = 1 << 30
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 INDEX = ("page_id long, url string, archive string, offset long, length long, payload_digest string, "
@@ -203,5 +204,8 @@ def read(selected: DataFrame) -> DataFrame:
     """Records of the selected index rows; payload is null for revisits, whose size and digest are
     those of the page they repeat."""
     rows = selected.select("archive", "offset", "length", "url").where("archive is not null")
-    rows = rows.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    # Index rows are small and what they point at is not: tasks are counted by the bytes to read.
+    size = rows.agg(F.coalesce(F.sum("length"), F.lit(0))).head()[0]
+    rows = rows.repartitionByRange(int(size // TASK_BYTES) + 1, "archive", "offset")
+    rows = rows.sortWithinPartitions("archive", "offset")
     return rows.mapInPandas(_reader, RECORD)
