@@ -37,6 +37,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def look_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of many rows per key with one row per key.
+
+    The table usually comes from a sum per key and lies by that key already. Joining on a hash of it
+    as well makes Spark deal out both sides, and then it can split the partitions of frequent keys at
+    run time, which it cannot do where one side stays as it lies.
+    """
+    code = F.xxhash64(key).alias("_code")
+    return rows.select("*", code).join(table.select("*", code), [key, "_code"]).drop("_code")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(text, UPPER, LOWER)
@@ -69,9 +80,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        larger = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        larger = look_up(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = larger.groupBy("u").agg(F.min("v").alias("m"))
-        smaller = larger.join(least, "u").select(
+        smaller = look_up(larger, least, "u").select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")),
                               F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
         pairs = stored(smaller.select("p.u", "p.v").where("u <> v").distinct(), "links")

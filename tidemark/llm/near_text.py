@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, ship, stored
+from tidemark.llm.common import connected_components, look_up, ship, stored
 
 ship(__name__)
 
@@ -139,7 +139,7 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     hubs = members.join(met, "doc_id").groupBy("bucket").agg(
         F.max(F.struct("met", (-F.col("doc_id")).alias("back"))).alias("hub"))
     hubs = hubs.select("bucket", (-F.col("hub.back")).alias("hub"))
-    pairs = members.join(hubs, "bucket").where("doc_id <> hub")
+    pairs = look_up(members, hubs, "bucket").where("doc_id <> hub")
     return pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
 
 
@@ -150,7 +150,7 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
     """
     tokens = sets.join(labels, "doc_id").select("doc_id", "label", "n", F.explode("shingles").alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
-    ordered = tokens.join(counts, "token").groupBy("doc_id", "label", "n").agg(
+    ordered = look_up(tokens, counts, "token").groupBy("doc_id", "label", "n").agg(
         F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"))
     length = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1
     prefix = ordered.select("doc_id", "label", "n", F.posexplode(F.slice("t", F.lit(1), length.cast("int"))))
@@ -168,7 +168,7 @@ def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Links (a, b) that connect all similar sets of ``reps`` (doc_id, set_key, bands)."""
     spread = reps.select("doc_id", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(spread.join(shared, "bucket"), "buckets")
+    members = stored(look_up(spread, shared, "bucket"), "buckets")
     wanted = members.select("doc_id").distinct().join(reps.select("doc_id", "set_key"), "doc_id")
     sets = stored(shingle_sets(docs, wanted), "sets")
     found = stored(links(hub_pairs(members), sets), "hub-links")
@@ -181,7 +181,7 @@ def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         .where("n > 2 and lo <> hi").select("bucket")
     )
-    open_docs = stored(labelled.join(mixed, "bucket").select("doc_id", "label").distinct(), "open")
+    open_docs = stored(look_up(labelled, mixed, "bucket").select("doc_id", "label").distinct(), "open")
     rest = links(stored(prefix_pairs(sets, open_docs), "prefix-pairs"), sets)
     return found.unionByName(stored(rest, "prefix-links"))
 
