@@ -100,6 +100,19 @@ def test_near_groups_with_missing_and_repeated_ids(spark):
     assert got == {None: (None, True), 3: (3, True), 5: (3, False), 7: (3, False), 9: (3, False)}
 
 
+def test_prefixes_of_repeated_rows_hold_each_token_once(spark):
+    """Two sets of 100 that share 86 shingles; the rarest of each are its own."""
+    own = [[f"{s}{i}" for i in range(14)] for s in "ab"]
+    shared = [f"w{i}" for i in range(90)]
+    texts = [" ".join(o + shared) for o in own]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] * 4, "doc_id long, text string")
+    reps = near_text.fingerprints(docs).select("doc_id", "set_key").distinct()
+    sets = near_text.shingle_sets(docs, reps)
+    assert sorted(r.doc_id for r in sets.collect()) == [0, 1]
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, label long")
+    assert [tuple(r) for r in near_text.prefix_pairs(sets, labels).collect()] == [(0, 1)]
+
+
 def test_near_groups_of_nothing(spark):
     assert near_text.near_groups(frame(spark, [])).count() == 0
 

@@ -104,7 +104,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = [shingle_set(t) for t in batch["text"]]
         own = [_key(s) == k for s, k in zip(sets, batch["set_key"], strict=True)]
         yield pd.DataFrame({
-            "doc_id": batch["doc_id"], "n": [len(s) for s in sets],
+            "doc_id": batch["doc_id"], "set_key": batch["set_key"], "n": [len(s) for s in sets],
             "shingles": [s.view(np.int64) for s in sets]})[own]
 
 
@@ -116,9 +116,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, n, shingles) of the ``wanted`` (doc_id, set_key)."""
+    """(doc_id, set_key, n, shingles), one row for each ``wanted`` (doc_id, set_key) however often its
+    row is repeated."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return rows.join(wanted, "doc_id").mapInPandas(_sets, "doc_id long, n long, shingles array<long>")
+    found = rows.join(wanted, "doc_id").mapInPandas(
+        _sets, "doc_id long, set_key binary, n long, shingles array<long>")
+    return found.dropDuplicates(["doc_id", "set_key"])
 
 
 def _similar(shared: Column, n: Column, m: Column) -> Column:
@@ -148,9 +151,10 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
 
     Two similar sets share a shingle within the n - ceil(0.75 n) + 1 rarest ones of both.
     """
-    tokens = sets.join(labels, "doc_id").select("doc_id", "label", "n", F.explode("shingles").alias("token"))
+    tokens = sets.join(labels, "doc_id").select(
+        "doc_id", "set_key", "label", "n", F.explode("shingles").alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
-    ordered = look_up(tokens, counts, "token").groupBy("doc_id", "label", "n").agg(
+    ordered = look_up(tokens, counts, "token").groupBy("doc_id", "set_key", "label", "n").agg(
         F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"))
     length = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1
     prefix = ordered.select("doc_id", "label", "n", F.posexplode(F.slice("t", F.lit(1), length.cast("int"))))
