@@ -191,6 +191,19 @@ def test_main_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def main_texts(spark, pages):
+    df = spark.createDataFrame([(k, "http://h.org/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in sorted(html_text.extract(df).collect())]
+
+
+def test_one_page_with_an_article_does_not_decide_for_a_host(spark):
+    plain = [page(PLAIN.format(x)) for x in "abc"]
+    got = main_texts(spark, [*plain, page(ARTICLE + "<p>same on every page</p>")])
+    assert got[1] == "b first text that differs\nb second text" and got[3].endswith("six\nseven")
+    both = [page(f"<article><p>{x}</p></article><p>around</p>") for x in "ab"]
+    assert main_texts(spark, [*both, page("<article></article><p>around</p>")]) == ["a", "b", ""]
+
+
 def test_wrappers_fold_and_align():
     one, two = ([(p, False, False, p + x, 0) for p in ps] for ps, x in (("hppf", "1"), ("hpnpnpf", "2")))
     w = html_text.aligned(html_text.page_wrapper(one), html_text.page_wrapper(two))

@@ -8,10 +8,12 @@ of its places is a text slot with what the pages put there: how many pages fill
 texts are, how much of them is link text, and whether they are the same on every page.
 
 Wrappers are merged within each task while its pages stream by, so what is shuffled is one small
-row per host and task, however many pages a host has. The merged wrapper tells which slots are
-main text: never those below menus, headers, footers, sidebars, notices, adverts, forms or reader
-comments; those inside an article or main element if the host has any; else the slots whose
-text differs between pages and is not mostly links.
+row per host and task, however many pages a host has. A host has two wrappers: one of the pages
+with text inside an article or main element, one of its other pages. They tell which slots are main
+text: never those below menus, headers, footers, sidebars, notices, adverts, forms or reader
+comments; on pages of the first kind those inside an article or main element; on the others the
+slots whose text differs between pages, is not mostly links and does not stand outside the main
+elements of the first kind on every page.
 
 Defined results: a null or empty html, or one without main text, gives an empty text. Pages with a
 null or unreadable URL share one nameless host. Cut-off pages give what they hold. Rows are treated
@@ -234,11 +236,18 @@ def expression(wrapper: list[dict]) -> str:
                     for s in wrapper)
 
 
-def main_slots(wrapper: list[dict]) -> set[str]:
-    """Names of the blocks that hold main text."""
+def marked(blocks: list[tuple[str, bool, bool, str, int]]) -> bool:
+    """Whether the page has text inside an article or main element."""
+    return any(main and not out for _, out, main, _, _ in blocks)
+
+
+def main_slots(wrapper: list[dict], other: list[dict] | None = None) -> set[str]:
+    """Names of the blocks that hold main text; ``other`` is the wrapper of the host's marked pages."""
+    around = {(s["name"], s["same"]) for s in other or () if not s["main"] and s["same"] is not None}
     kept = [s for s in wrapper if not s["out"]]
     if any(s["main"] for s in kept):
         return {s["name"] for s in kept if s["main"]}
+    kept = [s for s in kept if (s["name"], s["same"]) not in around]
     texts = [s for s in kept if s["linked"] * 2 <= s["chars"] and not (s["same"] is not None and s["pages"] > 1)]
     return {s["name"] for s in texts or kept}
 
@@ -257,13 +266,15 @@ def host_of(url: Column) -> Column:
 
 
 def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, list[dict]] = {}
+    known: dict[tuple[str, bool], list[dict]] = {}
     for batch in batches:
         for host, html in zip(batch["host"], batch["html"], strict=True):
-            one = page_wrapper(blocks_of(html))
+            blocks = blocks_of(html)
+            one, key = page_wrapper(blocks), (host, marked(blocks))
             if one:
-                known[host] = aligned(known[host], one) if host in known else one
-    yield pd.DataFrame({"host": list(known), "wrapper": [json.dumps(w) for w in known.values()]}, dtype=object)
+                known[key] = aligned(known[key], one) if key in known else one
+    yield pd.DataFrame({"host": [h for h, _ in known], "marked": [m for _, m in known],
+                        "wrapper": [json.dumps(w) for w in known.values()]}, dtype=object)
 
 
 def _merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -271,31 +282,36 @@ def _merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     for text in sorted(rows["wrapper"]):
         one = json.loads(text)
         wrapper = one if wrapper is None else aligned(wrapper, one)
-    return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(wrapper)]})
+    return pd.DataFrame({"host": [key[0]], "marked": [key[1]], "wrapper": [json.dumps(wrapper)]})
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    slots: dict[str, set[str]] = {}
+    slots: dict[tuple, set[str]] = {}
     for batch in batches:
         texts = []
-        for html, wrapper in zip(batch["html"], batch["wrapper"], strict=True):
-            if wrapper is None:
+        for html, one, other in zip(batch["html"], batch["with_main"], batch["without"], strict=True):
+            blocks = blocks_of(html)
+            if not blocks:
                 texts.append("")
                 continue
-            if wrapper not in slots:
+            key = (one, None) if marked(blocks) else (other, one)
+            if key not in slots:
                 slots = {} if len(slots) > 1000 else slots
-                slots[wrapper] = main_slots(json.loads(wrapper))
-            texts.append(extracted(blocks_of(html), slots[wrapper]))
+                slots[key] = main_slots(json.loads(key[0]), json.loads(key[1] or "[]"))
+            texts.append(extracted(blocks, slots[key]))
         yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts})
 
 
 def wrappers(pages: DataFrame, salts: int = 32) -> DataFrame:
-    """(host, wrapper): one per host with any text."""
+    """(host, with_main, without): the wrappers of a host's marked and of its other pages, if any."""
     rows = pages.select(host_of(F.col("url")).alias("host"), "html")
-    part = rows.mapInPandas(_partial, "host string, wrapper string")
+    schema = "host string, marked boolean, wrapper string"
+    part = rows.mapInPandas(_partial, schema)
     part = part.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
-    part = part.groupBy("host", "salt").applyInPandas(_merged, "host string, wrapper string")
-    return part.groupBy("host").applyInPandas(_merged, "host string, wrapper string")
+    part = part.groupBy("host", "marked", "salt").applyInPandas(_merged, schema)
+    part = part.groupBy("host", "marked").applyInPandas(_merged, schema)
+    return part.groupBy("host").agg(F.max(F.when(F.col("marked"), F.col("wrapper"))).alias("with_main"),
+                                    F.max(F.when(~F.col("marked"), F.col("wrapper"))).alias("without"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -303,5 +319,6 @@ def extract(pages: DataFrame) -> DataFrame:
     found = stored(wrappers(pages), "wrappers")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html",
                         host_of(F.col("url")).alias("host"))
-    return rows.join(found, "host", "left").select("page_id", "url", "html", "wrapper").mapInPandas(
+    return rows.join(found, "host", "left").select(
+        "page_id", "url", "html", "with_main", "without").mapInPandas(
         _extract, "page_id long, url string, text string")
