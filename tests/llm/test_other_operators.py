@@ -204,6 +204,14 @@ def test_one_page_with_an_article_does_not_decide_for_a_host(spark):
     assert main_texts(spark, [*both, page("<article></article><p>around</p>")]) == ["a", "b", ""]
 
 
+def test_bodies_with_one_opening_and_copies_are_main_text(spark):
+    opening = "the same opening " * 20
+    pages = [f"<div class=box>{opening}{x}</div><p>date {x}</p><div class=foot>footing</div>" for x in "abc"]
+    assert main_texts(spark, pages) == [f"{opening}{x}\ndate {x}" for x in "abc"]
+    copies = [f"<div class=box>{opening}</div><p>date {x}</p>" for x in "abc"]
+    assert main_texts(spark, copies) == [f"{opening.strip()}\ndate {x}" for x in "abc"]
+
+
 def test_wrappers_fold_and_align():
     one, two = ([(p, False, False, p + x, 0) for p in ps] for ps, x in (("hppf", "1"), ("hpnpnpf", "2")))
     w = html_text.aligned(html_text.page_wrapper(one), html_text.page_wrapper(two))

@@ -26,6 +26,7 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 from html import unescape
 
 import pandas as pd
@@ -178,25 +179,33 @@ def blocks_of(html: str | None) -> list[tuple[str, bool, bool, str, int]]:
 
 
 # ---- wrappers ---------------------------------------------------------------------------
-# A wrapper is a list of slots {name, opt, rep, out, main, pages, chars, linked, same}; ``same`` is
-# the one text all pages put there, or None.
+# A wrapper is a list of slots {name, opt, rep, out, main, pages, chars, linked, same, body}; ``same``
+# is the print of the one text all pages put there, ``body`` that of the longest text of all these
+# pages, each None if it differs. Pages with one body are copies and tell nothing about a slot.
+def _print(text: str) -> str:
+    return f"{len(text)}:{blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
+
+
 def page_wrapper(blocks: list[tuple[str, bool, bool, str, int]]) -> list[dict]:
     """The wrapper of one page: neighbours of one name fold into a repeated slot."""
     slots: list[dict] = []
+    texts = [text for _, out, _, text, linked in blocks if not out and linked * 2 <= len(text)]
+    body = _print(max(texts, key=len, default=""))
     for path, out, main, text, linked in blocks:
         if slots and slots[-1]["name"] == path and slots[-1]["out"] == out:
             last = slots[-1]
             last.update(rep=True, chars=last["chars"] + len(text), linked=last["linked"] + linked, same=None)
         else:
             slots.append({"name": path, "opt": False, "rep": False, "out": out, "main": main, "pages": 1,
-                          "chars": len(text), "linked": linked, "same": text[:200]})
+                          "chars": len(text), "linked": linked, "same": _print(text), "body": body})
     return folded(slots)
 
 
 def _joined(a: dict, b: dict) -> dict:
     return a | {"opt": a["opt"] or b["opt"], "rep": a["rep"] or b["rep"], "main": a["main"] or b["main"],
                 "pages": a["pages"] + b["pages"], "chars": a["chars"] + b["chars"],
-                "linked": a["linked"] + b["linked"], "same": a["same"] if a["same"] == b["same"] else None}
+                "linked": a["linked"] + b["linked"], "same": a["same"] if a["same"] == b["same"] else None,
+            "body": a["body"] if a["body"] == b["body"] else None}
 
 
 def folded(slots: list[dict]) -> list[dict]:
@@ -248,7 +257,7 @@ def main_slots(wrapper: list[dict], other: list[dict] | None = None) -> set[str]
     if any(s["main"] for s in kept):
         return {s["name"] for s in kept if s["main"]}
     kept = [s for s in kept if (s["name"], s["same"]) not in around]
-    texts = [s for s in kept if s["linked"] * 2 <= s["chars"] and not (s["same"] is not None and s["pages"] > 1)]
+    texts = [s for s in kept if s["linked"] * 2 <= s["chars"] and not (s["same"] is not None and s["body"] is None)]
     return {s["name"] for s in texts or kept}
 
 
