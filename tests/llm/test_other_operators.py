@@ -212,6 +212,14 @@ def test_bodies_with_one_opening_and_copies_are_main_text(spark):
     assert main_texts(spark, copies) == [f"{opening.strip()}\ndate {x}" for x in "abc"]
 
 
+def test_layout_names_do_not_exclude_articles(spark):
+    body = "<article><header class='entry-header'><h1>Title</h1></header><p>Text</p><div class=ad>buy</div></article>"
+    for around in ("page has-sidebar", "site-header", "search"):
+        assert main_texts(spark, [f"<div class='{around}'>{body}<p class='cookie-notice'>we</p></div>"]) == ["Title\nText"]
+    assert main_texts(spark, [f"<p>x</p><div id=comments>{body}</div>"]) == ["x"]
+    assert main_texts(spark, [f"<div class=header-image><p>x</p></div><aside>{body}</aside>"]) == ["x"]
+
+
 def test_wrappers_fold_and_align():
     one, two = ([(p, False, False, p + x, 0) for p in ps] for ps, x in (("hppf", "1"), ("hpnpnpf", "2")))
     w = html_text.aligned(html_text.page_wrapper(one), html_text.page_wrapper(two))

@@ -49,7 +49,8 @@ BREAKS_P = frozenset(
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)),
           "tr": ("tr", ("table", "tbody", "thead")), "td": ("td", ("tr",)), "th": ("th", ("tr",)),
           "option": ("option", ("select",))}
-# What is never main text, by element and by word of class, id or role.
+# What is never main text, by element and by name in class, id or role. A name counts
+# as a whole or by its last part (site-footer), unless a part says that it only tells of a layout.
 NOT_MAIN = frozenset("head nav footer aside form button select dialog menu object canvas".split())
 NOT_MAIN_WORDS = frozenset(
     "ad ads advert adverts advertisement adbox banner sponsor sponsored promo nav navbar navigation menu "
@@ -57,6 +58,12 @@ NOT_MAIN_WORDS = frozenset(
     "popup modal newsletter subscribe signup login search share sharing social related recommended comment "
     "comments reply replies discussion disqus widget copyright toolbar pagination pager skip complementary "
     "contentinfo".split())
+LAYOUT = frozenset("has with without no not is show hide in".split())
+#: Layout containers: an article or main element below them is main text all the same.
+AROUND = frozenset(
+    "banner nav navbar navigation menu sidebar side header masthead notice notices alert search share sharing "
+    "social widget copyright toolbar popup modal".split())
+HEADS = frozenset(("header", "masthead"))
 MAIN = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article main content post entry story".split())
 
@@ -64,6 +71,18 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"<]*"|'[^'<]*'|[^'"<>])*>|[^
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\s(?:hidden(?=[\s/>=])|aria-hidden\s*=\s*["']?true)""", re.I)
 _LETTERS = re.compile(r"[a-z]+")
+
+
+def _not_main(value: str) -> set[str]:
+    """Those names of a class, id or role that stand for what is never main text."""
+    found = set()
+    for name in value.split():
+        parts = _LETTERS.findall(name)
+        if parts and parts[-1] in NOT_MAIN_WORDS and not LAYOUT & set(parts):
+            found.add(parts[-1])
+    return found
+
+
 _SPACE = re.compile(r"\s+")
 
 
@@ -79,7 +98,8 @@ class Block:
 def blocks_of(html: str | None) -> list[tuple[str, bool, bool, str, int]]:
     """(path, never main, inside a main element, text, characters of link text) in page order."""
     html = html or ""
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, never main, inside main
+    # name, path, never main (1: by a layout container, 2: whatever is below), inside main
+    stack: list[tuple[str, str, int, bool]] = []
     done: list[tuple[str, bool, bool, str, int]] = []
     now: Block | None = None
 
@@ -100,7 +120,8 @@ def blocks_of(html: str | None) -> list[tuple[str, bool, bool, str, int]]:
         nonlocal now
         if not text:
             return
-        path, out, main = stack[-1][1:] if stack else ("", False, False)
+        path, level, main = stack[-1][1:] if stack else ("", 0, False)
+        out = level > 0
         if now is not None and now.out != out:
             close()
         if now is None:
@@ -157,19 +178,28 @@ def blocks_of(html: str | None) -> list[tuple[str, bool, bool, str, int]]:
                     break
                 if stack[k][0] in until:
                     break
-        path, out, main = stack[-1][1:] if stack else ("", False, False)
+        path, out, main = stack[-1][1:] if stack else ("", 0, False)
         words: list[str] = []
+        never: set[str] = set()
         mark = ""
         for m in _ATTRIBUTE.finditer(attributes):
             value = (m[2] or m[3] or m[4] or "").lower()
             words += _LETTERS.findall(value)
+            never |= _not_main(value)
             if m[1].lower() == "class" and value.split():
                 mark = "." + value.split()[0]
         inner = main or name in MAIN
         is_main = inner or (name not in INLINE and not NOT_MAIN_WORDS & set(words) and bool(MAIN_WORDS & set(words)))
-        out = (out or name in NOT_MAIN or (name == "header" and not main)
-               or (bool(NOT_MAIN_WORDS & set(words)) and name not in ("article", "main", "body", "html"))
-               or bool(_HIDDEN.search(attributes)))
+        if main:
+            never -= HEADS
+        if name in MAIN and out == 1:
+            out = 0
+        if name in NOT_MAIN or _HIDDEN.search(attributes):
+            out = 2
+        elif never and name not in ("article", "main", "body", "html"):
+            out = max(out, 1 if never <= AROUND else 2)
+        elif name == "header" and not main:
+            out = max(out, 1)
         if name not in INLINE:
             close()
             path = f"{path}>{name}{mark}"
