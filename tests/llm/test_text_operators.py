@@ -166,6 +166,17 @@ def test_toxicity_learns_insults_and_not_groups(spark):
     assert scores[0] > 0.5 and scores[1] < 0.5 and scores[2] == scores[3] < 0.5
 
 
+def test_toxicity_keeps_every_word_that_tells(spark):
+    insults = [f"{chr(97 + k // 26)}{chr(97 + k % 26)}xqz" for k in range(300)]
+    texts = [f"one two {insults[i // 3 % 300] if i % 3 == 0 else 'three'}" for i in range(13_500)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(len(texts))], "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark, texts), labels)
+    assert sum(w in model.weights for w in insults) > 256  # those with enough rows outside the held-out fold
+    assert all(model.score({w}) > 0.5 for w in insults) and model.score({"one", "three"}) < 0.5
+    for text in ("les femmes rient", "die frauen lachen", "las mujeres cantan"):
+        assert toxicity.counterfactuals(text)
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(frame(spark, ODD), none)

@@ -35,9 +35,6 @@ STEPS = 60
 BEGINNINGS = (3, 4, 5, 6)
 #: Smallest number of sample documents a feature word is in.
 LEAST_DOCS = 3
-#: Most words the model may use beside the identity terms; with ``SAMPLE`` it bounds what the
-#: driver holds: a row per distinct set of feature words, 20,000 x 300 at the very most.
-FEATURES = 256
 
 # Groups of terms that may stand for one another.
 IDENTITY: tuple[tuple[str, ...], ...] = (
@@ -51,8 +48,29 @@ IDENTITY: tuple[tuple[str, ...], ...] = (
     ("immigrant", "refugee", "foreigner", "local"),
     ("old", "young", "elderly"),
     ("disabled", "deaf", "blind"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens"),
+    ("homosexuels", "hétérosexuels", "lesbiennes", "bisexuels"),
+    ("immigrés", "réfugiés", "étrangers", "migrants"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("muslim", "christ", "jude", "buddhist", "atheist"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"),
+    ("homosexuelle", "heterosexuelle", "lesben", "bisexuelle", "schwule"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("mujeres", "hombres", "chicas", "chicos"),
+    ("mujer", "hombre", "chica", "chico"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos"),
+    ("homosexuales", "heterosexuales", "lesbianas", "bisexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "locales"),
 )
-SWAPS = {t: tuple(o for o in group if o != t) for group in IDENTITY for t in group}
+SWAPS = {t: tuple(sorted({o for g in IDENTITY if t in g for o in g} - {t})) for group in IDENTITY for t in group}
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -111,10 +129,10 @@ def _sample_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def feature_words(rows: DataFrame, n: tuple[int, int]) -> list[str]:
-    """Words and beginnings whose share of toxic rows is beyond chance: likelihood ratio over
+    """All words and beginnings whose share of toxic rows is beyond chance: likelihood ratio over
     2 ln(words). Of those that begin alike the strongest stays, of equally strong ones the longest.
 
-    ``n``: rows of class 0 and 1. At most ``FEATURES``, the strongest, are kept.
+    ``n``: rows of class 0 and 1. The bounded sample bounds the words.
     """
     toxic = F.col("toxic")
     counts = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
@@ -133,7 +151,7 @@ def feature_words(rows: DataFrame, n: tuple[int, int]) -> list[str]:
 
     ratio = 2 * (part("pos", pos_all) + part("neg", other))
     beyond = (F.col("pos") + F.col("neg") >= LEAST_DOCS) & (ratio > 2 * float(np.log(vocabulary)))
-    best = counts.where(beyond).select("word", ratio.alias("g")).orderBy(F.desc("g"), "word").limit(16 * FEATURES)
+    best = counts.where(beyond).select("word", ratio.alias("g"))
     found = sorted(((r["g"], len(r["word"]), r["word"]) for r in best.collect() if r["word"] not in SWAPS), reverse=True)
     kept: list[str] = []
     stems: set[str] = set()
@@ -145,12 +163,39 @@ def feature_words(rows: DataFrame, n: tuple[int, int]) -> list[str]:
             kept.append(word)
             stems.add(stem)
             within |= ahead
-    return sorted(kept[:FEATURES])
+    return sorted(kept)
+
+
+def _known(at: dict[str, int]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(words=[sorted(at[w] for w in words if w in at) for words in batch["words"]])
+
+    return run
+
+
+def _solved(times, b: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """x with times(x) = b by conjugate gradients, scaled by the diagonal."""
+    x, rest = np.zeros_like(b), b.copy()
+    z = rest / diagonal
+    ahead, size = z.copy(), float(rest @ z)
+    for _ in range(4 * len(b)):
+        if np.sqrt(rest @ rest) <= 1e-10 * np.sqrt(b @ b) or size == 0.0:
+            break
+        image = times(ahead)
+        far = size / float(ahead @ image)
+        x += far * ahead
+        rest -= far * image
+        z = rest / diagonal
+        size, before = float(rest @ z), size
+        ahead = z + size / before * ahead
+    return x
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, folds: int = 5,
         size: int = SAMPLE, swap: float = SWAP, ridge: float = RIDGE) -> Model:
-    """Newton steps on the driver over the bounded sample's feature words."""
+    """Newton steps on the driver over the bounded sample's feature words, kept as the places of the
+    words in each distinct row."""
     chosen = sample(docs, labels, held_out_fold, folds, size)
     rows = stored(chosen.mapInPandas(
         _sample_words, "toxic int, words array<string>, swaps array<string>"), "toxic-sample")
@@ -161,35 +206,47 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, folds: int =
     names = feature_words(rows, (other, pos))
     names = sorted({*names, *SWAPS})
     at = {w: i for i, w in enumerate(names)}
-    known = F.sort_array(F.array_intersect("words", F.array(*[F.lit(w) for w in names])))
-    few = rows.groupBy(known.alias("words"), "swaps").agg(
+    known = rows.mapInPandas(_known(at), "toxic int, words array<int>, swaps array<string>")
+    few = known.groupBy("words", "swaps").agg(
         F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n")).collect()
-    x = np.zeros((len(few), len(names) + 1))
-    x[:, -1] = 1.0
+    width = len(names) + 1
+    col = np.array([i for r in few for i in [*r["words"], width - 1]], np.int64)
+    row = np.repeat(np.arange(len(few)), [len(r["words"]) + 1 for r in few])
     pos_at, n_at = (np.array([r[c] for r in few], float) for c in ("pos", "n"))
-    change = np.zeros((len(names) + 1, len(names) + 1))
+    change: dict[tuple[int, int], float] = {}
     swaps = 0
-    for k, r in enumerate(few):
-        x[k, [at[w] for w in r["words"]]] = 1.0
+    for r in few:
         for pair in r["swaps"]:
             a, b = (at[w] for w in pair.split(" "))
-            change[[a, b], [a, b]] += r["n"]
-            change[[a, b], [b, a]] -= r["n"]
+            for i, j, sign in ((a, a, 1), (b, b, 1), (a, b, -1), (b, a, -1)):
+                change[i, j] = change.get((i, j), 0.0) + sign * r["n"]
             swaps += r["n"]
-    penalty = np.eye(len(names) + 1) * ridge
-    penalty[-1, -1] = 0.0
-    penalty += swap * n_at.sum() * change / max(swaps, 1)
-    w = np.zeros(len(names) + 1)
+    one, two = (np.array([key[k] for key in change], np.int64) for k in (0, 1))
+    value = swap * n_at.sum() * np.array(list(change.values()), float) / max(swaps, 1)
+    shrink = np.full(width, ridge)
+    shrink[-1] = 0.0
+
+    def sums(u: np.ndarray) -> np.ndarray:
+        return np.bincount(col, u[row], width)
+
+    def of_rows(v: np.ndarray) -> np.ndarray:
+        return np.bincount(row, v[col], len(few))
+
+    def penalty(v: np.ndarray) -> np.ndarray:
+        return shrink * v + np.bincount(one, value * v[two], width)
+
+    w = np.zeros(width)
     w[-1] = np.log((pos + 0.5) / (other + 0.5))
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        p = 1 / (1 + np.exp(-np.clip(of_rows(w), -500, 500)))
         # Half a row of each class without words keeps the bias finite.
         plain = 1 / (1 + np.exp(-w[-1]))
-        gradient = x.T @ (n_at * p - pos_at) + penalty @ w
+        gradient = sums(n_at * p - pos_at) + penalty(w)
         gradient[-1] += plain - 0.5
-        curve = (x * (n_at * p * (1 - p))[:, None]).T @ x + penalty
-        curve[-1, -1] += plain * (1 - plain) + 1e-6
-        step = np.linalg.solve(curve, gradient)
+        bend, last = n_at * p * (1 - p), np.zeros(width)
+        last[-1] = plain * (1 - plain) + 1e-6
+        diagonal = sums(bend) + shrink + np.bincount(one[one == two], value[one == two], width) + last
+        step = _solved(lambda v: sums(bend * of_rows(v)) + penalty(v) + last * v, gradient, diagonal)
         w -= step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-6:
             break
