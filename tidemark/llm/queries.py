@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    decontaminate, html_text, mixing, near_text, near_vectors, ngram, pii, toxicity, url_filter, warc,
+    decontaminate, html_text, language, mixing, near_text, near_vectors, ngram, pii, toxicity, url_filter, warc,
 )
 from tidemark.llm.common import fold_of, table
 
@@ -91,3 +91,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(pages.withColumn("fetched", fetched), url_filter.entries_of_hosts(pages))
     return judged.select("page_id", "url", F.col("fetched").cast("string").alias("fetched"), "verdict",
                          "pattern", F.col("valid_from").cast("string").alias("valid_from"))
+
+
+@query
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents")).drop("shares")
