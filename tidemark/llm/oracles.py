@@ -127,6 +127,89 @@ FROM caps LEFT JOIN best ON caps.page_id = best.page_id AND r = 1
 """
 
 
+# crc32 in SQL: a table of 256 remainders, then one step per byte.
+CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda s, z: xor(s >> 1, (s & 1) * 3988292384))) AS tab"""
+
+
+def _crc32(text: str) -> str:
+    code = f"encode({text})"
+    steps = (f"list_concat([4294967295], list_transform(range(octet_length({code})), "
+             f"lambda i: ('0x' || substr(hex({code}), 2 * i + 1, 2))::BIGINT))")
+    return f"xor(list_reduce({steps}, lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+ORACLES["op12_spelling"] = rf"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), counted AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM runs WHERE length(run) >= 5 GROUP BY ALL
+), hashed AS (
+  SELECT run, n, {_crc32("id || ':' || run")} AS h FROM counted, crc
+), spelled AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, (h % length(run)) + 2) ELSE run END AS word, n FROM hashed
+), words AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM spelled WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), holes AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words
+), cut AS MATERIALIZED (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM holes
+), pairs AS MATERIALIZED (
+  SELECT DISTINCT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT word, rest FROM cut JOIN (SELECT word AS rest FROM words) USING (rest)
+  UNION SELECT rest, word FROM cut JOIN (SELECT word AS rest FROM words) USING (rest)
+), ranked AS (
+  SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r
+  FROM pairs JOIN words ON b = word
+), linked AS MATERIALIZED (
+  SELECT word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN x.n >= 2 * w.n THEN b END AS form, CASE WHEN x.n >= 2 * w.n THEN x.n END AS form_n
+  FROM words w LEFT JOIN ranked x ON a = word AND r = 1
+), chain AS (
+  SELECT word, word AS root, form AS next FROM linked
+  UNION ALL
+  SELECT chain.word, l.word, l.form FROM chain JOIN linked l ON l.word = chain.next
+)
+SELECT linked.word, n, n_near, form, form_n, root FROM linked JOIN chain ON chain.word = linked.word AND next IS NULL
+"""
+
+ORACLES["op11_prefix_trie"] = f"""
+WITH crc AS ({CRC_TABLE}),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS head, {_crc32("conv_id::VARCHAR")} % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), crc
+), lists AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), rebuilt AS (
+  SELECT ids.conv_id, list_concat(coalesce(heads.turns, [])[1:h], own.turns[h + 1:]) AS turns
+  FROM ids JOIN lists own ON own.conv_id = ids.conv_id LEFT JOIN lists heads ON heads.conv_id = head
+), paths AS (
+  SELECT conv_id, len(turns) AS size, turns, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt
+), keyed AS MATERIALIZED (
+  SELECT conv_id, size, depth, sha256(turns[1:depth]::VARCHAR) AS node,
+         CASE WHEN depth > 0 THEN sha256(turns[1:depth - 1]::VARCHAR) END AS parent,
+         CASE WHEN depth > 0 THEN length(turns[depth].text) ELSE 0 END AS chars
+  FROM paths
+), nodes AS MATERIALIZED (
+  SELECT depth, node, parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         list(conv_id ORDER BY conv_id) FILTER (size = depth) AS ends
+  FROM keyed GROUP BY ALL
+), kids AS (SELECT parent AS node, count(*) AS n FROM nodes GROUP BY parent),
+under AS (
+  SELECT DISTINCT a.depth, a.node, b.depth AS low_depth, b.node AS low FROM keyed a JOIN keyed b ON a.conv_id = b.conv_id AND b.depth >= a.depth
+), sums AS (
+  SELECT under.depth, under.node, count(*) FILTER (kids.n IS NULL) AS n_leaves, sum((x.n_convs - 1) * x.chars)::BIGINT AS saved_tokens
+  FROM under JOIN nodes x ON x.depth = low_depth AND x.node = low LEFT JOIN kids ON kids.node = low GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved_tokens,
+       sha256(coalesce(array_to_string(n.ends, ','), '')) AS ends_sha256
+FROM nodes n JOIN sums USING (depth, node) LEFT JOIN kids ON kids.node = n.node
+LEFT JOIN nodes up ON up.node = n.parent AND up.depth = n.depth - 1
+"""
+
+
 def _mixing() -> str:
     """Raking unrolled: every step divides by a window sum over one dimension."""
     def named(d: str) -> str:

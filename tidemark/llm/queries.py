@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    decontaminate, html_text, language, mixing, near_text, near_vectors, ngram, pii, toxicity, url_filter, warc,
+    decontaminate, html_text, language, mixing, near_text, near_vectors, ngram, pii, spelling, toxicity, url_filter,
+    warc,
 )
 from tidemark.llm.common import fold_of, table
 
@@ -96,3 +97,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents")).drop("shares")
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
