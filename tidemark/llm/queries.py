@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    decontaminate, html_text, language, mixing, near_text, near_vectors, ngram, pii, spelling, toxicity, url_filter,
-    warc,
+    decontaminate, html_text, language, mixing, near_text, near_vectors, ngram, pii, prefix_trie, spelling,
+    toxicity, url_filter, warc,
 )
 from tidemark.llm.common import fold_of, table
 
@@ -102,3 +102,8 @@ def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes_of(table(spark, sf_dir, "conversations"))
