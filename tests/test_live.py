@@ -131,7 +131,7 @@ def test_positions_and_totals_in_one_order(spark):
     rows = scale.with_position(df.select("o"), "o").collect()
     assert [r.position for r in sorted(rows, key=lambda r: r.o)] == list(range(1000))
     assert {r.total for r in rows} == {1000}
-    got = scale.with_total_before(df, ["g"], ["o"], "v", "t").collect()
+    got = scale.with_total_before(df, ["g"], "o", "v", "t").collect()
     seen = {}
     for r in sorted(got, key=lambda r: (r.g, r.o)):
         assert r.t == seen.get(r.g, 0)

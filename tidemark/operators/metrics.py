@@ -37,14 +37,14 @@ def _log_loss(y: Column, p: Column) -> Column:
 def roc_auc(df: DataFrame, by: Sequence[str], y: str = "y", p: str = "p") -> DataFrame:
     """Exact AUC per group: ties count half, null when a group has one class only.
 
-    Rows are first summed per distinct score; the running count of negatives below a score is
-    taken over range partitions, so even all-distinct scores never meet in one task.
+    Rows are first summed per distinct score; the running count of negatives below a score is a
+    radix ranking, so even all-distinct scores never meet in one task.
     """
     by = list(by)
     scores = df.groupBy(*by, p).agg(
         F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) == 0).alias("_neg")
     )
-    ranked = scale.with_total_before(scores, by, [p], "_neg", "_below")
+    ranked = scale.with_total_before(scores, by, p, "_neg", "_below")
     won = F.col("_pos").cast("double") * (F.col("_below") + F.col("_neg") / 2)
     out = ranked.groupBy(*by).agg(
         F.sum(won).alias("_won"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n")

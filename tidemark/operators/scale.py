@@ -178,20 +178,49 @@ def with_position(df: DataFrame, *order: str, name: str = "position") -> DataFra
     return out.withColumn(name, F.col("_start") + local).drop("_part", "_slot", "_start")
 
 
-def with_total_before(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str
-) -> DataFrame:
-    """Sum of ``value`` over all earlier rows of the group in the given order (exclusive)."""
-    laid = ordered_layout(df, *group, *order)
-    parts = laid.groupBy(*group, "_part").agg(F.sum(value).alias("_sum"))
-    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select(
-        *group, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start")
-    )
-    inside = (
-        Window.partitionBy(*group, "_part").orderBy("_slot")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    out = laid.join(starts, [*group, "_part"])
-    total = F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))
-    return out.withColumn(name, total).drop("_part", "_slot", "_start")
+COARSE_BITS, FINE_BITS = 12, 20
+
+
+def radix_digits(value: str) -> tuple[Column, Column]:
+    """Two digits that order doubles like the values themselves: exponent with the leading bits of the
+    fraction, then ``FINE_BITS`` more.
+
+    Scaling by powers of two, rounding down and subtracting are exact, so a digit only depends on the
+    value and never breaks the order. At most a few thousand coarse digits occur, at most 2^20 fine
+    digits within one, and at most 2^21 doubles share both. Negative values have negative digits; a
+    missing value comes first and one that is no number last.
+    """
+    whole = F.col(value).cast("double")
+    v = F.abs(F.coalesce(F.nanvl(whole, F.lit(0.0)), F.lit(0.0)))
+    exponent = F.when(v == 0, F.lit(-1100.0)).otherwise(F.greatest(F.floor(F.log2(v)).cast("double"), F.lit(-1022.0)))
+    fraction = F.when(v == 0, F.lit(0.0)).otherwise(v / F.pow(F.lit(2.0), exponent)) * float(1 << COARSE_BITS)
+    lead = F.floor(fraction)
+    fine = F.floor((fraction - lead) * float(1 << FINE_BITS))
+    sign = F.when(F.col(value) < 0, -1).otherwise(1).cast("long")
+    coarse = (exponent.cast("long") + 1100) * (1 << COARSE_BITS + 2) + lead
+    edge = F.when(whole.isNull(), F.lit(-(1 << 62))).when(F.isnan(whole), F.lit(1 << 62))
+    return F.coalesce(edge, sign * coarse), sign * fine
+
+
+def with_total_before(df: DataFrame, group: Sequence[str], order: str, value: str, name: str) -> DataFrame:
+    """Sum of ``value`` over all rows of the group with a smaller ``order`` (a double, distinct within
+    the group).
+
+    A radix ranking: sums per coarse and fine digit are combined on the map side, running totals over
+    those few rows give where each bucket starts, and rows are only compared inside their bucket. No
+    range sort, nothing stored, and a group of any size is spread over its buckets.
+    """
+    keys, earlier = list(group), (Window.unboundedPreceding, -1)
+    coarse, fine = radix_digits(order)
+    rows = df.withColumns({"_coarse": coarse, "_fine": fine})
+    cells = rows.groupBy(*keys, "_coarse", "_fine").agg(F.sum(value).alias("_n"))
+    tops = cells.groupBy(*keys, "_coarse").agg(F.sum("_n").alias("_n"))
+    over = Window.partitionBy(*keys).orderBy("_coarse").rowsBetween(*earlier)
+    tops = tops.select(*keys, "_coarse", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*keys, "_coarse").orderBy("_fine").rowsBetween(*earlier)
+    cells = cells.join(tops, [*keys, "_coarse"])
+    cells = cells.withColumn("_start", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    last = Window.partitionBy(*keys, "_coarse", "_fine").orderBy(order).rowsBetween(*earlier)
+    out = rows.join(cells.drop("_n"), [*keys, "_coarse", "_fine"])
+    total = F.col("_start") + F.coalesce(F.sum(value).over(last), F.lit(0))
+    return out.withColumn(name, total).drop("_coarse", "_fine", "_start")

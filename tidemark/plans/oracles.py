@@ -1167,3 +1167,20 @@ SELECT unnest(['overwritten', 'season_scan', 'log', 'valid', 'quarantine', 'fall
        unnest([n, a, n + a, s, n - s, n - a, 0]) AS row_count FROM n"""
 ORACLES["stream_raw_plays"] = f"""SELECT * FROM ({ORACLES["normalized_plays"]})
 WHERE game_id IS NOT NULL AND event_num IS NOT NULL AND period IS NOT NULL"""
+ORACLES["stream_game_state"] = f"""WITH {cte('plays')}
+SELECT game_id, greatest(COALESCE(max(scoreHome), 0), 0) AS home_score, greatest(COALESCE(max(scoreAway), 0), 0) AS away_score,
+       CAST(max(event_num) AS DOUBLE) AS last_event, count(*) AS event_rows,
+       greatest(COALESCE(max(scoreHome), 0), 0) - greatest(COALESCE(max(scoreAway), 0), 0) AS score_margin_home
+FROM plays WHERE game_id IS NOT NULL AND event_num IS NOT NULL GROUP BY game_id"""
+ORACLES["stream_last_arrivals"] = """WITH rows AS (
+  SELECT user_id AS game_id, event_id % 40 AS event_num, date_trunc('day', ts) AS day, value, event_type AS kind,
+         event_id AS _seq FROM events)
+SELECT game_id, event_num, strftime(day, '%Y-%m-%d') AS day, value, kind, _seq FROM rows
+WHERE day <= (SELECT max(day) FROM rows) - INTERVAL 1 DAY
+QUALIFY row_number() OVER (PARTITION BY day, game_id, event_num ORDER BY _seq DESC) = 1"""
+ORACLES["stream_coverage_deltas"] = ORACLES["stream_coverage"]
+ORACLES["uncollected_by_index"] = ORACLES["uncollected_games"]
+ORACLES["upsert_versions"] = ORACLES["upsert_merge"]
+ORACLES["valid_invalid_written_once"] = f"""WITH {cte('plays')}
+SELECT game_id, event_num, scoreHome IS NOT NULL AND event_msg_action_type IS NOT NULL AS valid FROM plays"""
+ORACLES["games_sorted_sink"] = f"""WITH {cte('games')} SELECT count(*) AS games, 0 AS overlapping_files FROM games"""

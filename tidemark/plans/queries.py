@@ -6,18 +6,19 @@ import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import exprs as X
 from tidemark.operators import (
-    coverage, ingest, live, metrics, model, pregame, quality, reconcile, replay, scale, series,
+    coverage, ingest, known, live, metrics, model, pregame, quality, reconcile, replay, scale, series,
     split,
 )
 from tidemark.plans.standins import STAND_INS, load, table
-from tidemark.sources import tables
+from tidemark.sources import tables, versions
 from tidemark.streaming import ingest as stream_ingest
+from tidemark.streaming import state as stream_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -1193,3 +1194,102 @@ def stream_scores(spark, sf):
         "checkpointLocation", f"{root}/checkpoint"
     ).trigger(availableNow=True).start(f"{root}/out").awaitTermination()
     return tables.read_table(spark, f"{root}/out")
+
+
+def _landed(spark, sf, root: str) -> DataFrame:
+    """Events with their time as a stream of several files in the order of time."""
+    events = table(spark, sf, "events").selectExpr(*STAND_INS["plays"].columns, "CAST(ts AS TIMESTAMP) AS ts")
+    tables.write_sorted(events, f"{root}/landed", ["ts"])
+    return stream_ingest.read_stream(spark, f"{root}/landed", events.schema, files_per_batch=2)
+
+
+@query
+def stream_game_state(spark, sf):
+    """Current score of every game from state that lives between the batches."""
+    root = _run_folder(spark)
+    stream_state.start_live_state(
+        _landed(spark, sf, root), f"{root}/blocks", f"{root}/checkpoint", "ts", "2 days"
+    ).awaitTermination()
+    return stream_state.current_scores(tables.read_table(spark, f"{root}/blocks", stream_state.BLOCKS))
+
+
+@query
+def stream_last_arrivals(spark, sf):
+    """Of repeated events the last one by sequence, once its day has passed the watermark."""
+    root = _run_folder(spark)
+    rows = table(spark, sf, "events").selectExpr(
+        "user_id AS game_id", "event_id % 40 AS event_num", "date_trunc('DAY', CAST(ts AS TIMESTAMP)) AS day",
+        "value", "event_type AS kind", "event_id AS _seq")
+    tables.write_sorted(rows, f"{root}/landed", ["day"])
+    stream = stream_ingest.read_stream(spark, f"{root}/landed", rows.schema, files_per_batch=2)
+    stream_state.last_arrivals(stream, "day", "1 day").writeStream.format("parquet").outputMode("append").option(
+        "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    out = tables.read_table(spark, f"{root}/out")
+    return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query
+def stream_coverage_deltas(spark, sf):
+    """Coverage kept by signed deltas while events arrive, a fifth of them twice."""
+    root = _run_folder(spark)
+    games = schedule(spark, sf)
+    plays = _landed(spark, sf, root).drop("ts")
+    again = table(spark, sf, "events").selectExpr(*STAND_INS["plays"].columns, "CAST(ts AS TIMESTAMP) AS ts")
+    again = again.where("_seq % 5 = 0").withColumn("_seq", -F.col("_seq"))
+    again.write.mode("append").parquet(f"{root}/landed")
+    names = [f"{root}/{n}" for n in ("table", "counts", "deltas", "totals")]
+    events, counts, deltas, totals = names
+    stream_ingest.start_ingest(
+        plays, events, f"{root}/quarantine", f"{root}/checkpoint",
+        first=stream_state.note_deltas(events, counts, deltas),
+        then=stream_state.apply_deltas(deltas, games, counts, totals),
+    ).awaitTermination()
+    found = tables.read_table(spark, totals, stream_state.TOTALS).drop("_seq")
+    eligible = games.select("season", "game_id").distinct().groupBy("season").agg(F.count(F.lit(1)).alias("eligible_games"))
+    rows = eligible.join(found, "season", "left").fillna({"collected_games": 0, "total_event_rows": 0})
+    return rows.withColumn("coverage_pct", X.coverage_pct("collected_games", "eligible_games"))
+
+
+@query
+def uncollected_by_index(spark, sf):
+    """Games still to fetch, asked of the bitmaps that two batches of events left."""
+    root = _run_folder(spark)
+    feed = load(spark, sf, "feed").select("game_id").withColumn("season", F.substring("game_id", 1, 4))
+    odd = F.pmod(F.xxhash64("game_id"), F.lit(2)) == 1
+    for part in (feed.where(odd), feed.where(~odd)):
+        known.add(f"{root}/known", part)
+    return known.left_to_collect(load(spark, sf, "games"), f"{root}/known").select("game_id", "season", "game_date")
+
+
+@query
+def upsert_versions(spark, sf):
+    """Two batches of feed rows merged into a table of versioned partitions."""
+    root = _run_folder(spark)
+    feed = stream_ingest.with_bucket(load(spark, sf, "feed").select("game_id", "event_num", "_seq", "flag"))
+    for flags in (["A", "N"], ["R"]):
+        versions.upsert(f"{root}/feed", feed.where(F.col("flag").isin(flags)), live.EVENT_KEY, ["bucket"])
+    stored = versions.read(spark, f"{root}/feed", feed.schema, ["bucket"])
+    return stored.select("game_id", "event_num", "_seq", "flag")
+
+
+@query
+def valid_invalid_written_once(spark, sf):
+    """Valid and invalid events from one pass over the source."""
+    plays = load(spark, sf, "plays")
+    good, bad = tables.write_split(plays, f"{_run_folder(spark)}/plays", ["scoreHome", "event_msg_action_type"])
+    sides = good.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False)))
+    return sides.select("game_id", "event_num", "valid")
+
+
+@query
+def games_sorted_sink(spark, sf):
+    """Games stored in the order of season, date and id: the files' ranges do not overlap."""
+    path = f"{_run_folder(spark)}/games"
+    order = ["season", "game_date", "game_id"]
+    tables.write_sorted(load(spark, sf, "games"), path, order)
+    place = F.concat_ws("|", "season", F.coalesce("game_date", F.lit("")), "game_id")
+    rows = tables.read_table(spark, path).select(F.input_file_name().alias("file"), place.alias("place"))
+    files = rows.groupBy("file").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count(F.lit(1)).alias("n"))
+    before = F.max("high").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.withColumn("overlaps", F.coalesce(before >= F.col("low"), F.lit(False)))
+    return files.agg(F.sum("n").alias("games"), F.count_if("overlaps").alias("overlapping_files"))

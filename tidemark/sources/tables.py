@@ -121,6 +121,31 @@ def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> Non
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def write_sorted(df: DataFrame, path: str, order: Sequence[str], partition_by: Sequence[str] = ()) -> None:
+    """Files that hold consecutive ranges of ``order``, sorted inside, so that the minimum and maximum
+    in their footers let a filter skip all files but one. Nulls come first."""
+    keys = [*partition_by, *order]
+    laid = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    overwrite(laid, path, partition_by)
+
+
+TAG = "_invalid"
+
+
+def write_split(df: DataFrame, path: str, non_null: Sequence[str], required: Sequence[str] = (),
+                name: str = "table") -> tuple[DataFrame, DataFrame]:
+    """Write valid and invalid rows in one pass, told apart by a partition, and read both sides back.
+
+    The plan of ``df`` runs once, where two filters and a probe would run it three times. Each side
+    is a folder of its own, so reading one never touches the other.
+    """
+    quality.require_columns(df, [*required, *non_null], name)
+    tagged = df.withColumn(TAG, X.any_null(*non_null))
+    overwrite(tagged, path, [TAG])
+    rows = df.sparkSession.read.schema(tagged.schema).parquet(path)
+    return rows.where(~F.col(TAG)).drop(TAG), rows.where(TAG).drop(TAG)
+
+
 def partitions_of(df: DataFrame, columns: Sequence[str]) -> Column:
     """Filter for the partitions a batch touches, as literals the scan can prune with.
 

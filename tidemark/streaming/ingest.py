@@ -40,11 +40,12 @@ def with_bucket(df: DataFrame, games: int = BUCKET_GAMES) -> DataFrame:
 
 def ingest_batch(
     table: str, quarantine: str, bucket_games: int = BUCKET_GAMES, then: Callable | None = None,
-    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    prepare: Callable[[DataFrame], DataFrame] | None = None, first: Callable | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """foreachBatch body: split invalid rows off, merge the rest by (game, event).
 
-    ``prepare`` turns feed rows into event rows first (``operators.ingest.normalize_plays``).
+    ``prepare`` turns feed rows into event rows first (``operators.ingest.normalize_plays``);
+    ``first`` sees the rows before they are merged, ``then`` after.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -55,6 +56,8 @@ def ingest_batch(
                 tables.overwrite(bad, f"{quarantine}/batch={batch_id}")
             if not good.isEmpty():
                 rows = with_bucket(good, bucket_games)
+                if first is not None:
+                    first(rows, batch_id)
                 tables.upsert(table, rows, live.EVENT_KEY, ["bucket"])
                 if then is not None:
                     then(rows, batch_id)
@@ -120,11 +123,12 @@ def new_games_only(stream: DataFrame, collected: DataFrame) -> DataFrame:
 def start_ingest(
     stream: DataFrame, table: str, quarantine: str, checkpoint: str,
     bucket_games: int = BUCKET_GAMES, then: Callable | None = None,
-    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    prepare: Callable[[DataFrame], DataFrame] | None = None, first: Callable | None = None,
 ) -> StreamingQuery:
     """Run over everything that has arrived, then stop."""
+    step = ingest_batch(table, quarantine, bucket_games, then, prepare, first)
     return (
-        stream.writeStream.foreachBatch(ingest_batch(table, quarantine, bucket_games, then, prepare))
+        stream.writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
