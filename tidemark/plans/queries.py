@@ -1196,20 +1196,28 @@ def stream_scores(spark, sf):
     return tables.read_table(spark, f"{root}/out")
 
 
-def _landed(spark, sf, root: str) -> DataFrame:
-    """Events with their time as a stream of several files in the order of time."""
-    events = table(spark, sf, "events").selectExpr(*STAND_INS["plays"].columns, "CAST(ts AS TIMESTAMP) AS ts")
-    tables.write_sorted(events, f"{root}/landed", ["ts"])
-    return stream_ingest.read_stream(spark, f"{root}/landed", events.schema, files_per_batch=2)
+def _timed_plays(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").selectExpr(*STAND_INS["plays"].columns, "CAST(ts AS TIMESTAMP) AS ts")
+
+
+def _arriving(rows: DataFrame, path: str, time: str, run: Callable, parts: int = 3) -> None:
+    """The rows land in parts in the order of time; after each part the stream runs over what is new,
+    its state and progress kept in its checkpoint."""
+    spark = rows.sparkSession
+    low, high = rows.select(F.unix_micros(F.min(time)), F.unix_micros(F.max(time))).head()
+    span = (high - low) // parts + 1 if low is not None else 1
+    part = F.floor((F.unix_micros(time) - F.lit(low or 0)) / span)
+    for k in range(parts):
+        rows.where(F.coalesce(part, F.lit(0)) == k).write.mode("append").parquet(path)
+        run(stream_ingest.read_stream(spark, path, rows.schema, files_per_batch=1 << 20)).awaitTermination()
 
 
 @query
 def stream_game_state(spark, sf):
     """Current score of every game from state that lives between the batches."""
     root = _run_folder(spark)
-    stream_state.start_live_state(
-        _landed(spark, sf, root), f"{root}/blocks", f"{root}/checkpoint", "ts", "2 days"
-    ).awaitTermination()
+    _arriving(_timed_plays(spark, sf), f"{root}/landed", "ts", lambda stream: stream_state.start_live_state(
+        stream, f"{root}/blocks", f"{root}/checkpoint", "ts", "2 days"))
     return stream_state.current_scores(tables.read_table(spark, f"{root}/blocks", stream_state.BLOCKS))
 
 
@@ -1220,10 +1228,12 @@ def stream_last_arrivals(spark, sf):
     rows = table(spark, sf, "events").selectExpr(
         "user_id AS game_id", "event_id % 40 AS event_num", "date_trunc('DAY', CAST(ts AS TIMESTAMP)) AS day",
         "value", "event_type AS kind", "event_id AS _seq")
-    tables.write_sorted(rows, f"{root}/landed", ["day"])
-    stream = stream_ingest.read_stream(spark, f"{root}/landed", rows.schema, files_per_batch=2)
-    stream_state.last_arrivals(stream, "day", "1 day").writeStream.format("parquet").outputMode("append").option(
-        "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+
+    def run(stream: DataFrame):
+        out = stream_state.last_arrivals(stream, "day", "1 day").writeStream.format("parquet").outputMode("append")
+        return out.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out")
+
+    _arriving(rows, f"{root}/landed", "day", run)
     out = tables.read_table(spark, f"{root}/out")
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
@@ -1233,17 +1243,13 @@ def stream_coverage_deltas(spark, sf):
     """Coverage kept by signed deltas while events arrive, a fifth of them twice."""
     root = _run_folder(spark)
     games = schedule(spark, sf)
-    plays = _landed(spark, sf, root).drop("ts")
-    again = table(spark, sf, "events").selectExpr(*STAND_INS["plays"].columns, "CAST(ts AS TIMESTAMP) AS ts")
-    again = again.where("_seq % 5 = 0").withColumn("_seq", -F.col("_seq"))
-    again.write.mode("append").parquet(f"{root}/landed")
-    names = [f"{root}/{n}" for n in ("table", "counts", "deltas", "totals")]
-    events, counts, deltas, totals = names
-    stream_ingest.start_ingest(
-        plays, events, f"{root}/quarantine", f"{root}/checkpoint",
+    plays = _timed_plays(spark, sf)
+    again = plays.where("_seq % 5 = 0").withColumns({"_seq": -F.col("_seq"), "ts": F.col("ts") + F.expr("INTERVAL 3 DAYS")})
+    events, counts, deltas, totals = (f"{root}/{n}" for n in ("table", "counts", "deltas", "totals"))
+    _arriving(plays.unionByName(again), f"{root}/landed", "ts", lambda stream: stream_ingest.start_ingest(
+        stream.drop("ts"), events, f"{root}/quarantine", f"{root}/checkpoint",
         first=stream_state.note_deltas(events, counts, deltas),
-        then=stream_state.apply_deltas(deltas, games, counts, totals),
-    ).awaitTermination()
+        then=stream_state.apply_deltas(deltas, games, counts, totals)))
     found = tables.read_table(spark, totals, stream_state.TOTALS).drop("_seq")
     eligible = games.select("season", "game_id").distinct().groupBy("season").agg(F.count(F.lit(1)).alias("eligible_games"))
     rows = eligible.join(found, "season", "left").fillna({"collected_games": 0, "total_event_rows": 0})

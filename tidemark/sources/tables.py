@@ -121,11 +121,13 @@ def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> Non
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def write_sorted(df: DataFrame, path: str, order: Sequence[str], partition_by: Sequence[str] = ()) -> None:
+def write_sorted(df: DataFrame, path: str, order: Sequence[str], partition_by: Sequence[str] = (),
+                 files: int | None = None) -> None:
     """Files that hold consecutive ranges of ``order``, sorted inside, so that the minimum and maximum
-    in their footers let a filter skip all files but one. Nulls come first."""
+    in their footers let a filter skip all files but one. Nulls come first. Spark chooses the number
+    of files by size where ``files`` is not given."""
     keys = [*partition_by, *order]
-    laid = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    laid = df.repartitionByRange(*([files] if files else []), *keys).sortWithinPartitions(*keys)
     overwrite(laid, path, partition_by)
 
 
