@@ -1,8 +1,10 @@
 import base64
+import collections
 import datetime
 import hashlib
 import math
 import random
+import zlib
 
 import brute
 import numpy as np
@@ -102,29 +104,85 @@ def plain_base(docs):
                 sum(math.log10((c[t] + 1) / (n + v + 1)) for t in ts)) for k, ts in tokens.items()}
 
 
-@pytest.mark.parametrize("frequent", [ngram.FREQUENT, 50])
-def test_base_scores(spark, monkeypatch, frequent):
-    monkeypatch.setattr(ngram, "FREQUENT", frequent)
+def plain_scores(docs, rounds=ngram.EM_ROUNDS):
+    """Deleted interpolation by dictionaries of n-grams."""
+    grams = {}
+    for k, text in docs.items():
+        w = [1, 1, *((text or "").encode().lower().split()), 2]
+        grams[k] = [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
+    fold = {k: zlib.crc32(str(k).encode()) % 7 for k in docs}
+
+    def counts(some):
+        one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+        for k in some:
+            for a, b, w in grams[k]:
+                one[w] += 1
+                two[b, w] += 1
+                three[a, b, w] += 1
+        return one, two, three
+
+    def parts(gram, found):
+        (a, b, w), (one, two, three) = gram, found
+        texts, n, v = one[2], sum(one.values()), len(one)
+        x2 = texts if b == 1 else one[b]
+        x3 = texts if a == b == 1 else two[a, b]
+        bucket = 64 + int(math.log2(x3)) if x3 else int(math.log2(x2)) if x2 else -1
+        return bucket, [three[gram] / x3 if x3 else 0, two[b, w] / x2 if x2 else 0, one[w] / max(n, 1), 1 / (v + 1)]
+
+    kept = counts([k for k in docs if fold[k] not in (2, 3)])
+    tokens = sum(kept[0].values())
+    held = collections.Counter()
+    for k in docs:
+        if fold[k] == 3:
+            for g in grams[k]:
+                bucket, e = parts(g, kept)
+                held[bucket, tuple(e)] += 1
+    weights = {b: ngram.settled(np.full(4, 0.25), ngram.allowed(b, tokens)) for b, _ in held}
+    for _ in range(rounds):
+        sums = {b: np.zeros(4) for b in weights}
+        for (b, e), n in held.items():
+            share = weights[b] * np.array(e)
+            sums[b] += n * share / share.sum()
+        weights = {b: ngram.settled(s / s.sum(), ngram.allowed(b, tokens)) for b, s in sums.items()}
+    full = counts([k for k in docs if fold[k] != 2])
+    out = {}
+    for k in docs:
+        total = 0.0
+        for g in grams[k]:
+            b, e = parts(g, full)
+            w = weights.get(b)
+            w = ngram.settled(np.full(4, 0.25), ngram.allowed(b, sum(full[0].values()))) if w is None else w
+            total += math.log10(float(w @ np.array(e)))
+        out[k] = total
+    return out
+
+
+@pytest.mark.parametrize("keys, piece", [(ngram.KEYS, ngram.PIECE), (3000, 20000)])
+def test_scores_equal_deleted_interpolation(spark, monkeypatch, keys, piece):
+    monkeypatch.setattr(ngram, "PIECE", piece)
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
-    docs = {r.doc_id: r.text for r in rows} | {900: None, 901: "", 902: "É É é \t a"}
+    docs = {r.doc_id: r.text for r in rows} | {900: None, 901: "", 902: "É É é \t a", 903: "word " * 30000}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").withColumn("score", F.lit("x"))
-    got = {r.doc_id: r for r in ngram.score(df).collect()}
-    want = plain_base(docs)
+    got = {r.doc_id: r for r in ngram.score(df, keys=keys).collect()}
+    want, scores = plain_base(docs), plain_scores(docs)
     assert got.keys() == want.keys()
     for k, r in got.items():
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[k][:4]
-        assert abs(r.base_score - want[k][4]) < 1e-6
-        assert r.score < 0
+        assert r.base_score == pytest.approx(want[k][4], rel=1e-9, abs=1e-6)
+        assert r.score == pytest.approx(scores[k], rel=1e-9, abs=1e-6)
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_class_probabilities_sum_to_one():
-    rng = np.random.default_rng(1)
-    tables = ngram.Tables(rng.integers(0, 5, (ngram.CLASSES,) * 2), rng.integers(0, 5, (ngram.COARSE ** 2, ngram.CLASSES)))
-    every = np.arange(ngram.CLASSES)
-    found, bucket = tables.estimates(np.full(len(every), 7), np.full(len(every), 9), every)
-    assert np.allclose(found.sum(1), 1) and len(set(bucket)) == 1
+def test_rare_word_pairs_are_told_apart(spark):
+    """A pair that was seen scores better than two words as frequent that never met."""
+    docs = {i: "new york is big" if i % 2 else "red fork is old" for i in range(200)}
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    docs |= dict(zip(held, ["new york", "red fork", "new fork", "red york"]))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ngram.score(df).collect()}
+    seen, unseen = [got[i] for i in held[:2]], [got[i] for i in held[2:]]
+    assert min(seen) > max(unseen) + 0.5
 
 
 def test_language_model_of_few_rows(spark):

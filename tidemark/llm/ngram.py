@@ -1,127 +1,68 @@
-"""Language-model scoring by deleted interpolation.
-
-Tokens are white-space words in lower case and one end per text. The model predicts a token's
-class from the two tokens before it and the token from its class:
-
-    p(token | a, b) = p(class | a, b) * p(token | class)
-
-The ``OWN`` most frequent tokens are a class each; every other token belongs to one of 64 classes
-by its shape (length and last sign), so a class is known without a look-up and the n-gram tables
-stay as large as ``CLASSES`` says, however many words a corpus has. p(class | a, b) mixes maximum-
-likelihood estimates of order three (coarse context classes), two and one and the uniform one. The
-mixture weights depend on how often the context was seen (buckets by powers of two) and are learned
-by expectation-maximisation on held-out counts: the n-grams of one training fold, estimated from the
-other folds (the fold is deleted from the counts). The final counts take in that fold.
-
-Token counts cover every text and every distinct token of the corpus. Tokens that make up at least
-1/``FREQUENT`` of all tokens (so there are ``FREQUENT`` at most) go to every task; the rest, few
-occurrences each, meet their counts in a shuffle.
-
-Token codes are 58 hash bits and 6 shape bits. Held-out estimates enter EM on a grid of a tenth of
-a power of ten. Defined results: a null or empty text is one end token. Rows that share a doc_id are
-one document; their texts are scored together. Rows with a null doc_id teach nothing, are one row of
-the result and are not held out. Without training text every token is unknown and the base score
-uses N = V = 0.
+"""Language-model scoring by deleted interpolation over token n-grams.
+
+Tokens are white-space words in lower case and one end per text. The probability of a token w after a
+and b mixes maximum-likelihood estimates of three orders and the uniform one:
+
+    p(w | a, b) = l3 c(a b w) / c(a b) + l2 c(b w) / c(b) + l1 c(w) / N + l0 / (V + 1)
+
+Every n-gram of every training text is counted; texts begin after two start signs. The weights depend
+on how often the context was seen: buckets by powers of two of c(a b), or of c(b) where c(a b) is 0. An
+order whose context was never seen has weight 0. Weights are learned by expectation-maximisation on
+held-out counts: the n-grams of one training fold, estimated from the other folds (the fold is
+deleted from the counts). The final counts take that fold in.
+
+Counts come from a question and an answer. Texts are stored in *pieces* of a few MB. Each piece asks for
+its distinct n-grams, one row per bucket of n-gram hashes, with how often it holds each; a bucket adds
+up all pieces' numbers and answers every piece with the counts in the order asked. So an n-gram
+travels once per piece, however often the piece has it, a frequent one is one number in each piece,
+and buckets hold about ``KEYS`` n-grams each at any size of the corpus. Nothing is kept in every task,
+and only the weights and two totals reach the driver.
+
+N-grams are told apart by 64-bit hashes. Defined results: a null or empty text is one end token. Rows
+that share a doc_id are one document; their texts are scored together. Rows with a null doc_id teach
+nothing, are one row of the result and are not held out. Without training text every token is unknown
+and the base score uses N = V = 0. An empty table gives an empty result. A text is never cut: one longer
+than ``PIECE`` is a piece by itself. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fold_of, ship, stored
 
 ship(__name__)
 
-FREQUENT = 1 << 16
-OWN, SHAPES, COARSE = 448, 64, 32
-CLASSES = OWN + SHAPES
-BUCKETS = 24
-GRID = 10
-EM_ROUNDS = 50
-END = np.uint64(63)
+PIECE, KEYS = 4 << 20, 2_000_000
+#: Bytes of text per distinct n-gram of a piece, about; sets the number of buckets.
+BYTES_PER_KEY = 3
+EM_ROUNDS = 12
+LEAST = 1e-6
+END, START = np.uint64(0x51AB7E3C9D20F46B), np.uint64(0xA3C59AC2F1B80D17)
 _CACHE = 300_000
-PIECE = 2 << 20
-_LENGTHS = np.array([0, 0, 0, 1, 1, 2, 3, 3, 4, 4, 4, 5, 5, 5, 5, 5, 6])
-_LAST = {**{c: 4 for c in b"aeiouy"}, **{c: 5 for c in b"bcdfghjklm"}, **{c: 6 for c in b"npqrstvwxz"},
-         **{c: 3 for c in b"0123456789"}, ord("."): 0, ord(","): 1}
+_draw = np.random.default_rng(20250301)
+_TIMES = _draw.integers(1, 1 << 63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Codes(dict):
-    """Codes of words, looked up once per distinct word while they fit."""
+    """Hashes of words, looked up once per distinct word while they fit."""
 
     def __missing__(self, word: bytes) -> int:
-        last = word[-1]
-        shape = int(_LENGTHS[len(word)] if len(word) < 17 else 7) * 8 + _LAST.get(last, 2 if last < 128 else 7)
-        code = (xxhash.xxh64_intdigest(word) & ~63) | shape
+        code = xxhash.xxh64_intdigest(word)
         if len(self) >= _CACHE:
             self.clear()
         self[word] = code
         return code
 
 
-def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of the batches in runs of about ``PIECE`` bytes of text (a longer text is a run of
-    its own), which bounds the arrays a task holds."""
-    for batch in batches:
-        ends = batch["text"].map(lambda t: len(t or b"") + 1).cumsum().to_numpy()
-        at = 0
-        while at < len(batch):
-            begun = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, begun + PIECE, side="right")))
-            yield batch.iloc[at:to]
-            at = to
-
-
-def stream(texts: pd.Series, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all tokens of all texts, and the number of tokens of each text."""
-    parts, sizes = [], np.empty(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        words = (text or b"").lower().split()
-        sizes[k] = len(words) + 1
-        parts.append(np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)))
-        parts.append(np.array([END], np.uint64))
-    return np.concatenate(parts) if parts else np.empty(0, np.uint64), sizes
-
-
-@dataclass
-class Vocabulary:
-    """Frequent tokens in code order, their training counts and class; -1: by shape."""
-
-    codes: np.ndarray
-    counts: np.ndarray
-    classes: np.ndarray
-    total: int
-    distinct: int
-
-    def lookup(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place or -1, class) of every token."""
-        if not len(self.codes):
-            return np.full(len(tokens), -1), OWN + (tokens & np.uint64(63)).astype(np.int64)
-        at = np.minimum(np.searchsorted(self.codes, tokens), len(self.codes) - 1)
-        at = np.where(self.codes[at] == tokens, at, -1)
-        own = np.where(at >= 0, self.classes[at], -1)
-        return at, np.where(own >= 0, own, OWN + (tokens & np.uint64(63)).astype(np.int64))
-
-
-def contexts(tokens: np.ndarray, classes: np.ndarray, sizes: np.ndarray, end_class: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class of the token before, and the coarse pair of the two before; texts begin after ends."""
-    own_or_shape = np.where(classes < COARSE // 2, classes, COARSE // 2 + ((tokens & np.uint64(63)) >> np.uint64(2)).astype(np.int64))
-    end_coarse = int(end_class if end_class < COARSE // 2 else COARSE // 2 + (int(END) >> 2))
-    one = np.concatenate([[end_class], classes[:-1]])
-    near = np.concatenate([[end_coarse], own_or_shape[:-1]])
-    far = np.concatenate([[end_coarse], near[:-1]])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    far[starts] = end_coarse
-    return one, far * COARSE + near
-
-
 def rows_of(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
     """(doc_id, text bytes, part): part 0 trains, 1 is the training fold EM holds out, 2 teaches
     nothing."""
@@ -131,227 +72,230 @@ def rows_of(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), F.col("text").cast("binary").alias("text"), part.alias("part"))
 
 
-def _token_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    codes = Codes()
-    for batch in pieces(batches):
-        tokens, sizes = stream(batch["text"], codes)
-        taught = np.repeat(batch["part"].to_numpy() < 2, sizes)
-        found, place = np.unique(tokens, return_inverse=True)
-        yield pd.DataFrame({"code": found.view(np.int64), "seen": np.bincount(place),
-                            "n": np.bincount(place, taught).astype(np.int64)})
+# ---- pieces -----------------------------------------------------------------------------------------
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    task, at = TaskContext.get().partitionId(), 0
+    held: dict[int, tuple[list, list]] = {p: ([], []) for p in (0, 1, 2)}
+    sizes = dict.fromkeys(held, 0)
 
+    def out(p: int) -> pd.DataFrame:
+        nonlocal at
+        at += 1
+        ids, texts = held[p]
+        held[p], size, sizes[p] = ([], []), sizes[p], 0
+        return pd.DataFrame({"piece": [task << 32 | at], "part": p, "size": size, "ids": [ids], "texts": [texts]})
 
-def token_counts(rows: DataFrame) -> DataFrame:
-    """(code, seen, n): occurrences in all texts and in training texts."""
-    found = rows.select("text", "part").mapInPandas(_token_counts, "code long, seen long, n long")
-    return found.groupBy("code").agg(F.sum("seen").alias("seen"), F.sum("n").alias("n"))
+    for batch in batches:
+        for doc_id, text, p in zip(batch["doc_id"], batch["text"], batch["part"], strict=True):
+            text = text or b""
+            if held[p][0] and sizes[p] + len(text) > PIECE:
+                yield out(p)
+            held[p][0].append(None if pd.isna(doc_id) else int(doc_id))
+            held[p][1].append(text)
+            sizes[p] += len(text) + 1
+    for p in held:
+        if held[p][0]:
+            yield out(p)
 
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The frequent tokens: FREQUENT at most, as each has 1/FREQUENT of all occurrences."""
-    seen, total, distinct = counts.agg(
-        F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).head()
-    rows = counts.where(F.col("seen") * FREQUENT >= seen).select("code", "n").collect()
-    codes = np.array([r["code"] for r in rows], np.int64).view(np.uint64)
-    n = np.array([r["n"] for r in rows], np.int64)
-    order = np.argsort(codes)
-    codes, n = codes[order], n[order]
-    classes = np.full(len(codes), -1)
-    best = np.lexsort((codes, -n))[:OWN]
-    classes[best] = np.arange(len(best))
-    return Vocabulary(codes, n, classes, int(total), int(distinct))
+def pieces_of(rows: DataFrame) -> DataFrame:
+    """Texts of one part in rows of about ``PIECE`` bytes; store them, so that both passes see the same."""
+    return rows.mapInPandas(_gathered, "piece long, part int, size long, ids array<long>, texts array<binary>")
 
 
-def _end_class(vocabulary: Vocabulary) -> int:
-    return int(vocabulary.lookup(np.array([END]))[1][0])
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    return x ^ (x >> np.uint64(29))
 
 
-def _gram_counts(vocabulary: Vocabulary):
+def grams(texts: list[bytes], codes: Codes) -> tuple[list[np.ndarray], np.ndarray]:
+    """(hashes of the n-grams of order 1, 2 and 3 that end at each token, tokens of each text)."""
+    sizes = np.empty(len(texts), np.int64)
+    parts = []
+    for k, text in enumerate(texts):
+        words = text.lower().split()
+        sizes[k] = len(words) + 1
+        parts += [np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)), np.array([END])]
+    one = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    before = np.concatenate([[START], one[:-1]]) if len(one) else one
+    before[starts] = START
+    further = np.concatenate([[START], before[:-1]]) if len(one) else one
+    further[starts] = START
+    two = _mixed(before * _TIMES[1] + one * _TIMES[2])
+    three = _mixed(_mixed(further * _TIMES[3] + before * _TIMES[4]) + one * _TIMES[5])
+    return [_mixed(one * _TIMES[0]), two, three], sizes
+
+
+def distinct(orders: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams in order of bucket and hash: (bucket, hash, times, place of every n-gram in that
+    order, orders one after the other). Each order has ``buckets`` buckets."""
+    keys, times, owner, places, at = [], [], [], [], 0
+    for k, found in enumerate(orders):
+        key, place, n = np.unique(found, return_inverse=True, return_counts=True)
+        keys.append(key)
+        times.append(n)
+        owner.append(k * buckets + ((_mixed(key) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64))
+        places.append(place + at)
+        at += len(key)
+    key, n, bucket = np.concatenate(keys), np.concatenate(times), np.concatenate(owner)
+    order = np.lexsort((key, bucket))
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return bucket[order], key[order], n[order], back[np.concatenate(places)]
+
+
+def _asked(buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, end = Codes(), _end_class(vocabulary)
-        two = np.zeros((2, CLASSES * CLASSES), np.int64)
-        three = np.zeros((2, COARSE * COARSE * CLASSES), np.int64)
-        for batch in pieces(batches):
-            tokens, sizes = stream(batch["text"], codes)
-            classes = vocabulary.lookup(tokens)[1]
-            one, pair = contexts(tokens, classes, sizes, end)
-            part = np.repeat(batch["part"].to_numpy(), sizes)
-            for p in (0, 1):
-                of = part == p
-                two[p] += np.bincount(one[of] * CLASSES + classes[of], minlength=two.shape[1])
-                three[p] += np.bincount(pair[of] * CLASSES + classes[of], minlength=three.shape[1])
-        for p in (0, 1):
-            for order, table in ((2, two[p]), (3, three[p])):
-                cell = np.flatnonzero(table)
-                yield pd.DataFrame({"part": p, "size": order, "cell": cell, "n": table[cell]})
+        codes = Codes()
+        for batch in batches:
+            for piece, part, texts in zip(batch["piece"], batch["part"], batch["texts"], strict=True):
+                bucket, key, n, _ = distinct(grams(list(texts), codes)[0], buckets)
+                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                yield pd.DataFrame({
+                    "bucket": bucket[cuts], "piece": piece, "part": part, "keys": np.split(key.view(np.int64), cuts[1:]),
+                    "times": np.split(n, cuts[1:])})
 
     return run
 
 
-@dataclass
-class Tables:
-    """Class n-gram counts: two[class before, class], three[coarse pair, class]."""
-
-    two: np.ndarray
-    three: np.ndarray
-
-    def estimates(self, one: np.ndarray, pair: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Maximum-likelihood estimates of order 3, 2, 1 and 0 (rows), and the context bucket."""
-        by_one, by_pair = self.two.sum(1), self.three.sum(1)
-        single, total = self.two.sum(0), max(self.two.sum(), 1)
-        seen = by_pair[pair]
-        out = np.stack([
-            self.three[pair, classes] / np.maximum(seen, 1),
-            self.two[one, classes] / np.maximum(by_one[one], 1),
-            single[classes] / total, np.full(len(classes), 1 / CLASSES)])
-        return out, np.minimum(np.log2(seen + 1).astype(np.int64), BUCKETS - 1)
-
-
-def gram_tables(rows: DataFrame, vocabulary: Vocabulary) -> tuple[Tables, Tables]:
-    """Tables of the training part and of the fold held out; their size is fixed by CLASSES."""
-    counted = rows.where("part < 2").mapInPandas(
-        _gram_counts(vocabulary), "part int, size int, cell long, n long")
-    found = counted.groupBy("part", "size", "cell").agg(F.sum("n").alias("n")).toPandas()
-    out = []
-    for p in (0, 1):
-        tables = []
-        for order, shape in ((2, (CLASSES, CLASSES)), (3, (COARSE * COARSE, CLASSES))):
-            some = found[(found["part"] == p) & (found["size"] == order)]
-            table = np.zeros(shape[0] * shape[1], np.int64)
-            table[some["cell"].to_numpy(np.int64)] = some["n"].to_numpy(np.int64)
-            tables.append(table.reshape(shape))
-        out.append(Tables(*tables))
-    return out[0], out[1]
-
-
-def _held_out(vocabulary: Vocabulary, tables: Tables):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, end = Codes(), _end_class(vocabulary)
-        for batch in pieces(batches):
-            tokens, sizes = stream(batch["text"], codes)
-            classes = vocabulary.lookup(tokens)[1]
-            found, bucket = tables.estimates(*contexts(tokens, classes, sizes, end), classes)
-            with np.errstate(divide="ignore"):
-                grid = np.where(found[:3] > 0, np.round(-np.log10(found[:3]) * GRID), 999).astype(np.int64)
-            key = ((bucket * 1000 + grid[0]) * 1000 + grid[1]) * 1000 + grid[2]
-            keys, n = np.unique(key, return_counts=True)
-            yield pd.DataFrame({"key": keys, "n": n})
+# ---- answers -------------------------------------------------------------------------------------------
+ANSWERS = "bucket long, piece long, kept array<long>, held array<long>"
+
+
+def _answered(asked: pd.DataFrame) -> pd.DataFrame:
+    """Counts of every n-gram of one bucket in the training part and in the fold held out; a row
+    without a piece has their totals and distinct numbers."""
+    sizes = asked["keys"].map(len).to_numpy()
+    _, place = np.unique(np.concatenate(asked["keys"].tolist()), return_inverse=True)
+    times, part = np.concatenate(asked["times"].tolist()), np.repeat(asked["part"].to_numpy(), sizes)
+    counts = [np.bincount(place, times * (part == p)).astype(np.int64) for p in (0, 1)]
+    cuts = np.cumsum(sizes)[:-1]
+    kept, held = ([*np.split(c[place], cuts)] for c in counts)
+    either = counts[0] + counts[1]
+    kept.append(np.array([counts[0].sum(), np.count_nonzero(counts[0])]))
+    held.append(np.array([either.sum(), np.count_nonzero(either)]))
+    return pd.DataFrame({"bucket": asked["bucket"].iloc[0], "piece": [*asked["piece"], None], "kept": kept, "held": held}).astype(
+        {"piece": "Int64"})
+
+
+def answers_of(pieces: DataFrame, buckets: int) -> DataFrame:
+    asked = pieces.select("piece", "part", "texts").mapInPandas(
+        _asked(buckets), "bucket long, piece long, part int, keys array<long>, times array<long>")
+    return asked.groupBy("bucket").applyInPandas(_answered, ANSWERS)
+
+
+def _counted(piece: pd.DataFrame, answers: pd.DataFrame, buckets: int, held: bool) -> tuple[np.ndarray, ...]:
+    """Per token: c(abw), c(ab), c(bw), c(b), c(w); and the tokens of each text. ``held`` adds the fold
+    that EM holds out."""
+    orders, sizes = grams(list(piece["texts"].iloc[0]), Codes())
+    place = distinct(orders, buckets)[3]
+    answers = answers.sort_values("bucket")
+    found = np.concatenate(answers["kept"].tolist())
+    if held:
+        found = found + np.concatenate(answers["held"].tolist())
+    one, two, three = np.split(found[place], 3)
+    starts = np.cumsum(sizes) - sizes
+    texts = one[-1]  # every text has one end
+    ctx_one, ctx_two = np.concatenate([[texts], one[:-1]]), np.concatenate([[texts], two[:-1]])
+    ctx_one[starts] = ctx_two[starts] = texts
+    return three, ctx_two, two, ctx_one, one, sizes
+
+
+def bucket_of(pair: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """Bucket of a context by how often it was seen; -1: never."""
+    with np.errstate(divide="ignore"):
+        near = np.where(single > 0, np.log2(np.maximum(single, 1)), -1)
+        far = np.where(pair > 0, 64 + np.log2(np.maximum(pair, 1)), -1)
+    return np.where(pair > 0, far, near).astype(np.int64)
+
+
+# ---- weights ----------------------------------------------------------------------------------------------
+HELD = "bucket long, c3 long, x3 long, c2 long, x2 long, c1 long, n long"
+
+
+def _held_counts(buckets: int):
+    def run(piece: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        c3, x3, c2, x2, c1, _ = _counted(piece, answers, buckets, held=False)
+        rows = np.stack([bucket_of(x3, x2), c3, x3, c2, x2, c1])
+        found, n = np.unique(rows, axis=1, return_counts=True)
+        return pd.DataFrame(dict(zip("bucket c3 x3 c2 x2 c1".split(), found, strict=True)) | {"n": n})
 
     return run
 
 
-def weights(rows: DataFrame, vocabulary: Vocabulary, tables: Tables) -> np.ndarray:
-    """Mixture weights [bucket, order 3 2 1 0] by EM on the held-out fold's counts."""
-    held = rows.where("part = 1").mapInPandas(_held_out(vocabulary, tables), "key long, n long")
-    found = held.groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    out = np.full((BUCKETS, 4), 0.25)
-    key, n = found["key"].to_numpy(np.int64), found["n"].to_numpy(np.float64)
-    grid = np.stack([key // 1_000_000 % 1000, key // 1000 % 1000, key % 1000])
-    estimate = np.vstack([np.where(grid == 999, 0.0, 10.0 ** (-grid / GRID)), np.full(len(key), 1 / CLASSES)])
-    bucket = key // 1_000_000_000
-    for b in range(BUCKETS):
-        of = bucket == b
-        if not of.any():
-            continue
-        e, m = estimate[:, of], n[of]
-        w = out[b]
-        for _ in range(EM_ROUNDS):
-            share = w[:, None] * e
-            share /= share.sum(0)
-            w = share @ m / m.sum()
-        out[b] = np.maximum(w, 1e-6) / np.maximum(w, 1e-6).sum()
-    return out
-
-
-@dataclass
-class Model:
-    vocabulary: Vocabulary
-    tables: Tables
-    weights: np.ndarray
-    #: Training tokens and distinct training tokens of every shape, own classes aside.
-    shape_tokens: np.ndarray
-    shape_distinct: np.ndarray
-
-    def within(self, counts: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-        """log10 p(token | shape class), one added to every count and one place for new words."""
-        return np.log10((counts + 1) / (self.shape_tokens + self.shape_distinct + 1)[shapes])
-
-
-def fit(rows: DataFrame, counts: DataFrame) -> Model:
-    words = vocabulary(counts)
-    kept, held = gram_tables(rows, words)
-    mixture = weights(rows, words, kept)
-    shapes = counts.where("n > 0").groupBy(F.expr("code & 63").alias("shape")).agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    tokens, distinct = np.zeros(SHAPES), np.zeros(SHAPES)
-    for r in shapes:
-        tokens[r["shape"]], distinct[r["shape"]] = r["n"], r["v"]
-    own = (words.classes >= 0) & (words.counts > 0)
-    shape = (words.codes[own] & np.uint64(63)).astype(np.int64)
-    np.subtract.at(tokens, shape, words.counts[own])
-    np.subtract.at(distinct, shape, 1)
-    return Model(words, Tables(kept.two + held.two, kept.three + held.three), mixture, tokens, distinct)
-
-
-SCORED = "doc_id long, kind int, code long, times long, n_tokens long, n_known long, base double, score double"
-
-
-def _scored(model: Model):
-    """Per text one row (kind 0) with all that frequent tokens and classes give, and one row
-    (kind 1) for each of its other tokens, whose count is still to come."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, words, end = Codes(), model.vocabulary, _end_class(model.vocabulary)
-        size = words.total + words.distinct + 1
-        for batch in pieces(batches):
-            tokens, sizes = stream(batch["text"], codes)
-            doc = np.repeat(np.arange(len(batch)), sizes)
-            at, classes = words.lookup(tokens)
-            estimate, bucket = model.tables.estimates(*contexts(tokens, classes, sizes, end), classes)
-            score = np.log10((model.weights[bucket].T * estimate).sum(0))
-            known = at >= 0
-            counts = np.where(known, words.counts[at] if len(words.counts) else 0, 0)
-            shape = (tokens & np.uint64(63)).astype(np.int64)
-            score += np.where(known & (classes >= OWN), model.within(counts, shape), 0.0)
-            base = np.where(known, np.log10((counts + 1) / size), 0.0)
-            n = len(batch)
-            ids = batch["doc_id"].astype("Int64").reset_index(drop=True)
-            yield pd.DataFrame({
-                "doc_id": ids, "kind": 0, "code": np.arange(n), "times": 1, "n_tokens": sizes,
-                "n_known": np.bincount(doc, counts > 0, n).astype(np.int64),
-                "base": np.bincount(doc, base, n), "score": np.bincount(doc, score, n)})
-            d, c = doc[~known], tokens[~known]
-            if not len(d):
-                continue
-            order = np.lexsort((c, d))
-            d, c = d[order], c[order]
-            first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1])]))
-            yield pd.DataFrame({
-                "doc_id": ids.take(d[first]).reset_index(drop=True), "kind": 1, "code": c[first].view(np.int64),
-                "times": np.diff(np.append(first, len(d))), "n_tokens": 0, "n_known": 0, "base": 0.0, "score": 0.0})
+def allowed(bucket: int, tokens: int) -> np.ndarray:
+    """Which orders 3, 2, 1, 0 have a context in a bucket."""
+    return np.array([bucket >= 64, bucket >= 0, tokens > 0, True], float)
+
+
+def settled(weights: np.ndarray, usable: np.ndarray) -> np.ndarray:
+    weights = np.maximum(weights, LEAST) * usable
+    return weights / weights.sum()
+
+
+def weights_of(held: DataFrame, tokens: int, words: int, rounds: int = EM_ROUNDS) -> dict[int, np.ndarray]:
+    """Weights of orders 3, 2, 1, 0 per bucket by expectation-maximisation over stored held-out counts;
+    a bucket's sums are all that leaves a round."""
+    n = F.col("n").cast("double")
+    part = [F.coalesce(F.try_divide(F.col(c), F.col(x)), F.lit(0.0)) for c, x in (("c3", "x3"), ("c2", "x2"))]
+    part += [F.col("c1") / float(max(tokens, 1)), F.lit(1.0 / (words + 1))]
+    found = stored(held.select("bucket", n.alias("n"), *[e.cast("double").alias(f"e{k}") for k, e in enumerate(part)]), "held-estimates")
+    weights = {r["bucket"]: settled(np.full(4, 0.25), allowed(r["bucket"], tokens)) for r in found.select("bucket").distinct().collect()}
+    for _ in range(rounds):
+        now = {k: F.create_map(*[F.lit(x) for b, w in weights.items() for x in (b, float(w[k]))])[F.col("bucket")] for k in range(4)} if weights else {}
+        if not now:
+            break
+        mixed = [now[k] * F.col(f"e{k}") for k in range(4)]
+        total = mixed[0] + mixed[1] + mixed[2] + mixed[3]
+        sums = found.groupBy("bucket").agg(*[F.sum(F.col("n") * m / total).alias(f"s{k}") for k, m in enumerate(mixed)])
+        for r in sums.collect():
+            s = np.array([r[f"s{k}"] for k in range(4)])
+            weights[r["bucket"]] = settled(s / s.sum(), allowed(r["bucket"], tokens))
+    return weights
+
+
+# ---- scores ------------------------------------------------------------------------------------------------
+SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _scored(buckets: int, weights: dict[int, np.ndarray], tokens: int, words: int):
+    def run(piece: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        c3, x3, c2, x2, c1, sizes = _counted(piece, answers, buckets, held=True)
+        estimate = np.stack([
+            c3 / np.maximum(x3, 1), c2 / np.maximum(x2, 1), c1 / max(tokens, 1), np.full(len(c1), 1 / (words + 1))])
+        seen, place = np.unique(bucket_of(x3, x2), return_inverse=True)
+        table = np.stack([weights.get(int(b), settled(np.full(4, 0.25), allowed(b, tokens))) for b in seen])
+        score = np.log10((table[place].T * estimate).sum(0))
+        base = np.log10((c1 + 1) / (tokens + words + 1))
+        text, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+        ids = pd.array([None if pd.isna(x) else int(x) for x in piece["ids"].iloc[0]], dtype="Int64")
+        return pd.DataFrame({
+            "doc_id": ids, "n_tokens": sizes, "n_known": np.bincount(text, c1 > 0, n).astype(np.int64),
+            "base_score": np.bincount(text, base, n), "score": np.bincount(text, score, n)})
 
     return run
 
 
-def score(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, held_out: int = 2, keys: int = KEYS) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    rows = rows_of(docs, folds, held_out)
-    counts = stored(token_counts(rows), "token-counts")
-    model = fit(rows, counts)
-    words = model.vocabulary
-    size = float(words.total + words.distinct + 1)
-    found = rows.select("doc_id", "text").mapInPandas(_scored(model), SCORED)
-    rare = counts.select("code", F.lit(1).alias("kind"), F.col("n").alias("c"))
-    found = found.join(rare, ["code", "kind"], "left")
-    c = F.coalesce("c", F.lit(0))
-    tail = F.col("kind") == 1
-    room = F.array(*[F.lit(float(x)) for x in model.shape_tokens + model.shape_distinct + 1])
-    within = F.log10((c + 1) / F.element_at(room, (F.col("code").bitwiseAND(F.lit(63)) + 1).cast("int")))
-    each = found.groupBy("doc_id").agg(
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.when(tail & (c > 0), F.col("times")).otherwise(F.col("n_known"))).alias("n_known"),
-        F.sum(F.when(tail, F.col("times") * F.log10((c + 1) / F.lit(size))).otherwise(F.col("base"))).alias("base_score"),
-        F.sum(F.when(tail, F.col("times") * within).otherwise(F.col("score"))).alias("score"))
-    return each.select(
-        "doc_id", F.coalesce(fold_of(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"),
-        "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"), "base_score", "score")
+    pieces = stored(pieces_of(rows_of(docs, folds, held_out)), "ngram-pieces")
+    size = pieces.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
+    buckets = size // (BYTES_PER_KEY * keys) + 1
+    answers = stored(answers_of(pieces, buckets), "ngram-answers")
+    totals = answers.where(F.col("piece").isNull() & (F.col("bucket") < buckets)).agg(*[
+        F.coalesce(F.sum(F.col(c)[k]), F.lit(0)) for c in ("kept", "held") for k in (0, 1)]).head()
+    asked = answers.where(F.col("piece").isNotNull())
+
+    def met(some: DataFrame, run, schema: str) -> DataFrame:
+        return some.select("piece", "ids", "texts").groupBy("piece").cogroup(asked.groupBy("piece")).applyInPandas(
+            lambda a, b: run(a, b) if len(a) else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")]), schema)
+
+    held = met(pieces.where("part = 1"), _held_counts(buckets), HELD)
+    held = held.groupBy("bucket", "c3", "x3", "c2", "x2", "c1").agg(F.sum("n").alias("n"))
+    weights = weights_of(held, totals[0], totals[1])
+    found = met(pieces, _scored(buckets, weights, totals[2], totals[3]), SCORED)
+    each = found.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    fold: Column = F.coalesce(fold_of(F.col("doc_id"), folds) == held_out, F.lit(False))
+    return each.select("doc_id", fold.alias("held_out"), "n_tokens", "n_known",
+                       F.lit(totals[2]).cast("long").alias("train_tokens"), "base_score", "score")
