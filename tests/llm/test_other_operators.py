@@ -77,12 +77,14 @@ def test_raking_meets_all_marginals(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     targets = {"source": {"src0": 0.2, "src1": 0.5, "other": 0.3}, "lang": {"en": 0.5, "de": 0.3, "other": 0.2},
                "topic": {"prose": 0.6, "table": 0.2, "shout": 0.2, "licence": 0.5}}
-    cells = mixing.raked(mixing.celled(df, targets), targets, rounds=60)
+    cells = mixing.raked(mixing.celled(df, targets), targets, share=0.2)
     for k, d in enumerate(mixing.DIMENSIONS):
         there = {c[k] for c in cells}
         total = sum(targets[d].get(v, 0) for v in there)
         for v in there:
             assert abs(sum(c[4] for c in cells if c[k] == v) - targets[d].get(v, 0) / total) < 1e-6
+    assert all(0 <= c[5] <= 1 for c in cells)
+    assert sum(c[3] * c[5] for c in cells) == pytest.approx(0.2 * sum(c[3] for c in cells), rel=1e-6)
     mix = mixing.mixed(df, targets).collect()
     assert len(mix) == len(rows)
     assert {r.sampled for r in mix if r.doc_id == 601} in ({True}, {False})
@@ -91,6 +93,27 @@ def test_raking_meets_all_marginals(spark):
     assert mixing.mixed(df.limit(0), targets).count() == mixing.sampled(df.limit(0), targets).count() == 0
 
 
+def test_bounded_cells_leave_their_tokens_to_others(spark):
+    """On the documents several targets ask for more than there is: those values give all they have, all
+    others meet their share of the rest, and the sample holds the wanted number of tokens."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    plan = mixing.raked(mixing.celled(docs))
+    tokens = sum(r[3] for r in plan)
+    assert sum(r[5] == 1.0 for r in plan) > 20 and all(0 <= r[5] <= 1 for r in plan)
+    assert sum(r[3] * r[5] for r in plan) == pytest.approx(mixing.SHARE * tokens, rel=1e-6)
+    found = mixing.marginals(plan)
+    for _, value, wanted, goal, expected in found:
+        assert expected == pytest.approx(goal, abs=1e-6 * tokens), value
+    short = {v for _, v, wanted, goal, _ in found if goal < wanted - 1}
+    assert short == {"licence", "shout"}
+
+
+def test_feasible_goals():
+    room, wanted = np.array([10.0, 100.0, 5.0, 50.0]), np.array([0.25, 0.25, 0.25, 0.25])
+    assert mixing.feasible(room, wanted, 80.0).tolist() == [10.0, 32.5, 5.0, 32.5]
+    assert mixing.feasible(room, wanted, 160.0).tolist() == [10.0, 95.0, 5.0, 50.0]
+
+
 # ---- language model ---------------------------------------------------------------------------
 def plain_base(docs):
     from binascii import crc32

@@ -4,6 +4,8 @@ from collections import Counter
 import brute
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidemark.llm import mixing, toxicity
 
@@ -38,17 +40,34 @@ def drawn(docs):
     for k, t, _, _ in docs:
         tokens[cell[k]] += len((t or "").encode().split())
     tokens = {c: n for c, n in tokens.items() if n}
-    total = sum(tokens.values())
-    share = {c: n / total for c, n in tokens.items()}
+    total = mixing.SHARE * sum(tokens.values())
+    goals = []
+    for i, d in enumerate(mixing.DIMENSIONS):
+        room = Counter()
+        for c, n in tokens.items():
+            room[c[i]] += n
+        full, goal = set(), {}
+        while True:
+            rest = sum(mixing.TARGETS[d][v] for v in room if v not in full)
+            goal = {v: room[v] if v in full else (total - sum(room[f] for f in full)) * mixing.TARGETS[d][v] / rest for v in room}
+            over = {v for v in room if v not in full and goal[v] > room[v]}
+            if not over:
+                break
+            full |= over
+        goals.append(goal)
+    asked = {c: n * mixing.SHARE for c, n in tokens.items()}
     for _ in range(mixing.ROUNDS):
-        for i, d in enumerate(mixing.DIMENSIONS):
-            there = Counter()
-            for c, w in share.items():
-                there[c[i]] += w
-            wanted = sum(mixing.TARGETS[d][v] for v in there)
-            share = {c: w * mixing.TARGETS[d][c[i]] / wanted / there[c[i]] for c, w in share.items()}
+        for i, goal in enumerate(goals):
+            held, free = Counter(), Counter()
+            for c, x in asked.items():
+                if x >= tokens[c]:
+                    held[c[i]] += tokens[c]
+                else:
+                    free[c[i]] += x
+            factor = {v: g / (held[v] + free[v]) if held[v] > g else (g - held[v]) / free[v] if free[v] else 1.0 for v, g in goal.items()}
+            asked = {c: x * factor[c[i]] for c, x in asked.items()}
     def prob(c):
-        return min(1.0, share[c] * total * mixing.SHARE / tokens[c]) if c in tokens else 0.0
+        return min(asked[c], tokens[c]) / tokens[c] if c in tokens else 0.0
     return {k for k, c in cell.items() if int(hashlib.md5(str(k).encode()).hexdigest()[:8], 16) / 2**32 < prob(c)}
 
 
@@ -79,8 +98,10 @@ ODD = [
 @pytest.mark.parametrize("rows", [ODD, []])
 def test_every_stage_takes_odd_rows(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, _gone int")
+    docs = docs.withColumn("mix_prob", F.lit(7))
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
+        assert {r.mix_prob for r in out.collect()} <= {7}
         assert set(docs.columns) <= set(out.columns), name
         got = out.collect()
         if name == "near_dedup":

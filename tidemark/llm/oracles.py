@@ -211,32 +211,52 @@ LEFT JOIN nodes up ON up.node = n.parent AND up.depth = n.depth - 1
 
 
 def _mixing() -> str:
-    """Raking unrolled: every step divides by a window sum over one dimension."""
+    """Bounded raking, one recursion step per dimension and round; feasible goals first."""
     def named(d: str) -> str:
         return ", ".join(f"'{v}'" for v in mixing.TARGETS[d] if v != mixing.OTHER)
 
     def wanted(d: str) -> str:
-        return "CASE " + d + " " + " ".join(f"WHEN '{v}' THEN {t!r}::DOUBLE" for v, t in mixing.TARGETS[d].items()) + " END"
-
-    steps, last = [], "start"
-    for k in range(mixing.ROUNDS):
-        for d in mixing.DIMENSIONS:
-            steps.append(
-                f"r{k}_{d} AS MATERIALIZED (SELECT source, lang, topic, tokens, w * ({wanted(d)}) / (SELECT sum({wanted(d)}) FROM "
-                f"(SELECT DISTINCT {d} FROM start)) / sum(w) OVER (PARTITION BY {d}) AS w FROM {last})")
-            last = f"r{k}_{d}"
+        return "CASE " + d + " " + " ".join(f"WHEN '{v}' THEN {t!r}::DOUBLE" for v, t in mixing.TARGETS[d].items()) + " ELSE 0 END"
+
+    goals = " UNION ALL ".join(
+        f"SELECT {k} AS dim, {d} AS value, {wanted(d)} AS want, sum(tokens)::DOUBLE AS room FROM counted GROUP BY {d}"
+        for k, d in enumerate(mixing.DIMENSIONS))
+    value = "CASE dim WHEN 0 THEN source WHEN 1 THEN lang ELSE topic END"
     return rf"""
-WITH cells AS (
+WITH RECURSIVE cells AS (
   SELECT doc_id, CASE WHEN source IN ({named("source")}) THEN source ELSE 'other' END AS source,
     CASE WHEN lang IN ({named("lang")}) THEN lang ELSE 'other' END AS lang,
     CASE WHEN coalesce(text, '') = '' THEN 'other' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!! ') THEN 'shout'
          WHEN contains(text, 'Licensed under') THEN 'licence' ELSE 'prose' END AS topic,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens
   FROM documents
-), counted AS (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM cells GROUP BY ALL HAVING sum(tokens) > 0),
-start AS (SELECT *, tokens / sum(tokens) OVER () AS w FROM counted),
-{", ".join(steps)},
-plan AS (SELECT source, lang, topic, w, least(1.0, w * (sum(tokens) OVER ()) * {mixing.SHARE} / tokens) AS p FROM {last})
+), counted AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM cells GROUP BY ALL HAVING sum(tokens) > 0),
+total AS MATERIALIZED (SELECT sum(tokens) * {mixing.SHARE} AS all_wanted FROM counted),
+rooms AS MATERIALIZED ({goals}),
+fits AS (
+  SELECT 0 AS step, dim, value, want, room, false AS filled, all_wanted * want / sum(want) OVER (PARTITION BY dim) AS goal FROM rooms, total
+  UNION ALL
+  SELECT step + 1, dim, value, want, room, now, CASE WHEN now THEN room ELSE
+    (all_wanted - sum(CASE WHEN now THEN room ELSE 0 END) OVER d) * want / sum(CASE WHEN now THEN 0 ELSE want END) OVER d END
+  FROM (SELECT *, filled OR goal > room AS now FROM fits), total WHERE step < 25 WINDOW d AS (PARTITION BY dim)
+), goals AS MATERIALIZED (SELECT dim, value, goal FROM fits WHERE step = 25),
+aims AS MATERIALIZED (
+  SELECT source, lang, topic, tokens::DOUBLE AS tokens, s.goal AS by_source, l.goal AS by_lang, t.goal AS by_topic FROM counted
+  JOIN goals s ON s.dim = 0 AND s.value = source JOIN goals l ON l.dim = 1 AND l.value = lang JOIN goals t ON t.dim = 2 AND t.value = topic
+), raked AS (
+  SELECT 0 AS step, 0 AS dim, source, lang, topic, tokens, tokens * {mixing.SHARE} AS asked FROM aims
+  UNION ALL
+  SELECT step + 1, (dim + 1) % 3, source, lang, topic, tokens, asked * CASE WHEN held > goal THEN goal / (held + free)
+    WHEN free > 0 THEN (goal - held) / free ELSE 1 END
+  FROM (
+    SELECT r.*, CASE dim WHEN 0 THEN by_source WHEN 1 THEN by_lang ELSE by_topic END AS goal,
+      sum(CASE WHEN asked >= r.tokens THEN r.tokens ELSE 0 END) OVER v AS held, sum(CASE WHEN asked >= r.tokens THEN 0 ELSE asked END) OVER v AS free
+    FROM raked r JOIN aims USING (source, lang, topic) WINDOW v AS (PARTITION BY {value})
+  ) WHERE step < {3 * mixing.ROUNDS}
+), plan AS (
+  SELECT source, lang, topic, least(asked, tokens) / sum(least(asked, tokens)) OVER () AS w, least(asked, tokens) / tokens AS p
+  FROM raked WHERE step = {3 * mixing.ROUNDS}
+)
 SELECT doc_id, source, lang, topic, tokens, round(coalesce(w, 0), 6) AS cell_weight, round(coalesce(p, 0), 6) AS prob,
        ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < coalesce(p, 0) AS sampled
 FROM cells LEFT JOIN plan USING (source, lang, topic)
