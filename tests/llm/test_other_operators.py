@@ -197,6 +197,13 @@ def test_scores_equal_deleted_interpolation(spark, monkeypatch, keys, piece):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_keys_survive_packing():
+    rng = np.random.default_rng(4)
+    for keys in ([0], [2**48 - 1], [1, 2, 3], rng.integers(0, 1 << 48, 5000), np.arange(70000)):
+        keys = np.unique(np.array(keys, np.uint64))
+        assert (ngram.unpacked(ngram.packed(keys)) == keys).all()
+
+
 def test_rare_word_pairs_are_told_apart(spark):
     """A pair that was seen scores better than two words as frequent that never met."""
     docs = {i: "new york is big" if i % 2 else "red fork is old" for i in range(200)}

@@ -18,7 +18,8 @@ travels once per piece, however often the piece has it, a frequent one is one nu
 and buckets hold about ``KEYS`` n-grams each at any size of the corpus. Nothing is kept in every task,
 and only the weights and two totals reach the driver.
 
-N-grams are told apart by 64-bit hashes. Defined results: a null or empty text is one end token. Rows
+N-grams are told apart by their bucket and 48 further hash bits, and travel as the gaps between them, five
+bytes each as a rule. Defined results: a null or empty text is one end token. Rows
 that share a doc_id are one document; their texts are scored together. Rows with a null doc_id teach
 nothing, are one row of the result and are not held out. Without training text every token is unknown
 and the base score uses N = V = 0. An empty table gives an empty result. A text is never cut: one longer
@@ -40,7 +41,7 @@ from tidemark.llm.common import fold_of, ship, stored
 
 ship(__name__)
 
-PIECE, KEYS = 4 << 20, 2_000_000
+PIECE, KEYS = 2 << 20, 500_000
 #: Bytes of text per distinct n-gram of a piece, about; sets the number of buckets.
 BYTES_PER_KEY = 3
 EM_ROUNDS = 12
@@ -127,15 +128,29 @@ def grams(texts: list[bytes], codes: Codes) -> tuple[list[np.ndarray], np.ndarra
     return [_mixed(one * _TIMES[0]), two, three], sizes
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Rising keys as gaps of as few bytes as the largest needs; the first byte says how many."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    width = data[0]
+    gaps = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    gaps[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
+
+
 def distinct(orders: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams in order of bucket and hash: (bucket, hash, times, place of every n-gram in that
     order, orders one after the other). Each order has ``buckets`` buckets."""
     keys, times, owner, places, at = [], [], [], [], 0
     for k, found in enumerate(orders):
         key, place, n = np.unique(found, return_inverse=True, return_counts=True)
-        keys.append(key)
+        keys.append(key >> np.uint64(16))
         times.append(n)
-        owner.append(k * buckets + ((_mixed(key) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64))
+        owner.append(k * buckets + ((_mixed(key * _TIMES[0]) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64))
         places.append(place + at)
         at += len(key)
     key, n, bucket = np.concatenate(keys), np.concatenate(times), np.concatenate(owner)
@@ -153,8 +168,8 @@ def _asked(buckets: int):
                 bucket, key, n, _ = distinct(grams(list(texts), codes)[0], buckets)
                 cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
                 yield pd.DataFrame({
-                    "bucket": bucket[cuts], "piece": piece, "part": part, "keys": np.split(key.view(np.int64), cuts[1:]),
-                    "times": np.split(n, cuts[1:])})
+                    "bucket": bucket[cuts], "piece": piece, "part": part, "keys": [packed(k) for k in np.split(key, cuts[1:])],
+                    "times": np.split(n.astype(np.int32), cuts[1:])})
 
     return run
 
@@ -166,8 +181,9 @@ ANSWERS = "bucket long, piece long, kept array<long>, held array<long>"
 def _answered(asked: pd.DataFrame) -> pd.DataFrame:
     """Counts of every n-gram of one bucket in the training part and in the fold held out; a row
     without a piece has their totals and distinct numbers."""
-    sizes = asked["keys"].map(len).to_numpy()
-    _, place = np.unique(np.concatenate(asked["keys"].tolist()), return_inverse=True)
+    keys = [unpacked(k) for k in asked["keys"]]
+    sizes = np.array([len(k) for k in keys])
+    _, place = np.unique(np.concatenate(keys), return_inverse=True)
     times, part = np.concatenate(asked["times"].tolist()), np.repeat(asked["part"].to_numpy(), sizes)
     counts = [np.bincount(place, times * (part == p)).astype(np.int64) for p in (0, 1)]
     cuts = np.cumsum(sizes)[:-1]
@@ -181,7 +197,7 @@ def _answered(asked: pd.DataFrame) -> pd.DataFrame:
 
 def answers_of(pieces: DataFrame, buckets: int) -> DataFrame:
     asked = pieces.select("piece", "part", "texts").mapInPandas(
-        _asked(buckets), "bucket long, piece long, part int, keys array<long>, times array<long>")
+        _asked(buckets), "bucket long, piece long, part int, keys binary, times array<int>")
     return asked.groupBy("bucket").applyInPandas(_answered, ANSWERS)
 
 
