@@ -213,7 +213,8 @@ def test_prediction_lock(spark):
         ("42500401", "scheduled", "old", 0.1, "o"), ("42500402", "scheduled", "old", 0.1, "o"),
         ("42500403", "scheduled", " ", None, "o")], schema)
     got = {r.game_id[-1]: (r.predicted_winner, r.win_prob, r.final_prediction_note)
-           for r in reconcile.lock_predictions(now, old).collect()}
+           for r in reconcile.lock_predictions(
+               now, old, columns=["predicted_winner", "win_prob", "absent"]).collect()}
     assert got == {"1": ("old", 0.1, "n"), "2": ("new", 0.9, "n"), "3": ("new", 0.9, "n"),
                    "4": ("new", 0.9, "n")}
 

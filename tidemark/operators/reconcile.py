@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,10 +69,13 @@ def check_corrections(
 
     Accepted rows have the result columns with the winner worked out from the scores; rejected
     rows carry a reason. A game already corrected is refused unless overwriting is allowed, and
-    so is a second row for the same game inside the batch (the first one counts, or the last
-    one if overwriting is allowed).
+    so is a second row for the same game inside the batch (the first one by sequence counts, or the
+    last one if overwriting is allowed; a hash of the row decides between equal numbers). A schedule
+    that repeats an id counts once, with the smallest names.
     """
-    teams = games.select("game_id", "home_team", "away_team")
+    teams = scale.top_per_key(
+        games.select("game_id", "home_team", "away_team"), ["game_id"],
+        [F.col("home_team").asc_nulls_last(), F.col("away_team").asc_nulls_last()], 1)
     known = existing.select("game_id").distinct().withColumn("_known", F.lit(True))
     rows = corrections.join(teams, "game_id", "left").join(known, "game_id", "left")
     home, away = F.col("home_score"), F.col("away_score")
@@ -165,17 +167,6 @@ def overlay(layers: Sequence[tuple[str, DataFrame]], keys: Sequence[str], value:
     return both.groupBy(*keys).agg(best.alias("_b")).select(*keys, f"_b.{value}", "_b.source")
 
 
-def lock_columns(columns: Sequence[str], snapshot_columns: Sequence[str]) -> list[str]:
-    """Columns of both tables that are named after predictions and not after results."""
-    about = {
-        name: tuple(set(re.findall("|".join(tokens), name.lower())) for tokens in
-                    (schemas.LOCK_TOKENS, schemas.RESULT_TOKENS))
-        for name in set(columns).intersection(snapshot_columns)
-        if name.lower().replace("_", "") != "gameid"
-    }
-    return [name for name in columns if name in about and about[name][0] and not about[name][1]]
-
-
 #: What a filled-in column of each role says about a game being over.
 _OVER = {
     "winner": lambda c: ~X.is_blank(c),
@@ -191,9 +182,15 @@ def completed(df: DataFrame) -> Column:
     return F.array_contains(F.array(*signs), True) if signs else F.lit(False)
 
 
-def lock_predictions(current: DataFrame, snapshot: DataFrame, sequence: str = "_seq") -> DataFrame:
-    """Completed games keep the prediction columns they had in the snapshot, unless blank there."""
-    locked = lock_columns(current.columns, snapshot.columns)
+def lock_predictions(
+    current: DataFrame, snapshot: DataFrame, sequence: str = "_seq",
+    columns: Sequence[str] = schemas.LOCKED_COLUMNS,
+) -> DataFrame:
+    """Completed games keep the prediction columns they had in the snapshot, unless blank there.
+
+    ``columns`` names the locked columns; those that either table lacks are passed over.
+    """
+    locked = [c for c in columns if c in current.columns and c in snapshot.columns]
     if not locked:
         return current
     # Ids are padded first: two spellings of an id are one game.

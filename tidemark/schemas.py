@@ -158,8 +158,12 @@ LIVE_PREDICTION_COLUMNS = [
     "home_win_probability", "away_win_probability", "predicted_winner", "predicted_label",
     "actual_home_team_won", "prediction_correct",
 ]
-LOCK_TOKENS = ["pred", "prob", "model", "confidence", "favorite", "pick"]
-RESULT_TOKENS = ["actual", "final", "score", "status", "result", "series"]
+LOCKED_COLUMNS = [
+    "pregame_prediction_available", "home_win_probability_pregame", "away_win_probability_pregame",
+    "predicted_winner_pregame", "prediction_confidence",
+    "home_win_probability", "away_win_probability", "predicted_winner", "predicted_label",
+    "prediction_correct",
+]
 OVER_COLUMNS = {
     "winner": ["actual_winner", "winner_actual", "actual_result"],
     "status": ["game_status", "status"],
