@@ -118,3 +118,45 @@ def test_report(table):
 def test_a_column_without_values_is_left_out(spark, table):
     df = table.withColumn("blank", F.lit(None).cast("double"))
     assert model.fit(df, model.Manifest(["x", "blank"])).manifest.numeric == ["x"]
+
+
+def test_moments_equal_a_direct_count(spark, table):
+    rows = model.training_rows(table)
+    n, found = model.moments(rows.withColumn("none", F.lit(None).cast("double")), ["x", "z", "none"], 0.0)
+    frame = rows.toPandas()
+    assert n == len(frame) and set(found) == {"x", "z"}
+    for c in found:
+        filled = frame[c].fillna(frame[c].median())
+        assert found[c].median == pytest.approx(frame[c].median())
+        assert found[c].mean == pytest.approx(filled.mean()) and found[c].deviation == pytest.approx(filled.std(ddof=1))
+
+
+def test_sketched_median_keeps_its_rank_error(spark):
+    df = spark.range(200_000, numPartitions=8).select(F.pow(F.rand(3), F.lit(4.0)).alias("v")).cache()
+    for error in (0.02, 1e-3):
+        median = model.moments(df, ["v"], error)[1]["v"].median
+        assert abs(df.filter(F.col("v") <= median).count() / 200_000 - 0.5) <= error
+
+
+def test_categories_of_different_sizes(spark, table):
+    df = table.withColumn("day", F.substring("game_date", 9, 2))
+    scorer = model.fit(df, model.Manifest(["x"], ["kind", "day"]))
+    assert set(scorer.manifest.modes) == {"kind", "day"}
+    assert model.score(df, scorer).filter("home_win_probability IS NULL").isEmpty()
+
+
+def test_the_fit_reads_its_rows_three_times_at_most(spark, table, tmp_path):
+    """Once for numbers, once for categories, once for the vectors that the optimiser keeps."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = model.training_rows(table).cache()
+    n = rows.count()
+    model.fit(rows.withColumn("x", counted("x")), model.Manifest(["x", "z"], ["kind"]))
+    assert n <= seen.value <= 2 * n  # the category pass needs no numbers
+    constant = model.fit(rows.withColumn("x", F.lit(2.0)), MANIFEST)
+    assert model.score(rows, constant).filter("home_win_probability IS NULL").isEmpty()

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,71 +108,119 @@ def typed_features(df: DataFrame, manifest: Manifest) -> DataFrame:
     return df.withColumns({**numbers, **words}) if numbers or words else df
 
 
-def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
-    """Mode per category column (smallest value on ties); one row per column reaches the driver."""
+def category_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Values of every category column, the most frequent first (smallest value on ties). The values
+    are what the model has a weight for, so all of them reach the driver."""
     if not columns:
         return {}
     long = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
     long = long.unpivot([], list(columns), "column_name", "value").filter("value IS NOT NULL")
     counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    best = scale.top_per_key(counts, ["column_name"], [F.col("n").desc(), F.col("value").asc()], 1)
-    return {r.column_name: r.value for r in best.collect()}
+    found = sorted(counts.collect(), key=lambda r: (r.column_name, -r.n, r.value))
+    return {c: [r.value for r in found if r.column_name == c] for c in columns}
+
+
+@dataclass
+class Moments:
+    """What one aggregate says about a number column once its gaps hold the median."""
+
+    median: float
+    mean: float
+    deviation: float
+
+
+def _median(value: Column, error: float) -> Column:
+    """Median from a mergeable quantile sketch whose rank error is below ``error``; 0: exact."""
+    if error <= 0:
+        return F.percentile(value, 0.5)
+    size = min(max(int((2.3 / error) ** (1 / 0.9)) + 1, 8), 65535)
+    sketch = F.kll_sketch_agg_double(value, F.lit(size))
+    return F.when(F.count(value) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(0.5)))
+
+
+def moments(df: DataFrame, columns: Sequence[str], error: float) -> tuple[int, dict[str, Moments]]:
+    """(rows, moments of the columns that have a value), all from one pass over the rows.
+
+    Sums are taken over the values there are; filling the gaps with the median moves mean and
+    deviation in a way that follows from the counts.
+    """
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for k, v in enumerate(value.values()):
+        aggs += [F.count(v).alias(f"c{k}"), F.avg(v).alias(f"a{k}"), F.var_pop(v).alias(f"v{k}"),
+                 _median(v, error).alias(f"m{k}")]
+    row = df.agg(*aggs).first()
+    n, out = row["n"], {}
+    for k, c in enumerate(columns):
+        there, mean, spread, median = (row[f"{x}{k}"] for x in "cavm")
+        if not there:
+            continue
+        gaps, off = n - there, median - mean
+        squares = spread * there + off * off * there * gaps / n
+        out[c] = Moments(median, mean + off * gaps / n, (squares / max(n - 1, 1)) ** 0.5)
+    return n, out
 
 
 # ---- training -------------------------------------------------------------------------------
-def build_pipeline(manifest: Manifest, rows: int, c: float = 1.0, median_error: float = 1e-3,
-                   max_iter: int = 1000) -> Pipeline:
-    """Median fill and scaling for numbers, one-hot for categories, ridge logistic regression.
+def scaled(found: dict[str, Moments]) -> SQLTransformer:
+    """Median fill and scaling of all number columns as one projection."""
+    terms = []
+    for c, m in found.items():
+        x = f"coalesce(if(isnan(`{c}`), NULL, `{c}`), {m.median!r}D)"
+        term = f"({x} - {m.mean!r}D) / {m.deviation!r}D" if m.deviation > 0 else "0D"
+        terms.append(f"{term} AS `{c}__scaled`")
+    return SQLTransformer(statement=f"SELECT *, {', '.join(terms)} FROM __THIS__")
+
+
+def features_of(found: dict[str, Moments], values: dict[str, list[str]], sample: DataFrame) -> list[Transformer]:
+    """The stages that make one feature vector; none of them looks at the rows.
 
     An unseen category encodes to all zeros: it takes the slot that dropLast removes.
     """
-    stages, inputs = [], []
-    if manifest.numeric:
-        filled = [f"{f}__filled" for f in manifest.numeric]
-        stages += [
-            Imputer(strategy="median", inputCols=manifest.numeric, outputCols=filled,
-                    relativeError=median_error),
-            VectorAssembler(inputCols=filled, outputCol="__numbers"),
-            StandardScaler(inputCol="__numbers", outputCol="__scaled", withMean=True, withStd=True),
-        ]
-        inputs.append("__scaled")
-    if manifest.categorical:
-        index = [f"{f}__index" for f in manifest.categorical]
-        hot = [f"{f}__hot" for f in manifest.categorical]
-        stages += [
-            StringIndexer(inputCols=manifest.categorical, outputCols=index, handleInvalid="keep"),
-            OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True),
+    stages: list[Transformer] = []
+    inputs = [f"{c}__scaled" for c in found]
+    if found:
+        stages.append(scaled(found))
+    if values:
+        index, hot = ([f"{c}__{end}" for c in values] for end in ("index", "hot"))
+        indexers = [
+            StringIndexerModel.from_labels(labels, c, i, handleInvalid="keep")
+            for (c, labels), i in zip(values.items(), index)
         ]
+        # Sizes come from the indexers' labels, so this fit runs no job.
+        encoder = OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True)
+        coded = PipelineModel(indexers).transform(sample.select(*values))
+        stages += [*indexers, encoder.fit(coded)]
         inputs += hot
-    stages += [
-        VectorAssembler(inputCols=inputs, outputCol="__features"),
-        LogisticRegression(
-            featuresCol="__features", labelCol=TARGET, probabilityCol="__probability",
-            rawPredictionCol="__raw", predictionCol="__prediction",
-            regParam=1.0 / (c * rows), elasticNetParam=0.0, standardization=False, maxIter=max_iter,
-        ),
-    ]
-    return Pipeline(stages=stages)
+    return [*stages, VectorAssembler(inputCols=inputs, outputCol="__features")]
+
 
+def fit(train: DataFrame, manifest: Manifest, c: float = 1.0, median_error: float = 1e-3,
+        max_iter: int = 1000) -> Scorer:
+    """Ridge logistic regression on labelled rows; columns with no value at all are left out.
 
-def fit(train: DataFrame, manifest: Manifest, **options) -> Scorer:
-    """Fit on labelled rows; columns with no value at all cannot be filled and are left out."""
+    The rows are read for one aggregate of all number columns and one of all categories; the optimiser
+    then works on a persisted vector column.
+    """
     rows = training_rows(train).select(*manifest.all, TARGET)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    n, found = moments(rows, manifest.numeric, median_error)
+    if n < 2:
+        raise ValueError("need at least two labelled rows to train")
+    values = {k: v for k, v in category_counts(rows, manifest.categorical).items() if v}
+    used = Manifest([c for c in manifest.numeric if c in found], list(values), {k: v[0] for k, v in values.items()})
+    typed = typed_features(rows, used)
+    stages = features_of(found, values, typed)
+    vectors = PipelineModel(stages).transform(typed).select("__features", F.col(TARGET).cast("double").alias(TARGET))
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        seen = rows.agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[F.count(F.col(c)).alias(c) for c in manifest.all],
-        ).first()
-        if seen["_n"] < 2:
-            raise ValueError("need at least two labelled rows to train")
-        numeric = [c for c in manifest.numeric if seen[c] > 0]
-        categorical = [c for c in manifest.categorical if seen[c] > 0]
-        used = Manifest(numeric, categorical, most_frequent(rows, categorical))
-        pipeline = build_pipeline(used, seen["_n"], **options)
-        return Scorer(used, pipeline.fit(typed_features(rows, used)))
+        regression = LogisticRegression(
+            featuresCol="__features", labelCol=TARGET, probabilityCol="__probability",
+            rawPredictionCol="__raw", predictionCol="__prediction",
+            regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter,
+        )
+        return Scorer(used, PipelineModel([*stages, regression.fit(vectors)]))
     finally:
-        rows.unpersist()
+        vectors.unpersist()
 
 
 def score(df: DataFrame, scorer: Scorer, forbidden: Sequence[str] = PREGAME_INPUT_FORBIDDEN,
