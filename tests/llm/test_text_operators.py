@@ -189,3 +189,17 @@ def test_toxicity_on_held_out_rows(spark):
     held = [r for r in rows if r.held_out]
     assert sum(r.predicted == r.toxic for r in held) / len(held) > 0.9
     assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_toxicity_query_of_odd_rows(spark, tmp_path):
+    rows = [(None, None), (None, "plain words"), (1, ""), (7, "same"), (7, "same"), (9, "long " * 50000)]
+    docs = spark.createDataFrame([(*r, 0.5, "x") for r in rows], "doc_id long, text string, score double, toxic string")
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    labels = spark.createDataFrame([(1, 0, 0), (7, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for part in "ab":
+        labels.write.parquet(f"{tmp_path}/{part}/labels.parquet")
+    got = queries.op2_toxicity(spark, f"{tmp_path}/a").collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.held_out is not None for r in got)
+    assert not any(r.held_out for r in got if r.doc_id is None)
+    assert queries.op2_toxicity(spark, f"{tmp_path}/b").count() == 0

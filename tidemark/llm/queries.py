@@ -44,7 +44,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = docs.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"),
+    held_out = F.coalesce(fold_of(F.col("doc_id"), 5) == 0, F.lit(False))
+    scored = docs.select("doc_id", held_out.alias("held_out"),
                          toxicity.score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -8,7 +8,9 @@ other term of the same group in its place, and the fit minimises
 
     log loss + RIDGE |w|^2 / 2 + SWAP * mean squared score change over counterfactuals.
 
-Scores use the words of the whole text only. Defined results: a null or empty text scores like a
+Scores use the words of the whole text only, however long it is. Rows are scored one by one, so repeated
+and null ids are rows like others (the query counts a null id as not held out), an empty table gives an
+empty result, and other columns are not read. Defined results: a null or empty text scores like a
 text without features. Labels other than 0 and 1, or null, and labelled ids without a document
 teach nothing. Without any usable label every score is 0.5 less a hair, so nothing is rejected; a
 class that never occurs in the sample is smoothed by half a row.
