@@ -50,10 +50,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     nameless = left.where("doc_id is null")
     if not nameless.limit(1).count():
         return left
-    code = F.xxhash64("text")
-    found = decontaminate.hits(nameless.select(code.alias("doc_id"), "text").distinct(), items)
-    held = nameless.withColumn("_code", code).join(
-        found.select(F.col("doc_id").alias("_code")).distinct(), "_code", "left_anti").select(*docs.columns)
+    texts = nameless.select(F.xxhash64("text").alias("doc_id"), "text").distinct()
+    found = decontaminate.hits(texts, items).select(F.col("doc_id").alias("_gone")).distinct()
+    held = nameless.join(found, F.xxhash64(nameless["text"]) == found["_gone"], "left_anti")
     return left.where("doc_id is not null").unionByName(held)
 
 
