@@ -98,7 +98,7 @@ ODD = [
 @pytest.mark.parametrize("rows", [ODD, []])
 def test_every_stage_takes_odd_rows(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, _gone int")
-    docs = docs.withColumn("mix_prob", F.lit(7))
+    docs = docs.withColumns({"mix_prob": F.lit(7), "_code": F.lit("c")})
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         assert {r.mix_prob for r in out.collect()} <= {7}
@@ -119,3 +119,19 @@ def test_stages_return_the_columns_of_documents(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == COLUMNS and out.dtypes == docs.dtypes, name
+
+
+def test_rows_without_an_id_are_decontaminated(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(None, item, "a"), (None, item, "b"), (None, "clean text of its own", "c"), (None, None, "d"), (5, item, "e"), (6, "clean", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _code string")
+    left = corpus_pipeline.drop_contaminated(spark, docs, SF)
+    assert left.columns == docs.columns and sorted(r._code for r in left.collect()) == ["c", "d", "f"]
+
+
+def test_the_same_row_of_an_id_stays_in_any_order(spark):
+    rows = [(1, f"text number {i} of one id", "en", i) for i in range(6)] + [(2, None, "en", 9), (2, "b", "en", 8)]
+    schema = "doc_id long, text string, lang string, n int"
+    kept = {tuple(sorted(map(str, corpus_pipeline.keep_one_of_each_group(
+        spark, spark.createDataFrame(some, schema), SF).collect()))) for some in (rows, rows[::-1])}
+    assert len(kept) == 1 and len(kept.pop()) == 2
