@@ -5,6 +5,7 @@ Every job reads Parquet tables under one root folder and writes its results next
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -18,6 +19,12 @@ from tidemark.operators import (
 from tidemark.sources import tables
 
 
+def _sides(df: DataFrame, non_null: Sequence[str], required: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Valid and invalid rows, staged by one run of the plan."""
+    staged = f"{scale.shared_folder(df.sparkSession)}/split-{uuid.uuid4().hex}"
+    return tables.write_split(df, staged, non_null, required)
+
+
 def build_features(spark: SparkSession, root: str, recent: int = pregame.RECENT_GAMES) -> None:
     """Events and schedule -> live features, results, pre-game features, issues, quarantine.
 
@@ -26,17 +33,17 @@ def build_features(spark: SparkSession, root: str, recent: int = pregame.RECENT_
     plays = tables.load_plays(tables.read_table(spark, f"{root}/plays"))
     games = tables.read_table(spark, f"{root}/games", required=schemas.GAME_COLUMNS, name="games")
     features, results, issues = live.build_live(plays, games)
-    good, bad = quality.split_valid(features, schemas.LIVE_NON_NULL, schemas.LIVE_COLUMNS)
+    good, bad = _sides(features, schemas.LIVE_NON_NULL, schemas.LIVE_COLUMNS)
     tables.overwrite(good, f"{root}/live_features", ["season"])
     tables.quarantine(bad, f"{root}/live_features_invalid")
-    good, bad = quality.split_valid(results, schemas.RESULT_NON_NULL, schemas.RESULT_COLUMNS)
+    good, bad = _sides(results, schemas.RESULT_NON_NULL, schemas.RESULT_COLUMNS)
     tables.overwrite(good, f"{root}/game_results")
     tables.quarantine(bad, f"{root}/game_results_invalid")
     tables.quarantine(issues, f"{root}/live_issues")
     stored = tables.read_table(spark, f"{root}/game_results")
     done = pregame.merge_results(pregame.final_games(games), stored)
     rows = pregame.pregame_features(done, recent)
-    good, bad = quality.split_valid(rows, schemas.PREGAME_NON_NULL, schemas.PREGAME_COLUMNS)
+    good, bad = _sides(rows, schemas.PREGAME_NON_NULL, schemas.PREGAME_COLUMNS)
     tables.overwrite(good, f"{root}/pregame_features", ["season"])
     tables.quarantine(bad, f"{root}/pregame_features_invalid")
     stored = tables.read_table(spark, f"{root}/pregame_features")
