@@ -49,6 +49,26 @@ def test_masking(spark):
     assert [r.t for r in sorted(out)] == ["x [EMAIL] y [PHONE].", "none", None, "[EMAIL] z"]
 
 
+def test_many_matches_in_one_text(spark):
+    text = "é " + " ".join(f"mail u{i}@x{i}.org or {i % 256}.2.3.4" for i in range(20_000))
+    df = frame(spark, [text])
+    spans = pii.find(df).first().spans
+    assert [(s.kind, s.start, s.end) for s in spans if s.kind in pii.BASE_KINDS] == brute.base_spans(text)
+    assert {s.score for s in spans if s.kind == "email"} == {0.9}
+    got = df.select(pii.masked(F.col("text"), pii.spans_of(F.col("text"))).alias("t")).first().t
+    assert got == "é " + " ".join(["mail [EMAIL] or [IP]"] * 20_000)
+
+
+def test_context_across_blocks_and_empty_tables(spark):
+    texts = ["x" * n + " contact a@b.cc" for n in range(pii.BLOCK - 20, pii.BLOCK + 3)]
+    texts += ["y" * n + " a@b.cc " + "z" * (pii.NEAR - 9) + " contact" for n in (0, pii.BLOCK - 10, pii.BLOCK - 8)]
+    assert {s.score for r in pii.find(frame(spark, texts)).collect() for s in r.spans} == {0.9}
+    far = frame(spark, ["contact" + " " * (pii.NEAR + 1) + "a@b.cc"])
+    assert pii.find(far).first().spans[0].score == 0.6
+    wide = frame(spark, []).selectExpr("doc_id", "text", "1 spans", "2 kind")
+    assert pii.find(wide).columns == ["doc_id", "spans"] and pii.find(wide).count() == 0
+
+
 def test_pii_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = queries.op1_pii(spark, SF).collect()
@@ -136,8 +156,34 @@ TEXTS = [
 ]
 
 
+@pytest.mark.parametrize("sent", [0, decontaminate.SENT_SHINGLES])
 @pytest.mark.parametrize("texts,items", [(TEXTS + ODD, ITEMS), ([], ITEMS), (TEXTS, {}), (TEXTS, {4: None})])
-def test_hits_equal_windows_tried_everywhere(spark, texts, items):
+def test_hits_equal_windows_tried_everywhere(spark, monkeypatch, texts, items, sent):
+    monkeypatch.setattr(decontaminate, "SENT_SHINGLES", sent)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = decontaminate.decontaminated(frame(spark, texts), bench).collect()
+    got = {r.doc_id: (r.n_words, r.n_hit, len(r.item_ids), brute.sha(",".join(r.item_ids))) for r in rows}
+    assert got == brute.leaks(dict(enumerate(texts)), items)
+
+
+@pytest.mark.parametrize("sent", [0, decontaminate.SENT_SHINGLES])
+def test_repeated_rows_and_shared_ids_are_one_document(spark, monkeypatch, sent):
+    monkeypatch.setattr(decontaminate, "SENT_SHINGLES", sent)
+    bench = spark.createDataFrame(list(ITEMS.items()), "item_id long, text string")
+    docs = spark.createDataFrame([(1, TEXTS[0]), (1, TEXTS[0]), (1, "so solo solo"), (None, TEXTS[4]), (2, "-")],
+                                 "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontaminate.decontaminated(docs, bench).collect()}
+    alone = decontaminate.decontaminated(frame(spark, TEXTS[:1]), bench).first()
+    # Positions 1 and 2 of the second text are added to those of the first unless already hit there.
+    places = {*range(1, 1 + alone.n_hit), 1, 2}
+    assert got == {1: (alone.n_words, len(places), [*alone.item_ids, "7"]), None: (10, 0, []), 2: (0, 0, [])}
+
+
+def test_hits_of_long_texts_beyond_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SENT_SHINGLES", 0)
+    rng = random.Random(8)
+    texts = [" ".join(words(rng, 4000)) for _ in range(8)]
+    items = {i: " ".join(t.split()[1000 * i:1000 * i + 14]) for i, t in enumerate(texts[:4])}
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     rows = decontaminate.decontaminated(frame(spark, texts), bench).collect()
     got = {r.doc_id: (r.n_words, r.n_hit, len(r.item_ids), brute.sha(",".join(r.item_ids))) for r in rows}

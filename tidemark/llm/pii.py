@@ -6,7 +6,8 @@ overlap per kind; a match that fails its check is dropped and not tried again fr
 
 Defined results: a null text is read as empty and has no spans. Positions count code points, the
 end is exclusive. Spans of different kinds may overlap. Rows are treated one by one, so repeated
-rows give equal results.
+rows give equal results. An empty table gives an empty result with the same columns; columns other
+than id and text are not looked at. Work grows in proportion to text length and matches.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEAR = 40
+#: Sizes of the pieces in which long lists of matches and long texts are worked on.
+CHUNK, BLOCK = 128, 1024
 
 
 def digits_of(text: Column) -> Column:
@@ -103,6 +106,50 @@ BASE_KINDS = [k.name for k in KINDS if k.base]
 SPAN = "struct<kind:string,start:bigint,end:bigint,text:string,score:double>"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, not once per element of an array inside."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(items: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """One output of SQL type ``kind`` per item, with a position carried along.
+
+    ``step(at, item)`` gives the next position and the output. Outputs are gathered in chunks, as
+    adding them one by one to a single array would copy it every time.
+    """
+    def in_chunk(acc: Column, chunk: Column) -> Column:
+        def one(a: Column, x: Column) -> Column:
+            at, value = step(a["at"], x)
+            return F.struct(at.alias("at"), F.concat(a["out"], F.array(value)).alias("out"))
+
+        none = F.array().cast(f"array<{kind}>")
+        return F.aggregate(
+            chunk, F.struct(acc["at"].alias("at"), none.alias("out")), one,
+            lambda a: F.struct(a["at"].alias("at"), F.concat(acc["out"], F.array(a["out"])).alias("out")))
+
+    def whole(rows: Column) -> Column:
+        last = F.greatest(F.size(rows) - 1, F.lit(0))
+        chunks = F.transform(F.sequence(F.lit(0), last, F.lit(CHUNK)), lambda i: F.slice(rows, i + 1, CHUNK))
+        none = F.array().cast(f"array<array<{kind}>>")
+        zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+        return F.flatten(F.aggregate(chunks, zero, in_chunk)["out"])
+
+    return _bound(items, whole)
+
+
+def _blocks(text: Column) -> Column:
+    """The text in pieces of ``BLOCK`` code points, so that a place far inside is found at once."""
+    cut = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+    return F.when(F.char_length(text) <= BLOCK, F.array(text)).otherwise(cut)
+
+
+def _part(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` (from 0) to ``end``, reading only the blocks it lies in."""
+    first = F.floor(start / BLOCK).cast("int")
+    held = F.array_join(F.slice(blocks, first + 1, F.floor(end / BLOCK).cast("int") - first + 1), "")
+    return F.substring(held, (start - first * BLOCK + 1).cast("int"), (end - start).cast("int"))
+
+
 def _matches(text: Column, kind: Kind) -> Column:
     """array<struct<start,end,text>> of every match, checked or not.
 
@@ -111,36 +158,31 @@ def _matches(text: Column, kind: Kind) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     gaps = F.transform(F.split(text, kind.pattern, -1), lambda g: F.char_length(g).cast("long"))
-    both = F.zip_with(F.slice(gaps, 1, F.size(found)), found,
-                      lambda g, m: F.struct(g.alias("gap"), m.alias("text")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(
-        "array<struct<start:bigint,end:bigint,text:string>>").alias("out"))
+    both = _bound(found, lambda f: F.zip_with(F.slice(gaps, 1, F.size(f)), f,
+                                              lambda g, m: F.struct(g.alias("gap"), m.alias("text"))))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["gap"]
         end = start + F.char_length(x["text"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(
-            start.alias("start"), end.alias("end"), x["text"].alias("text")))).alias("out"))
+        return end, F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text"))
 
-    return F.aggregate(both, zero, step)["out"]
+    return _running(both, step, "struct<start:bigint,end:bigint,text:string>")
 
 
 def kind_spans(text: Column, kind: Kind, near: int = NEAR) -> Column:
     """Confirmed spans of one kind, in order."""
     words = "(?i)(?<![a-z])(?:" + "|".join(kind.context) + ")(?![a-z])"
 
-    def scored(m: Column) -> Column:
+    def scored(m: Column, blocks: Column) -> Column:
         ahead = F.greatest(m["start"] - near, F.lit(0))
-        around = F.concat_ws(
-            "\n", F.substring(text, (ahead + 1).cast("int"), (m["start"] - ahead).cast("int")),
-            F.substring(text, (m["end"] + 1).cast("int"), F.lit(near)))
+        around = F.concat_ws("\n", _part(blocks, ahead, m["start"]), _part(blocks, m["end"], m["end"] + near))
         bonus = F.when(around.rlike(words), kind.bonus).otherwise(0.0)
         return F.struct(F.lit(kind.name).alias("kind"), m["start"].alias("start"),
                         m["end"].alias("end"), m["text"].alias("text"),
                         F.round(F.lit(kind.score) + bonus, 3).alias("score"))
 
     confirmed = F.filter(_matches(text, kind), lambda m: kind.check(m["text"]))
-    spans = F.transform(confirmed, scored)
+    spans = _bound(_blocks(text), lambda b: F.transform(confirmed, lambda m: scored(m, b)))
     if not kind.base:  # a base kind stays whatever its score is
         spans = F.filter(spans, lambda s: s["score"] >= kind.needs)
     none = F.array().cast(f"array<{SPAN}>")
@@ -172,17 +214,16 @@ def masked(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in brackets; overlapping spans become one,
     named after the one that begins first."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["back"]
-        inside = s["start"] < acc["at"]
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(
-            F.greatest(acc["at"], end).alias("at"),
-            F.when(inside, acc["out"]).otherwise(
-                F.concat(acc["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out"))
-
-    done = F.aggregate(ordered, zero, step, lambda acc: F.concat(
-        acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
+
+    def pieces(blocks: Column) -> Column:
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            end = -s["back"]
+            named = F.concat(_part(blocks, at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            piece = F.when(s["start"] < at, F.lit("")).otherwise(named)
+            return F.greatest(at, end), piece
+
+        return _running(ordered, step, "string")
+
+    rest = _part(_blocks(text), F.array_max(F.transform(spans, lambda s: s["end"])), F.char_length(text).cast("long"))
+    done = F.concat(F.array_join(_bound(_blocks(text), pieces), ""), rest)
     return F.when(F.size(spans) > 0, done).otherwise(text)
