@@ -18,17 +18,20 @@ positions are counted once. Rows with a null doc_id are one row of the result, n
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii, stored
+from tidemark.llm.common import look_up, lower_ascii, stored
 
 WINDOW = 10
 SHINGLE = 5
 #: Runs of digits, letters and characters beyond ASCII.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Item shingles go to every task if they are at most this many (24 bytes each, 5 MB); they are
-#: counted first. Beyond it Spark shuffles both sides.
+#: counted first. Beyond it both sides are shuffled, the documents as one short row per word
+#: position, and the words near a hit are taken from the texts that have one afterwards.
 SENT_SHINGLES = 200_000
 
 
@@ -61,28 +64,33 @@ def document_hits(docs: DataFrame, shingles: DataFrame, sizes: list[int], reach:
     ``around`` holds up to ``reach`` words on both sides of position ``at``, of which ``before``
     come ahead of it, so later steps need neither the text nor the word list again.
     """
-    split = docs.select("doc_id", words_of(F.col("text")).alias("w"))
+    split = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
     keys = shingles.select("key").distinct()
-    n = keys.count()
-    keys = F.broadcast(keys) if n <= SENT_SHINGLES else keys
-    found = None
-    for size in sizes:
-        last = F.size("w") - size
-        # The outer form keeps Spark from adding a filter that would split the text once more;
-        # texts with fewer words give a null key, which joins nothing.
-        at = F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last)))
-        part = split.select("doc_id", "w", at.alias("at"))
-        words = [F.get("w", F.col("at") + i) for i in range(size)]
-        key = F.when(F.col("at").isNotNull(), F.xxhash64(F.concat_ws(" ", *words)))
-        part = part.withColumn("key", key)
-        part = part.join(keys, "key")
-        found = part if found is None else found.unionByName(part)
+    if keys.count() <= SENT_SHINGLES:
+        found = reduce(DataFrame.unionByName, [
+            _positions(split, size).join(F.broadcast(keys), "key") for size in sizes])
+    else:
+        places = reduce(DataFrame.unionByName, [_positions(split, size).drop("w") for size in sizes])
+        held = look_up(places, keys, "key").groupBy("doc_id", "text_key").agg(
+            F.collect_set(F.struct("at", "key")).alias("hits"))
+        found = split.join(held, ["doc_id", "text_key"]).select("doc_id", "w", F.inline("hits"))
     before = F.least(F.col("at"), F.lit(reach))
     return found.select(
         "doc_id", F.size("w").alias("n_words"), "at", "key", before.alias("before"),
         F.slice("w", F.col("at") + 1 - before, before + reach).alias("around"))
 
 
+def _positions(split: DataFrame, size: int) -> DataFrame:
+    """``split`` with a row per position ``at`` and the ``key`` of the ``size`` words from there."""
+    last = F.size("w") - size
+    # The outer form keeps Spark from adding a filter that would split the text once more;
+    # texts with fewer words give a null key, which joins nothing.
+    at = F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last)))
+    words = [F.get("w", F.col("at") + i) for i in range(size)]
+    key = F.when(F.col("at").isNotNull(), F.xxhash64(F.concat_ws(" ", *words)))
+    return split.select("*", at.alias("at")).withColumn("key", key)
+
+
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, start, length, window_id, item_ids) for every occurrence of an item window."""
     windows = stored(windows_of(items, window), "windows")
