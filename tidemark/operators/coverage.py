@@ -83,11 +83,15 @@ def _ratio_status(available: Column, expected: Column) -> Column:
 def coverage_report(
     spark: SparkSession, seasons: Sequence[str], datasets: Mapping[str, DataFrame | None]
 ) -> DataFrame:
-    """One row per section and requested season; ``games`` sets what is expected of the others."""
+    """One row per section and requested season; ``games`` sets what is expected of the others.
+
+    Counts of all tables, a row per table and season, are stored by one job while the report is built.
+    """
     wanted = _requested(spark, seasons)
-    none = spark.createDataFrame([], "season string, row_count long, game_count long")
-    # One row per season each, stored: every table is scanned once.
-    counts = {n: (none if df is None else scale.stored(season_counts(df))) for n, df in datasets.items()}
+    none = spark.createDataFrame([], "season string, row_count long, game_count long, section string")
+    found = [season_counts(df).withColumn("section", F.lit(n)) for n, df in datasets.items() if df is not None]
+    held = scale.stored(reduce(DataFrame.unionByName, [none, *found]))
+    counts = {n: held.filter(F.col("section") == n).drop("section") for n in datasets}
     expected = counts["games"].select("season", F.col("game_count").alias("expected_games"))
     zero = {"row_count": 0, "game_count": 0, "expected_games": 0}
     parts = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
@@ -58,9 +58,6 @@ def classifier_metrics(
     with_auc: bool = True,
 ) -> DataFrame:
     """Accuracy, AUC, log loss, Brier score and confusion counts per group."""
-    if not by:
-        whole = df.withColumn("_all", F.lit(1))
-        return classifier_metrics(whole, ["_all"], y, p, yhat, with_auc).drop("_all")
     by, t, h, s = list(by), F.col(y), F.col(yhat), F.col(p)
     count = lambda a, b: F.count_if((t == a) & (h == b))
     out = df.groupBy(*by).agg(
@@ -71,7 +68,15 @@ def classifier_metrics(
         count(1, 1).alias("true_positive"), count(0, 0).alias("true_negative"),
         count(0, 1).alias("false_positive"), count(1, 0).alias("false_negative"),
     )
-    return out.join(roc_auc(df, by, y, p), by) if with_auc else out
+    if by:
+        return out.join(roc_auc(df, by, y, p), by) if with_auc else out
+    return (one_row(out, roc_auc(df, [], y, p)) if with_auc else out).filter("row_count > 0")
+
+
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Side by side what several one-row tables of numbers say; their columns must differ."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def phase_metrics(
@@ -320,6 +325,28 @@ def compare_versions(
     return both.withColumn("interpretation", text)
 
 
+PHASES_NOT_THERE = {  # fixed values: which of the two reports are there -> sentence
+    (False, False): "Phase comparison unavailable — no phase reports found.",
+    (False, True): "Phase comparison incomplete — single-season phase report missing.",
+    (True, False): "Phase comparison incomplete — multi-season phase report missing.",
+    (True, True): "Phase reports exist but share no comparable metrics.",
+}
+
+
+def phase_comparison(spark: SparkSession, old: DataFrame | None, new: DataFrame | None) -> DataFrame:
+    """Phase reports of two versions compared; one row that says why where that is not possible."""
+    names = ["phase", "metric", "single_season_value", "multiseason_value", "difference", "interpretation"]
+    reason = PHASES_NOT_THERE[old is not None, new is not None]
+    kinds = "phase string, metric string, single_season_value double, multiseason_value double, difference double"
+    why = spark.createDataFrame([("all", "n/a", None, None, None, reason)], f"{kinds}, interpretation string")
+    if old is None or new is None:
+        return why
+    both = old.withColumn("model_version", F.lit("old")).unionByName(
+        new.withColumn("model_version", F.lit("new")), allowMissingColumns=True)
+    rows = compare_versions(both, "old", "new", ["phase"], PHASE_METRICS).select(*names)
+    return why if rows.isEmpty() else rows
+
+
 def calibration_comparison(df: DataFrame, by: Sequence[str] = ("model_version",)) -> DataFrame:
     """Calibration tables of all versions stacked, with the absolute error per bucket."""
     table = calibration(df, by)

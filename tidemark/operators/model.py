@@ -281,7 +281,7 @@ def train_and_report(
         F.count(F.lit(1)).alias("n_total_rows"), F.count(TARGET).alias("n_used_rows"),
         F.count_if(F.col(TARGET).isNull()).alias("n_dropped_missing_target"),
         F.countDistinct(F.when(F.col(TARGET).isNotNull(), F.col("game_id"))).alias("n_unique_games"),
-    ).withColumn("_k", F.lit(1))
+    )
     train, test = training_rows(train), training_rows(test)
     if live:
         games = train.select("game_id").unionByName(test.select("game_id")).distinct()
@@ -295,10 +295,9 @@ def train_and_report(
     )
     sizes = train.agg(
         F.count(F.lit(1)).alias("n_train"), F.countDistinct("game_id").alias("train_games")
-    ).withColumn("_k", F.lit(1))
-    quality_row = metrics.classifier_metrics(judged).withColumn("_k", F.lit(1))
-    tested = test.agg(F.countDistinct("game_id").alias("test_games")).withColumn("_k", F.lit(1))
-    row = sizes.join(quality_row, "_k").join(tested, "_k").join(totals, "_k").drop("_k").select(
+    )
+    tested = test.agg(F.countDistinct("game_id").alias("test_games"))
+    row = metrics.one_row(sizes, metrics.classifier_metrics(judged), tested, totals).select(
         F.lit("logistic_regression").alias("model_type"),
         "n_total_rows", "n_used_rows", "n_dropped_missing_target", "n_unique_games", "n_train",
         F.col("row_count").alias("n_test"), "train_games", "test_games",

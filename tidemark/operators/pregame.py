@@ -40,8 +40,14 @@ def score_columns(df: DataFrame) -> tuple[str, str] | None:
     return next((p for p in schemas.SCORE_COLUMN_PAIRS if present.issuperset(p)), None)
 
 
-def merge_results(games: DataFrame, results: DataFrame, sequence: str = "_seq") -> DataFrame:
-    """Left join final scores; the last result row per game counts and old scores are dropped."""
+def merge_results(games: DataFrame, results: DataFrame | None, sequence: str = "_seq") -> DataFrame:
+    """Left join final scores; the last result row per game counts and old scores are dropped.
+
+    Without results, or where they hold no pair of scores, the games stay as they are: features then
+    rest on dates alone and have no label.
+    """
+    if results is None:
+        return games
     wanted = [c for c in ("game_id", "home_score", "away_score", "home_team_won")
               if c in results.columns]
     if len(wanted) < 3 or "game_id" not in wanted:

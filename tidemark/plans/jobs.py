@@ -28,11 +28,18 @@ def _sides(df: DataFrame, non_null: Sequence[str], required: Sequence[str]) -> t
 def build_features(spark: SparkSession, root: str, recent: int = pregame.RECENT_GAMES) -> None:
     """Events and schedule -> live features, results, pre-game features, issues, quarantine.
 
-    Results come first, so a cold start already has labels for the pre-game table.
+    Results come first, so a cold start already has labels for the pre-game table. Without an event
+    table only the pre-game features are built.
     """
-    plays = tables.load_plays(tables.read_table(spark, f"{root}/plays"))
+    plays = tables.read_if_there(spark, f"{root}/plays")
+    if plays is not None:
+        build_live(spark, root, plays)
+    build_pregame(spark, root, recent)
+
+
+def build_live(spark: SparkSession, root: str, plays: DataFrame) -> None:
     games = tables.read_table(spark, f"{root}/games", required=schemas.GAME_COLUMNS, name="games")
-    features, results, issues = live.build_live(plays, games)
+    features, results, issues = live.build_live(tables.load_plays(plays), games)
     good, bad = _sides(features, schemas.LIVE_NON_NULL, schemas.LIVE_COLUMNS)
     tables.overwrite(good, f"{root}/live_features", ["season"])
     tables.quarantine(bad, f"{root}/live_features_invalid")
@@ -40,18 +47,30 @@ def build_features(spark: SparkSession, root: str, recent: int = pregame.RECENT_
     tables.overwrite(good, f"{root}/game_results")
     tables.quarantine(bad, f"{root}/game_results_invalid")
     tables.quarantine(issues, f"{root}/live_issues")
-    stored = tables.read_table(spark, f"{root}/game_results")
-    done = pregame.merge_results(pregame.final_games(games), stored)
-    rows = pregame.pregame_features(done, recent)
+
+
+def build_pregame(spark: SparkSession, root: str, recent: int = pregame.RECENT_GAMES) -> None:
+    """Schedule and results, if there are any, -> pre-game features, one file range per date.
+
+    Without results no game has a score: features rest on dates alone, labels stay open, and every
+    game is listed in the issues.
+    """
+    games = tables.read_table(spark, f"{root}/games", required=schemas.GAME_COLUMNS, name="games")
+    results = tables.read_optional(spark, f"{root}/game_results")
+    rows = pregame.pregame_features(pregame.merge_results(pregame.final_games(games), results), recent)
     good, bad = _sides(rows, schemas.PREGAME_NON_NULL, schemas.PREGAME_COLUMNS)
-    tables.overwrite(good, f"{root}/pregame_features", ["season"])
+    tables.write_sorted(good, f"{root}/pregame_features", ["game_date", "game_id"], ["season"])
     tables.quarantine(bad, f"{root}/pregame_features_invalid")
-    stored = tables.read_table(spark, f"{root}/pregame_features")
+    stored = _features(spark, root, "pregame_features")
     tables.quarantine(pregame.pregame_issues(stored), f"{root}/pregame_issues")
 
 
+TYPES = {"pregame_features": schemas.PREGAME_FEATURES, "live_features": schemas.LIVE_FEATURES}
+
+
 def _features(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return tables.read_table(spark, f"{root}/{name}").withColumn("season", F.col("season").cast("string"))
+    """A feature or prediction table with declared types; a season read from folder names is text."""
+    return tables.read_typed(spark, f"{root}/{name}", TYPES.get(name, "season string"), name)
 
 
 def check_readiness(
@@ -110,7 +129,7 @@ def evaluate(spark: SparkSession, root: str, version: str) -> None:
     """Summary, buckets, team accuracy and momentum reports from the stored predictions."""
     picks, events = (_features(spark, root, f"{k}_predictions") for k in ("pregame", "live"))
     report = lambda name: tables.read_optional(spark, f"{root}/reports/{name}/{version}")
-    manual = tables.read_optional(spark, f"{root}/manual_results")
+    manual = tables.manual_results_at(spark, f"{root}/manual_results")
     results = tables.read_optional(spark, f"{root}/game_results")
     counted = {"pregame_predictions_count": picks, "live_event_predictions_count": events}
     counts = reduce(DataFrame.unionByName, [
@@ -172,7 +191,9 @@ def series_reports(spark: SparkSession, root: str, playoff_root: str, version: s
     if before is not None:
         upcoming = reconcile.lock_predictions(upcoming, before)
     upcoming = scale.cut_lineage(upcoming)
-    manual = tables.read_or_empty(spark, f"{playoff_root}/manual_results", schemas.MANUAL_RESULTS)
+    manual = tables.manual_results_at(spark, f"{playoff_root}/manual_results")
+    if manual is None:
+        manual = spark.createDataFrame([], schemas.MANUAL_RESULTS)
     path = series.series_path(upcoming, series.actual_results(results, upcoming, manual))
     outputs = {
         "series_games": report, "series_upcoming": upcoming, "series_path": path,
@@ -183,3 +204,62 @@ def series_reports(spark: SparkSession, root: str, playoff_root: str, version: s
         tables.overwrite(table, f"{playoff_root}/reports/{name}")
     export = series.series_live_export(scored, games)
     tables.guarded_overwrite(export, f"{playoff_root}/reports/series_live", "series live export")
+
+
+def coverage_reports(spark: SparkSession, root: str, seasons: Sequence[str], train: Sequence[str] = (),
+                     test: str | None = None) -> None:
+    """Coverage of all five tables per season, with a readiness row if a split is named."""
+    names = {"games": "games", "play_by_play": "plays", "live_features": "live_features",
+             "game_results": "game_results", "pregame_features": "pregame_features"}
+    found = {k: tables.read_if_there(spark, f"{root}/{v}") for k, v in names.items()}
+    games = found["games"]
+    if games is not None and found["play_by_play"] is not None and "season" not in found["play_by_play"].columns:
+        seasons_of = games.select("game_id", "season").dropDuplicates(["game_id"])
+        found["play_by_play"] = scale.lookup_join(found["play_by_play"], seasons_of, ["game_id"])
+    typed = {k: None if df is None else df.withColumn("season", F.col("season").cast("string"))
+             for k, df in found.items()}
+    report = coverage.coverage_report(spark, seasons, typed)
+    if train and test:
+        report = report.unionByName(coverage.readiness_row(report, train, test))
+    tables.overwrite(report.select(*coverage.COVERAGE_COLUMNS), f"{root}/reports/coverage")
+    stored = tables.read_table(spark, f"{root}/reports/coverage")
+    tables.overwrite(coverage.missing_seasons(stored), f"{root}/reports/coverage_missing")
+
+
+ASSETS = ["games", "plays", "game_results", "live_features", "pregame_features", "live_predictions",
+          "pregame_predictions"]
+DEPENDS = {"live_features": ["plays"], "game_results": ["plays"], "pregame_features": ["game_results"],
+           "live_predictions": ["live_features"], "pregame_predictions": ["pregame_features"]}
+
+
+def dataset_health(spark: SparkSession, root: str, changed: str = "generated_at") -> None:
+    """Profile of the stored tables, counts per status and the most severe problems.
+
+    A table tells when it changed by its column ``changed``, if it has one.
+    """
+    found = {n: tables.read_if_there(spark, f"{root}/{n}") for n in ASSETS}
+    has = lambda n, c: c if found[n] is not None and c in found[n].columns else None
+    profile = coverage.dataset_profile(
+        spark, found, {n: has(n, "game_id") for n in ASSETS}, {n: has(n, changed) for n in ASSETS},
+        required=["games", "plays", "live_features", "pregame_features"], depends_on=DEPENDS)
+    tables.overwrite(profile, f"{root}/reports/dataset_profile")
+    stored = tables.read_table(spark, f"{root}/reports/dataset_profile")
+    tables.overwrite(coverage.status_counts(stored), f"{root}/reports/dataset_status_counts")
+    tables.overwrite(coverage.top_issues(stored, ["asset"]), f"{root}/reports/dataset_issues")
+    tables.overwrite(coverage.freshness_check(stored), f"{root}/reports/dataset_freshness")
+
+
+def compare_versions(spark: SparkSession, root: str, old: str, new: str) -> None:
+    """Metrics, phases and calibration of two trained versions side by side, from their reports."""
+    report = lambda name, v: tables.read_optional(spark, f"{root}/reports/{name}/{v}")
+    for kind in ("pregame", "live"):
+        held = [r for r in (report(f"{kind}_metrics", v) for v in (old, new)) if r is not None]
+        if held:
+            both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), held)
+            tables.overwrite(metrics.compare_versions(both, old, new), f"{root}/reports/{kind}_comparison")
+        tables_of = [r for r in (report(f"{kind}_calibration", v) for v in (old, new)) if r is not None]
+        if tables_of:
+            stacked = reduce(DataFrame.unionByName, tables_of)
+            tables.overwrite(stacked, f"{root}/reports/{kind}_calibration_comparison")
+    phases = metrics.phase_comparison(spark, report("live_phases", old), report("live_phases", new))
+    tables.overwrite(phases, f"{root}/reports/phase_comparison")

@@ -206,3 +206,22 @@ MANUAL_RESULTS = (
     "game_id string, home_score int, away_score int, winner string, source string, "
     "confirmed_at timestamp, notes string"
 )
+
+
+def _typed(columns: list[str], kinds: dict[str, list[str]]) -> str:
+    """DDL of a fixed column list; columns that ``kinds`` does not name are text."""
+    kind = {c: k for k, cs in kinds.items() for c in cs}
+    return ", ".join(f"{c} {kind.get(c, 'string')}" for c in columns)
+
+
+_COUNTS = [c for c in PREGAME_NUMERIC if c.endswith(("games_played_before", "wins_before", "losses_before"))]
+PREGAME_FEATURES = _typed(PREGAME_COLUMNS, {
+    "double": [c for c in PREGAME_NUMERIC if c not in _COUNTS], "bigint": _COUNTS, "int": ["home_team_won"],
+})
+_FLAGS = [c for c in LIVE_COLUMNS if c.startswith("is_")]
+# Event kinds are numbers in some feeds and words in others; they keep the type they are stored with.
+LIVE_FEATURES = _typed([c for c in LIVE_COLUMNS if c not in LIVE_EITHER_TYPE], {
+    "double": ["event_num", "seconds_remaining_period", "seconds_remaining_game", "home_score", "away_score",
+               "score_margin_home", "abs_score_margin"],
+    "int": ["period", "home_team_won", *_FLAGS],
+})

@@ -48,6 +48,18 @@ def read_table(
     return quality.require_columns(reader.parquet(path), required, name)
 
 
+def read_typed(spark: SparkSession, path: str, schema: str, name: str = "table") -> DataFrame:
+    """A table whose columns in ``schema`` have the declared types, however they were stored.
+
+    A declared column that is absent is an error; further columns come after, as they are. A value
+    that does not fit its type becomes null.
+    """
+    declared = StructType.fromDDL(schema)
+    rows = read_table(spark, path, required=declared.names, name=name)
+    typed = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in declared.fields]
+    return rows.select(*typed, *[c for c in rows.columns if c not in declared.names])
+
+
 def read_if_there(
     spark: SparkSession, path: str, schema: str | StructType | None = None
 ) -> DataFrame | None:
@@ -102,6 +114,12 @@ def load_manual_results(df: DataFrame) -> DataFrame:
     return quality.require_columns(out, schemas.MANUAL_COLUMNS, "manual results")
 
 
+def manual_results_at(spark: SparkSession, path: str) -> DataFrame | None:
+    """Stored corrections, files of the old layout included; None when there are none."""
+    found = read_optional(spark, path)
+    return None if found is None else load_manual_results(found)
+
+
 def completed_playoffs(games: DataFrame) -> DataFrame:
     """Finished playoff games with an id, a date and both team names; the status is exact."""
     core = ["game_id", "game_date", "home_team", "away_team"]
