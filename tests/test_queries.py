@@ -56,7 +56,8 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 def test_no_query_uses_a_nested_loop_or_python(spark):
     for name in ("pregame_features_full", "live_features_full", "series_running_state",
-                 "full_outer_reconcile", "momentum_swings_top50", "team_accuracy"):
+                 "full_outer_reconcile", "momentum_swings_top50", "team_accuracy", "evaluation_summary",
+                 "live_report_counts", "classifier_metrics", "season_coverage_status"):
         text = plan(entry_points.queries()[name](spark, SF))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
         assert "Python" not in text, name

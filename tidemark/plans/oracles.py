@@ -6,6 +6,7 @@ spelled out directly, recent form is a self join, splits rank the whole table, a
 
 from __future__ import annotations
 
+from tidemark import schemas
 from tidemark.operators import live, metrics, pregame, replay, series
 from tidemark.plans.queries import SEASONS
 from tidemark.plans.standins import cte
@@ -1184,3 +1185,24 @@ ORACLES["upsert_versions"] = ORACLES["upsert_merge"]
 ORACLES["valid_invalid_written_once"] = f"""WITH {cte('plays')}
 SELECT game_id, event_num, scoreHome IS NOT NULL AND event_msg_action_type IS NOT NULL AS valid FROM plays"""
 ORACLES["games_sorted_sink"] = f"""WITH {cte('games')} SELECT count(*) AS games, 0 AS overlapping_files FROM games"""
+
+# ---- no results, manifests, old files, series scores -------------------------------------------------
+ORACLES["pregame_without_results"] = f"""WITH {FULL}
+SELECT game_id, home_games_played_before, away_games_played_before,
+       CAST(CASE WHEN home_games_played_before = 0 THEN 0 END AS BIGINT) AS home_wins_before,
+       CAST(0.5 AS DOUBLE) AS home_win_pct_before, CAST(NULL AS DOUBLE) AS home_points_for_avg_before,
+       home_rest_days, away_rest_days, rest_days_diff, CAST(NULL AS INT) AS home_team_won FROM full_rows"""
+_KINDS = {c: "numeric" for c in schemas.PREGAME_NUMERIC} | {c: "categorical" for c in schemas.PREGAME_CATEGORICAL}
+ORACLES["feature_manifest"] = f"""WITH {FULL}, counts AS (
+  SELECT {", ".join(f"count({c}) AS {c}" for c in _KINDS)} FROM full_rows)
+SELECT unnest([{", ".join(text(c) for c in _KINDS)}]) AS feature, unnest([{", ".join(_KINDS)}]) AS present,
+       unnest([{", ".join(text(k) for k in _KINDS.values())}]) AS kind FROM counts"""
+ORACLES["manual_results_old_files"] = f"""WITH {cte('games')}, {BOTH_RESULTS}
+SELECT game_id, home_score, away_score, source, '' AS notes FROM manual"""
+ORACLES["series_scores_checked"] = f"""WITH {FULL}
+SELECT game_id, true AS probability_ok, true AS label_ok, true AS winner_ok, true AS correct_ok,
+       CAST(home_team_won AS INT) AS actual_home_team_won FROM full_rows WHERE game_type = 'playoffs'"""
+ORACLES["live_report_checked"] = f"""WITH {LIVE_SIDES}
+SELECT count(*) AS n_test, true AS accuracy_ok, true AS brier_score_ok, true AS log_loss_ok, true AS true_positive_ok
+FROM sided WHERE is_test AND home_team_won IS NOT NULL"""
+ORACLES["stream_scores_checked"] = ORACLES["live_scores_checked"]

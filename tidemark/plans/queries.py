@@ -74,6 +74,25 @@ def pregame_features_full(spark, sf):
     return pregame.pregame_features(final_games(spark, sf))
 
 
+@query
+def pregame_without_results(spark, sf):
+    """A schedule without any scores: history counts games, sums nothing and has no label."""
+    games = final_games(spark, sf).drop("home_score", "away_score")
+    return pregame.pregame_features(pregame.merge_results(games, None)).select(
+        "game_id", "home_games_played_before", "away_games_played_before", "home_wins_before", "home_win_pct_before",
+        "home_points_for_avg_before", "home_rest_days", "away_rest_days", "rest_days_diff", "home_team_won")
+
+
+@query
+def feature_manifest(spark, sf):
+    """The pre-game model's input columns, their kind, and how many games have a value."""
+    features = pregame.pregame_features(final_games(spark, sf))
+    manifest = model.pregame_manifest(quality.require_columns(features, schemas.PREGAME_COLUMNS, "features"))
+    counts = features.agg(*[F.count(c).alias(c) for c in manifest.all])
+    long = counts.unpivot([], manifest.all, "feature", "present")
+    return long.withColumn("kind", F.when(F.col("feature").isin(manifest.numeric), "numeric").otherwise("categorical"))
+
+
 @query
 def pregame_missing_targets(spark, sf):
     return pregame.pregame_issues(pregame.pregame_features(final_games(spark, sf)))
@@ -118,6 +137,24 @@ def series_target_features(spark, sf):
     )
 
 
+def _series_sides(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Stored features of the games before the playoffs, and of the playoff games as targets."""
+    games = final_games(spark, sf)
+    playoffs = F.col("game_type") == "playoffs"
+    targets = games.filter(playoffs).drop("home_score", "away_score")
+    results = games.filter(playoffs).select("game_id", "home_score", "away_score", "_seq")
+    rows = pregame.series_pregame_features(games.filter(~playoffs), games.filter(playoffs), targets, results)
+    return scale.stored(pregame.pregame_features(games.filter(~playoffs))), scale.stored(rows)
+
+
+@query
+def series_scores_checked(spark, sf):
+    """Series games scored by a model of the other games: what must hold of every score."""
+    before, targets = _series_sides(spark, sf)
+    scored = model.predict_pregame(targets, model.fit(before, model.pregame_manifest(before)))
+    return scored.select("game_id", *_scores_hold(scored), "actual_home_team_won")
+
+
 # ---- live state ---------------------------------------------------------------------------------
 @query
 def running_score_state(spark, sf):
@@ -448,6 +485,15 @@ def full_outer_reconcile(spark, sf):
     return reconcile.compare_results(*_both_results(spark, sf))
 
 
+@query
+def manual_results_old_files(spark, sf):
+    """Corrections stored before there was a notes column."""
+    manual = _both_results(spark, sf)[0].withColumn("confirmed_at", F.col("game_date"))
+    path = f"{_run_folder(spark)}/manual_results"
+    tables.overwrite(manual.select(*[c for c in schemas.MANUAL_COLUMNS if c != "notes"]), path)
+    return tables.manual_results_at(spark, path).select("game_id", "home_score", "away_score", "source", "notes")
+
+
 @query
 def manual_override_summary(spark, sf):
     return reconcile.manual_summary(*_both_results(spark, sf))
@@ -1062,15 +1108,19 @@ def _live_sides(spark, sf):
     return features, *split.game_split(features)
 
 
+def _per_game(scored: DataFrame) -> DataFrame:
+    return scored.select("game_id", *_scores_hold(scored)).groupBy("game_id").agg(
+        F.count(F.lit(1)).alias("row_count"), F.min("probability_ok").alias("probability_ok"),
+        F.min("label_ok").alias("label_ok"), F.min("winner_ok").alias("winner_ok"),
+        F.min("correct_ok").alias("correct_ok"))
+
+
 @query
 def live_scores_checked(spark, sf):
     """Event rows of held-out games per game: how many are scored, and all scores hold."""
     features, train, test = _live_sides(spark, sf)
     scored = model.predict_live(test, model.fit(train, model.live_manifest(features)))
-    return scored.select("game_id", *_scores_hold(scored)).groupBy("game_id").agg(
-        F.count(F.lit(1)).alias("row_count"), F.min("probability_ok").alias("probability_ok"),
-        F.min("label_ok").alias("label_ok"), F.min("winner_ok").alias("winner_ok"),
-        F.min("correct_ok").alias("correct_ok"))
+    return _per_game(scored)
 
 
 @query
@@ -1082,6 +1132,23 @@ def live_report_counts(spark, sf):
                          "n_train", "n_test", "train_games", "test_games")
 
 
+@query
+def live_report_checked(spark, sf):
+    """The training report's values, held against plain averages over the stored scores."""
+    features, train, test = _live_sides(spark, sf)
+    report = model.train_and_report(train, test, model.live_manifest(features), live=True)
+    scored = scale.stored(model.score(model.training_rows(test), report.scorer, model.LIVE_INPUT_FORBIDDEN).select(
+        F.col("home_team_won").alias("y"), F.col("home_win_probability").alias("p")))
+    said, pick = report.metrics.first(), (F.col("p") > 0.5).cast("int")
+    near = lambda value, name: (F.abs(value - F.lit(said[name])) < 1e-9).alias(f"{name}_ok")
+    return scored.agg(
+        F.count(F.lit(1)).alias("n_test"), near(F.avg((pick == F.col("y")).cast("double")), "accuracy"),
+        near(F.avg(F.pow(F.col("p") - F.col("y"), 2)), "brier_score"),
+        near(-F.avg(F.log(F.greatest(F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p")), F.lit(metrics.EPSILON)))),
+             "log_loss"),
+        (F.count_if((pick == 1) & (F.col("y") == 1)) == said["true_positive"]).alias("true_positive_ok"))
+
+
 @query
 def live_model_report(spark, sf):
     features, train, test = _live_sides(spark, sf)
@@ -1179,23 +1246,33 @@ def stream_first_arrivals(spark, sf):
     return tables.read_table(spark, f"{root}/out").select("game_id", "event_num")
 
 
-@query
-def stream_scores(spark, sf):
-    """A saved model applied to feature rows as they arrive."""
-    root = _run_folder(spark)
-    events = deduped_plays(spark, sf)
-    features = live.live_features(events, schedule(spark, sf))
-    tables.overwrite(features, f"{root}/features")
-    stored = tables.read_table(spark, f"{root}/features")
-    model.fit(stored, model.live_manifest(stored)).save(f"{root}/model")
+def _streamed_scores(spark, root: str, train: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` scored as they arrive by a saved model of ``train``."""
+    tables.overwrite(rows, f"{root}/features")
+    model.fit(train, model.live_manifest(train)).save(f"{root}/model")
     scorer = model.Scorer.load(spark, f"{root}/model")
-    stream = stream_ingest.read_stream(spark, f"{root}/features", stored.schema)
+    stream = stream_ingest.read_stream(spark, f"{root}/features", rows.schema)
     stream_ingest.score_stream(stream, scorer).writeStream.format("parquet").option(
         "checkpointLocation", f"{root}/checkpoint"
     ).trigger(availableNow=True).start(f"{root}/out").awaitTermination()
     return tables.read_table(spark, f"{root}/out")
 
 
+@query
+def stream_scores(spark, sf):
+    """A saved model applied to feature rows as they arrive."""
+    features = scale.stored(live.live_features(deduped_plays(spark, sf), schedule(spark, sf)))
+    return _streamed_scores(spark, _run_folder(spark), features, features)
+
+
+@query
+def stream_scores_checked(spark, sf):
+    """Events of games the model has not seen, scored as they arrive, per game: all scores hold."""
+    _, train, test = _live_sides(spark, sf)
+    scored = _streamed_scores(spark, _run_folder(spark), train, test)
+    return _per_game(scored)
+
+
 def _timed_plays(spark, sf) -> DataFrame:
     return table(spark, sf, "events").selectExpr(*STAND_INS["plays"].columns, "CAST(ts AS TIMESTAMP) AS ts")
 
