@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import brute
@@ -284,6 +285,32 @@ def main_texts(spark, pages):
     return [r.text for r in sorted(html_text.extract(df).collect())]
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<html><head><meta charset=x><title>t</title><body><article><p>Text", "Text"),
+    ("<head><title>t</title>Text", "Text"),
+    ("<body><form id=f><main><p>Text</main></form>", "Text"),
+    ("<body><form id=f><nav>menu</nav><div><p>Text</p></div><footer>foot</footer></form>", "Text"),
+    ("<body><form id=f><p>Search</p></form>", ""),
+    ("<article><p>Text</p><form><p>Subscribe</form></article>", "Text"),
+    ("<article><p>Let <math><msup><mi>x</mi><mn>2</mn></msup><annotation>x^2</annotation></math> be", "Let x2 be"),
+])
+def test_left_out_tags_forms_and_formulas(spark, html, text):
+    blocks = html_text.blocks_of(html)
+    assert "\n".join(b[3] for b in blocks if not b[1]) == text
+    assert main_texts(spark, [html, None]) == [text, ""]
+
+
+def test_deep_nesting_costs_no_more_than_its_length():
+    began = time.monotonic()
+    for end in ("", "</div>" * 60_000, "</p></a>" * 60_000):
+        blocks = html_text.blocks_of("<div>" * 60_000 + "<p>Text <a>link</a>" + end)
+        assert [b[3:] for b in blocks] == [("Text link", 4)] and len(blocks[0][0]) < 2 * html_text.LONG_PATH
+    assert time.monotonic() - began < 20
+    deep = ["<article>" + "<div>" * 3000 + f"<p>{x}</p>" + "</div>" * 3000 + "</article>" for x in "ab"]
+    assert [[b[3] for b in html_text.blocks_of(d)] for d in deep] == [["a"], ["b"]]
+    assert html_text.blocks_of(deep[0])[0][0] == html_text.blocks_of(deep[1])[0][0]
+
+
 def test_one_page_with_an_article_does_not_decide_for_a_host(spark):
     plain = [page(PLAIN.format(x)) for x in "abc"]
     got = main_texts(spark, [*plain, page(ARTICLE + "<p>same on every page</p>")])

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from hashlib import blake2b
@@ -41,8 +42,12 @@ ship(__name__)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
-    "samp small span strike strong sub sup time tt u var".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math".split())
+    "samp small span strike strong sub sup time tt u var "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mspace mstyle "
+    "mpadded mphantom semantics".split())
+RAW = frozenset(
+    "script style noscript template textarea title iframe noembed noframes xmp svg annotation annotation-xml".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 BREAKS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -51,7 +56,7 @@ CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd", ("dl",)), "dd": ("dt"
           "option": ("option", ("select",))}
 # What is never main text, by element and by name in class, id or role. A name counts
 # as a whole or by its last part (site-footer), unless a part says that it only tells of a layout.
-NOT_MAIN = frozenset("head nav footer aside form button select dialog menu object canvas".split())
+NOT_MAIN = frozenset("head nav footer aside button select dialog menu object canvas".split())
 NOT_MAIN_WORDS = frozenset(
     "ad ads advert adverts advertisement adbox banner sponsor sponsored promo nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar side footer header masthead cookie cookies consent notice notices alert "
@@ -65,6 +70,7 @@ AROUND = frozenset(
     "social widget copyright toolbar popup modal".split())
 HEADS = frozenset(("header", "masthead"))
 MAIN = frozenset(("article", "main"))
+PAGE_PARTS = frozenset("article aside footer header main nav".split())
 MAIN_WORDS = frozenset("article main content post entry story".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"<]*"|'[^'<]*'|[^'"<>])*>|[^<>]*>?)|<[!?][^>]*>?""")
@@ -84,23 +90,33 @@ def _not_main(value: str) -> set[str]:
 
 
 _SPACE = re.compile(r"\s+")
+#: Why text is never main: it is in a form; in a layout container; in what is out whatever is below.
+#: Article and main elements below the first two are main text all the same.
+FORM, AROUND_IT, OUT = 1, 2, 3
+#: A longer path is replaced by its print, so that deep nesting costs no more than shallow one.
+LONG_PATH = 512
 
 
 class Block:
     """A run of text within one block element."""
 
-    __slots__ = ("linked", "main", "out", "path", "text")
+    __slots__ = ("form", "level", "linked", "main", "path", "text")
 
-    def __init__(self, path: str, out: bool, main: bool) -> None:
-        self.path, self.out, self.main, self.text, self.linked = path, out, main, [], 0
+    def __init__(self, path: str, level: int, main: bool, form: int) -> None:
+        self.path, self.level, self.main, self.form, self.text, self.linked = path, level, main, form, [], 0
 
 
 def blocks_of(html: str | None) -> list[tuple[str, bool, bool, str, int]]:
-    """(path, never main, inside a main element, text, characters of link text) in page order."""
+    """(path, never main, inside a main element, text, characters of link text) in page order.
+
+    Text in a form is never main, unless the form spans the page, that is, holds parts of its layout.
+    """
     html = html or ""
-    # name, path, never main (1: by a layout container, 2: whatever is below), inside main
+    # name, path, why never main (0: it can be), inside main
     stack: list[tuple[str, str, int, bool]] = []
-    done: list[tuple[str, bool, bool, str, int]] = []
+    opened: Counter[str] = Counter()
+    forms, wide = 0, set()  # number of the last form, numbers of those that span the page
+    done: list[tuple[str, int, int, bool, str, int]] = []
     now: Block | None = None
 
     def close() -> None:
@@ -108,26 +124,28 @@ def blocks_of(html: str | None) -> list[tuple[str, bool, bool, str, int]]:
         if now is not None:
             text = _SPACE.sub(" ", unescape("".join(now.text))).strip()
             if text:
-                done.append((now.path, now.out, now.main, text, min(now.linked, len(text))))
+                done.append((now.path, now.level, now.form, now.main, text, min(now.linked, len(text))))
         now = None
 
     def pop_to(k: int) -> None:
         if any(e[0] not in INLINE for e in stack[k:]):
             close()
+        opened.subtract(e[0] for e in stack[k:])
         del stack[k:]
 
     def add(text: str) -> None:
         nonlocal now
         if not text:
             return
+        if stack and stack[-1][0] == "head" and text.strip():
+            pop_to(len(stack) - 1)
         path, level, main = stack[-1][1:] if stack else ("", 0, False)
-        out = level > 0
-        if now is not None and now.out != out:
+        if now is not None and now.level != level:
             close()
         if now is None:
-            now = Block(path, out, main)
+            now = Block(path, level, main, forms)
         now.text.append(text)
-        if any(e[0] == "a" for e in stack):
+        if opened["a"] > 0:
             now.linked += len(text.strip())
 
     at, n = 0, len(html)
@@ -145,11 +163,13 @@ def blocks_of(html: str | None) -> list[tuple[str, bool, bool, str, int]]:
                 at = n if end < 0 else end + 3
             continue
         if found[1]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[name] > 0 else ():
                 if stack[k][0] == name:
                     pop_to(k)
                     break
             continue
+        if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+            pop_to(len(stack) - 1)  # the end tag may be left out
         if name == "br":
             add(" ")
             continue
@@ -172,7 +192,7 @@ def blocks_of(html: str | None) -> list[tuple[str, bool, bool, str, int]]:
                     break
         elif name in CLOSES:
             other, until = CLOSES[name]
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[name] + opened[other] > 0 else ():
                 if stack[k][0] in (name, other):
                     pop_to(k)
                     break
@@ -192,20 +212,30 @@ def blocks_of(html: str | None) -> list[tuple[str, bool, bool, str, int]]:
         is_main = inner or (name not in INLINE and not NOT_MAIN_WORDS & set(words) and bool(MAIN_WORDS & set(words)))
         if main:
             never -= HEADS
-        if name in MAIN and out == 1:
+        if name in MAIN and out in (FORM, AROUND_IT):
             out = 0
         if name in NOT_MAIN or _HIDDEN.search(attributes):
-            out = 2
+            out = OUT
         elif never and name not in ("article", "main", "body", "html"):
-            out = max(out, 1 if never <= AROUND else 2)
+            out = max(out, AROUND_IT if never <= AROUND else OUT)
+        elif name == "form":
+            out = max(out, OUT if main else FORM)
         elif name == "header" and not main:
-            out = max(out, 1)
+            out = max(out, AROUND_IT)
         if name not in INLINE:
             close()
+            if len(path) > LONG_PATH:
+                path = "~" + blake2b(path.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
             path = f"{path}>{name}{mark}"
+        if name == "form":
+            forms += 1
+        elif name in PAGE_PARTS and opened["form"] > 0:
+            wide.add(forms)
         stack.append((name, path, out, is_main))
+        opened[name] += 1
     close()
-    return done
+    return [(path, level > (FORM if form in wide else 0), main, text, linked)
+            for path, level, form, main, text, linked in done]
 
 
 # ---- wrappers ---------------------------------------------------------------------------
