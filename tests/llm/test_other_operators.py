@@ -10,6 +10,8 @@ import zlib
 import brute
 import numpy as np
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from tidemark.llm import html_text, mixing, near_vectors, ngram, queries, url_filter, warc
@@ -205,6 +207,21 @@ def test_keys_survive_packing():
         assert (ngram.unpacked(ngram.packed(keys)) == keys).all()
 
 
+def test_counts_survive_a_byte_each():
+    for numbers in ([0], [254, 255, 256], [1, 10**12, 0, 255], range(600)):
+        assert ngram.full(ngram.short(np.array(numbers))).tolist() == list(numbers)
+
+
+def test_words_of_a_piece():
+    """Words part at ASCII white space only, A-Z alone are lowered, and every text has one end."""
+    texts = ["", " \t a  B\x0bc\x0cd\r\n", "\x1ca\u00a0b \u00c4A", "b A", "   "]
+    data = [t.encode() for t in texts]
+    one, sizes = ngram.words_of([len(t) for t in data], zstandard.compress(b"".join(data)))
+    words = [w for t in data for w in [*t.lower().split(), None]]
+    assert sizes.tolist() == [len(t.split()) + 1 for t in data]
+    assert one.tolist() == [int(ngram.END) if w is None else xxhash.xxh64_intdigest(w) for w in words]
+
+
 def test_rare_word_pairs_are_told_apart(spark):
     """A pair that was seen scores better than two words as frequent that never met."""
     docs = {i: "new york is big" if i % 2 else "red fork is old" for i in range(200)}
