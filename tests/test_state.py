@@ -142,6 +142,19 @@ def test_a_batch_lost_before_its_pointers_leaves_the_old_table(spark, tmp_path):
     assert versions.read(spark, str(tmp_path / "none"), rows().schema, ["p"]) is None
 
 
+def test_a_version_has_as_many_files_as_its_size_asks_for(spark, tmp_path):
+    path = tmp_path / "t"
+    rows = spark.range(0, 900).select("id", (F.col("id") % 300).alias("p"), F.lit(0).cast("long").alias("_seq"))
+    versions.upsert(str(path), rows, ["id"], ["p"])
+    assert 1 <= len(list(path.glob("data/**/*.parquet"))) <= 8  # not one for each of the 300 partitions
+    versions.upsert(str(path), rows.where("p IN (7, 9)").withColumn("_seq", F.lit(1).cast("long")), ["id"], ["p"])
+    got = versions.read(spark, str(path), rows.schema, ["p"])
+    assert sorted((r.id, r.p, r._seq) for r in got.collect()) == [(i, i % 300, int(i % 300 in (7, 9))) for i in range(900)]
+    some = spark.createDataFrame([(8,), (9,), (None,)], "p long")
+    got = versions.read(spark, str(path), rows.schema, ["p"], some)
+    assert sorted((r.id, r._seq) for r in got.collect()) == [(8, 0), (9, 1), (308, 0), (309, 1), (608, 0), (609, 1)]
+
+
 def test_known_games_without_the_event_table(spark, tmp_path):
     path = f"{tmp_path}/known"
     rows = lambda *ids: spark.createDataFrame([(i, "2024-25" if i and i < "0022500000" else None) for i in ids], "game_id string, season string")

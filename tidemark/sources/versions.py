@@ -5,6 +5,9 @@ appends one small file of pointers (partition, version). Readers take each parti
 version. A batch that ends anywhere before the pointer file appears leaves the table as it was; its
 data is never pointed to and the batch is simply run again.
 
+Partitions are no folders: the files of a version hold ranges of partitions in order, as many files as
+its size asks for, so a table may have any number of small partitions.
+
 One writer at a time; readers may run beside it.
 """
 
@@ -46,7 +49,8 @@ def read(spark: SparkSession, path: str, schema: StructType, partition_by: Seque
          only: DataFrame | None = None) -> DataFrame | None:
     """The table as the newest pointers show it, or just the partitions in ``only``.
 
-    The join against the pointers prunes the folders of other partitions and versions at run time.
+    With ``only``, folders of versions that no wanted partition points to are not read, and of the
+    others only the row groups between the smallest and the largest wanted partition.
     """
     newest = current(spark, path, schema, partition_by)
     if newest is None:
@@ -54,14 +58,27 @@ def read(spark: SparkSession, path: str, schema: StructType, partition_by: Seque
     if only is not None:
         wanted = only.select(*[F.col(c).alias(f"_of_{c}") for c in partition_by]).distinct()
         newest = newest.join(wanted, _same(partition_by), "left_semi")
-    newest = newest.withColumnsRenamed({c: f"_of_{c}" for c in partition_by}).withColumnRenamed(VERSION, "_at")
     stored = StructType([*schema.fields]).add(VERSION, "string")
     rows = spark.read.schema(stored).parquet(f"{path}/data")
+    if only is not None:
+        rows = rows.where(_near(newest, partition_by))
+    newest = newest.withColumnsRenamed({c: f"_of_{c}" for c in partition_by}).withColumnRenamed(VERSION, "_at")
     return rows.join(newest, (F.col(VERSION) == F.col("_at")) & _same(partition_by), "left_semi").select(*schema.names)
 
 
-def _write(rows: DataFrame, path: str, partition_by: Sequence[str], version: str) -> None:
-    rows.withColumn(VERSION, F.lit(version)).write.mode("append").partitionBy(*partition_by, VERSION).parquet(f"{path}/data")
+def _near(newest: DataFrame, partition_by: Sequence[str]) -> Column:
+    """Filter for the versions in use and the ranges their partitions lie in, as literals the scan can
+    prune with; rows without a partition value pass."""
+    ends = [f(c).alias(f"_{k}_{c}") for c in partition_by for k, f in (("low", F.min), ("high", F.max))]
+    found = newest.agg(F.collect_set(VERSION).alias(VERSION), *ends).head()
+    keep = F.col(VERSION).isin(found[VERSION])
+    for c in partition_by:
+        keep = keep & (F.col(c).isNull() | F.col(c).between(F.lit(found[f"_low_{c}"]), F.lit(found[f"_high_{c}"])))
+    return keep
+
+
+def _write(rows: DataFrame, path: str, order: Sequence[str], version: str) -> None:
+    tables.write_sorted(rows, f"{path}/data/{VERSION}={version}", order)
 
 
 def _point(touched: DataFrame, path: str, version: str) -> None:
@@ -83,5 +100,5 @@ def upsert(path: str, incoming: DataFrame, keys: Sequence[str], partition_by: Se
     existing = read(spark, path, incoming.schema, partition_by, touched)
     merged = reconcile.merge_latest(existing, incoming, keys, sequence)
     version = uuid.uuid4().hex
-    _write(merged.select(*incoming.columns), path, partition_by, version)
+    _write(merged.select(*incoming.columns), path, [*partition_by, *keys], version)
     point(touched, path, version)
