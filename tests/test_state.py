@@ -155,6 +155,29 @@ def test_a_version_has_as_many_files_as_its_size_asks_for(spark, tmp_path):
     assert sorted((r.id, r._seq) for r in got.collect()) == [(8, 0), (9, 1), (308, 0), (309, 1), (608, 0), (609, 1)]
 
 
+def folders(path):
+    return sorted(str(p.relative_to(path)) for p in path.glob("*=*"))
+
+
+def test_an_upsert_writes_a_partition_once_without_adaptive_plans(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 8).select("id", (F.col("id") % 5).alias("p"), F.lit(0).cast("long").alias("_seq"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as in streams with state
+    try:
+        tables.upsert(f"{tmp_path}/t", rows, ["id"], ["p"])
+        tables.upsert(f"{tmp_path}/t", rows.where("p < 2"), ["id"], ["p"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 4000
+    assert len(list((tmp_path / "t").glob("*/*.parquet"))) == 5
+
+
+def test_states_of_many_games_share_a_file(spark, tmp_path):
+    changed = spark.createDataFrame([(str(g), None, 0, 5.0, 4.0, 9.0, 3) for g in range(1, 20000, 1000)],
+                                    "game_id string, day timestamp, block long, home double, away double, last_event double, event_rows long")
+    state.keep_blocks(f"{tmp_path}/blocks")(changed, 0)
+    assert folders(tmp_path / "blocks") == ["bucket=0"]
+
+
 def test_known_games_without_the_event_table(spark, tmp_path):
     path = f"{tmp_path}/known"
     rows = lambda *ids: spark.createDataFrame([(i, "2024-25" if i and i < "0022500000" else None) for i in ids], "game_id string, season string")

@@ -17,6 +17,8 @@ from tidemark.operators import coverage, live, model, quality, scale
 from tidemark.sources import tables
 
 BUCKET_GAMES = 100
+#: Games of a storage bucket for tables of a row, or a row per block of events, and game.
+SUMMARY_GAMES = 25_600
 UNNUMBERED = 512
 
 

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators import live, scale
 from tidemark.sources import tables
-from tidemark.streaming.ingest import with_bucket
+from tidemark.streaming.ingest import SUMMARY_GAMES, with_bucket
 
 BLOCK_EVENTS = 256
 BLOCK_KEY = ["game_id", "day", "block"]
@@ -47,7 +47,7 @@ def keep_blocks(table: str) -> Callable[[DataFrame, int], None]:
     same as once."""
 
     def run(changed: DataFrame, batch_id: int) -> None:
-        rows = with_bucket(changed.withColumn("_seq", F.lit(batch_id).cast("long"))).persist()
+        rows = with_bucket(changed.withColumn("_seq", F.lit(batch_id).cast("long")), SUMMARY_GAMES).persist()
         try:
             if not rows.isEmpty():
                 tables.upsert(table, rows, BLOCK_KEY, ["bucket"])
