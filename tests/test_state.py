@@ -178,6 +178,22 @@ def test_states_of_many_games_share_a_file(spark, tmp_path):
     assert folders(tmp_path / "blocks") == ["bucket=0"]
 
 
+def test_counts_of_many_games_share_a_file(spark, tmp_path):
+    ids = [str(g) for g in range(1, 20000, 1000)]
+    games = spark.createDataFrame([(i, "a") for i in ids], "game_id string, season string")
+    paths = [f"{tmp_path}/{n}" for n in ("table", "counts", "deltas", "totals")]
+    note, apply = state.note_deltas(*paths[:3]), state.apply_deltas(paths[2], games, paths[1], paths[3])
+    step = ingest.ingest_batch(paths[0], f"{tmp_path}/bad", 1, then=apply, first=note)
+    schema = PLAYS.replace("timestamp", "string")
+    step(spark.createDataFrame([play(i, 1.0, 2.0, 0.0, 0) for i in ids], schema), 0)
+    step(spark.createDataFrame([play(i, n, 2.0, 0.0, 1) for i in ids[:5] for n in (1.0, 2.0)], schema), 1)
+    assert folders(tmp_path / "counts") == ["bucket=0"] and len(folders(tmp_path / "table")) == len(ids)
+    totals = tables.read_table(spark, paths[3], state.TOTALS).first()
+    assert (totals.collected_games, totals.total_event_rows) == (20, 25)
+    counts = tables.read_table(spark, paths[1], state.COUNTS)
+    assert sorted(r.event_rows for r in counts.collect()) == [1] * 15 + [2] * 5
+
+
 def test_known_games_without_the_event_table(spark, tmp_path):
     path = f"{tmp_path}/known"
     rows = lambda *ids: spark.createDataFrame([(i, "2024-25" if i and i < "0022500000" else None) for i in ids], "game_id string, season string")

@@ -95,19 +95,21 @@ COUNTS = "game_id string, event_rows long, _seq long, bucket long"
 
 
 def event_deltas(rows: DataFrame, table: str, counts: str) -> DataFrame:
-    """(game_id, had, added): what a batch adds to the games it touches. New events count one, rows
-    that replace a stored event count nothing: plus one for the new row, minus one for the old."""
+    """(game_id, added, bucket, had): what a batch adds to the games it touches. New events count one,
+    rows that replace a stored event count nothing: plus one for the new row, minus one for the old.
+    ``bucket`` is that of the counts, a row per game, not that of the events."""
     spark = rows.sparkSession
     keys = rows.select(*live.EVENT_KEY, "bucket").distinct()
-    signed = keys.select("game_id", "bucket", F.lit(1).alias("sign"))
+    signed = keys.select("game_id", F.lit(1).alias("sign"))
     held = tables.read_if_there(spark, table, rows.schema)
     if held is not None:
         held = held.where(tables.partitions_of(keys, ["bucket"])).select(*live.EVENT_KEY)
         replaced = keys.join(held, live.EVENT_KEY, "left_semi")
-        signed = signed.unionByName(replaced.select("game_id", "bucket", F.lit(-1).alias("sign")))
-    added = signed.groupBy("game_id", "bucket").agg(F.sum("sign").alias("added"))
+        signed = signed.unionByName(replaced.select("game_id", F.lit(-1).alias("sign")))
+    added = with_bucket(signed.groupBy("game_id").agg(F.sum("sign").alias("added")), SUMMARY_GAMES)
     before = tables.read_or_empty(spark, counts, COUNTS)
-    before = before.where(tables.partitions_of(keys, ["bucket"])).select("game_id", F.col("event_rows").alias("had"))
+    before = before.where(tables.partitions_of(with_bucket(keys.select("game_id"), SUMMARY_GAMES), ["bucket"]))
+    before = before.select("game_id", F.col("event_rows").alias("had"))
     return scale.lookup_join(added, before, ["game_id"]).fillna({"had": 0})
 
 
