@@ -74,6 +74,18 @@ def test_coverage_follows_the_stream(spark, landed):
     assert (r.eligible_games, r.collected_games, r.remaining_games, r.total_event_rows) == (5, 3, 2, 6)
 
 
+def test_coverage_counts_of_many_games_share_a_file(spark, tmp_path):
+    ids = [str(g) for g in range(1, 20000, 1000)]
+    games = spark.createDataFrame([(i, "2024-25") for i in ids], "game_id string, season string")
+    refresh = ingest.refresh_coverage(f"{tmp_path}/t", games, f"{tmp_path}/counts", f"{tmp_path}/report", "2026-01-01")
+    step = ingest.ingest_batch(f"{tmp_path}/t", f"{tmp_path}/q", bucket_games=1, then=refresh)
+    step(spark.createDataFrame([play(i, 1.0, 2.0, 0.0, 0) for i in ids], PLAYS), 0)
+    step(spark.createDataFrame([play(i, 2.0, 2.0, 0.0, 1) for i in ids[:5]], PLAYS), 1)
+    assert [p.name for p in (tmp_path / "counts").glob("bucket=*")] == ["bucket=0"]
+    r = tables.read_table(spark, f"{tmp_path}/report").first()
+    assert (r.eligible_games, r.collected_games, r.total_event_rows) == (20, 20, 25)
+
+
 def test_known_games_are_skipped(spark, landed):
     stream = ingest.read_stream(spark, f"{landed}/in", PLAYS)
     known = spark.createDataFrame([("1",)], "game_id string")

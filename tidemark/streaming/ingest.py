@@ -16,8 +16,9 @@ from tidemark import schemas
 from tidemark.operators import coverage, live, model, quality, scale
 from tidemark.sources import tables
 
-BUCKET_GAMES = 100
-#: Games of a storage bucket for tables of a row, or a row per block of events, and game.
+#: Games of a storage bucket: about a season, so that a bucket is a file of some MB.
+BUCKET_GAMES = 2_000
+#: The same for tables of a row, or a row per block of events, and game.
 SUMMARY_GAMES = 25_600
 UNNUMBERED = 512
 
@@ -107,7 +108,7 @@ def refresh_coverage(table: str, games: DataFrame, counts: str, report: str, gen
     def run(rows: DataFrame, batch_id: int) -> None:
         number = F.lit(batch_id).cast("long")
         fresh = coverage.events_per_game(touched_events(rows, table))
-        fresh = with_bucket(fresh).withColumn("_seq", number)
+        fresh = with_bucket(fresh, SUMMARY_GAMES).withColumn("_seq", number)
         tables.upsert(counts, fresh, ["game_id"], ["bucket"])
         stored = tables.read_table(rows.sparkSession, counts, fresh.schema)
         stamp = F.lit(generated_at).cast("timestamp")
