@@ -5,10 +5,12 @@ import hashlib
 import math
 import random
 import time
+import tracemalloc
 import zlib
 
 import brute
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 import zstandard
@@ -183,6 +185,26 @@ def plain_scores(docs, rounds=ngram.EM_ROUNDS):
     return out
 
 
+def test_a_piece_is_scored_in_little_memory(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in rng.integers(0, 400, 120_000)]
+    texts = [" ".join(words[k:k + 300]).encode() for k in range(0, len(words), 300)]
+    piece = pd.DataFrame({"piece": [1], "ids": [list(range(len(texts)))], "lengths": [[len(t) for t in texts]],
+                          "blob": [zstandard.compress(b"".join(texts))]})
+    asked = pd.concat([a.assign(part=0) for a in ngram._asked(2)([piece.assign(part=0)])])
+    answers = pd.concat([ngram._answered(a) for _, a in asked.groupby("bucket")])
+    answers = answers[answers["piece"].notna()]
+    weights = {k: np.array([0.4, 0.3, 0.2, 0.1]) for k in range(128)}
+    whole = ngram._scored(2, weights, 120_400, 401)(piece, answers)
+    monkeypatch.setattr(ngram, "SLICE", 1000)
+    tracemalloc.start()
+    again = ngram._scored(2, weights, 120_400, 401)(piece, answers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pd.testing.assert_frame_equal(whole, again)
+    assert peak < 100 * 120_400  # about a dozen numbers a token
+
+
 @pytest.mark.parametrize("keys, piece", [(ngram.KEYS, ngram.PIECE), (3000, 20000)])
 def test_scores_equal_deleted_interpolation(spark, monkeypatch, keys, piece):
     monkeypatch.setattr(ngram, "PIECE", piece)

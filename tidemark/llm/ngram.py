@@ -49,6 +49,8 @@ ship(__name__)
 PIECE, KEYS, BITS = 8 << 20, 4_000_000, 42
 #: Bytes of text per distinct n-gram of a piece, about; sets the number of buckets.
 BYTES_PER_KEY = 3
+#: Tokens that are scored or counted at a time.
+SLICE = 1 << 18
 LEAST_DEPTH = 2
 EM_ROUNDS = 12
 LEAST = 1e-6
@@ -120,6 +122,8 @@ def words_of(lengths: np.ndarray, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     one, word = np.full(sizes.sum(), END), np.ones(sizes.sum(), bool)
     word[np.cumsum(sizes) - 1] = False
     one[word] = hashes[flat.indices.to_numpy()[full]]
+    del texts, split, flat
+    pa.default_memory_pool().release_unused()
     return one, sizes
 
 
@@ -174,19 +178,26 @@ def full(data: bytes) -> np.ndarray:
     return numbers
 
 
-def distinct(found: np.ndarray, order: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams of one order in order of bucket and hash: (bucket, hash within it, times, place of
-    every n-gram in that order). An order has 2^depth buckets."""
+def placed(found: np.ndarray, order: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-grams of one order in order of bucket and hash: (n-gram, whether it is the first of its kind, place
+    of every n-gram of ``found`` among the distinct ones)."""
     if order > 1 and depth + BITS < 64:
         found = found >> np.uint64(64 - depth - BITS)
-    rest = np.uint64(64 - depth if order == 1 else min(BITS, 64 - depth))
     by = np.argsort(found)
     rising = found[by]
     first = np.concatenate([[True], rising[1:] != rising[:-1]])
     place = np.empty(len(by), np.int64)
     place[by] = np.cumsum(first) - 1
+    return rising, first, place
+
+
+def distinct(found: np.ndarray, order: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of one order in order of bucket and hash: (bucket, hash within it, times, place of
+    every n-gram in that order). An order has 2^depth buckets."""
+    rising, first, place = placed(found, order, depth)
+    rest = np.uint64(64 - depth if order == 1 else min(BITS, 64 - depth))
     key = rising[first]
-    times = np.diff(np.concatenate([np.flatnonzero(first), [len(by)]]))
+    times = np.diff(np.concatenate([np.flatnonzero(first), [len(first)]]))
     bucket = (key >> rest if depth else np.zeros_like(key)).astype(np.int64) + (order - 1 << depth)
     return bucket, (key & ((np.uint64(1) << rest) - np.uint64(1)) if depth else key), times, place
 
@@ -214,7 +225,9 @@ def _answered(asked: pd.DataFrame) -> pd.DataFrame:
     others; a row without a piece has the sums and distinct numbers of both."""
     keys = [unpacked(k) for k in asked["keys"]]
     sizes, part = np.array([len(k) for k in keys]), asked["part"].to_numpy()
-    _, place = np.unique(np.concatenate(keys), return_inverse=True)
+    keys = np.concatenate(keys)
+    _, place = np.unique(keys, return_inverse=True)
+    del keys
     times, of = np.concatenate([full(t) for t in asked["times"]]), np.repeat(part, sizes)
     kept, held = (np.bincount(place, times * (of == p)).astype(np.int64) for p in (0, 1))
     total = kept + held
@@ -224,7 +237,7 @@ def _answered(asked: pd.DataFrame) -> pd.DataFrame:
     sums = [int(x) for c in (kept, total) for x in (c.sum(), np.count_nonzero(c))]
     return pd.DataFrame({
         "bucket": asked["bucket"].iloc[0], "piece": [*asked["piece"], None], "kept": [*mine, None], "total": [*whole, None],
-        "sums": [*[None] * len(keys), sums]}).astype({"piece": "Int64"})
+        "sums": [*[None] * len(sizes), sums]}).astype({"piece": "Int64"})
 
 
 def answers_of(pieces: DataFrame, depth: int) -> DataFrame:
@@ -240,7 +253,7 @@ def _counted(piece: pd.DataFrame, answers: pd.DataFrame, depth: int, column: str
     answers = answers.sort_values("bucket")
     order = answers["bucket"].to_numpy() >> depth
     one, two, three = (
-        np.concatenate([full(t) for t in answers[column][order == k]])[distinct(found[k], k + 1, depth)[3]] for k in range(3))
+        np.concatenate([full(t) for t in answers[column][order == k]])[placed(found.pop(0), k + 1, depth)[2]] for k in range(3))
     starts = np.cumsum(sizes) - sizes
     texts = one[-1]  # every text has one end
     ctx_one, ctx_two = np.concatenate([[texts], one[:-1]]), np.concatenate([[texts], two[:-1]])
@@ -256,15 +269,24 @@ def bucket_of(pair: np.ndarray, single: np.ndarray) -> np.ndarray:
     return np.where(pair > 0, far, near).astype(np.int64)
 
 
+def _slices(counts: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Counts of ``SLICE`` tokens at a time, so that what is derived from them stays small."""
+    for at in range(0, len(counts[0]), SLICE):
+        yield [c[at:at + SLICE] for c in counts]
+
+
 # ---- weights ----------------------------------------------------------------------------------------------
 HELD = "bucket long, c3 long, x3 long, c2 long, x2 long, c1 long, n long"
 
 
 def _held_counts(depth: int):
     def run(piece: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        c3, x3, c2, x2, c1, _ = _counted(piece, answers, depth, "kept")
-        rows = pd.DataFrame({"bucket": bucket_of(x3, x2), "c3": c3, "x3": x3, "c2": c2, "x2": x2, "c1": c1})
-        return rows.groupby(list(rows), sort=False).size().reset_index(name="n")
+        *counts, _ = _counted(piece, answers, depth, "kept")
+        parts = []
+        for c3, x3, c2, x2, c1 in _slices(counts):
+            rows = pd.DataFrame({"bucket": bucket_of(x3, x2), "c3": c3, "x3": x3, "c2": c2, "x2": x2, "c1": c1})
+            parts.append(rows.groupby(list(rows), sort=False).size().reset_index(name="n"))
+        return pd.concat(parts)
 
     return run
 
@@ -306,12 +328,16 @@ SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score dou
 
 def _scored(depth: int, weights: dict[int, np.ndarray], tokens: int, words: int):
     def run(piece: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        c3, x3, c2, x2, c1, sizes = _counted(piece, answers, depth, "total")
-        estimate = np.stack([
-            c3 / np.maximum(x3, 1), c2 / np.maximum(x2, 1), c1 / max(tokens, 1), np.full(len(c1), 1 / (words + 1))])
-        seen, place = np.unique(bucket_of(x3, x2), return_inverse=True)
-        table = np.stack([weights.get(int(b), settled(np.full(4, 0.25), allowed(b, tokens))) for b in seen])
-        score = np.log10((table[place].T * estimate).sum(0))
+        *counts, sizes = _counted(piece, answers, depth, "total")
+        scores = []
+        for c3, x3, c2, x2, c1 in _slices(counts):
+            estimate = np.stack([
+                c3 / np.maximum(x3, 1), c2 / np.maximum(x2, 1), c1 / max(tokens, 1), np.full(len(c1), 1 / (words + 1))])
+            seen, place = np.unique(bucket_of(x3, x2), return_inverse=True)
+            table = np.stack([weights.get(int(b), settled(np.full(4, 0.25), allowed(b, tokens))) for b in seen])
+            scores.append(np.log10((table[place].T * estimate).sum(0)))
+        score, c1 = np.concatenate(scores), counts[4]
+        del counts, scores
         base = np.log10((c1 + 1) / (tokens + words + 1))
         text, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
         ids = pd.array([None if pd.isna(x) else int(x) for x in piece["ids"].iloc[0]], dtype="Int64")
